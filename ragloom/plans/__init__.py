@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("search",)
+_MODULES = ("search", "corpus")
 
 
 def load_all() -> None:
