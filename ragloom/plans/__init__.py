@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("search", "corpus")
+_MODULES = ("search", "corpus", "chunks")
 
 
 def load_all() -> None:
