@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("search", "corpus", "chunks")
+_MODULES = ("search", "corpus", "chunks", "answers")
 
 
 def load_all() -> None:
