@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("search", "corpus", "chunks", "answers")
+_MODULES = ("search", "corpus", "chunks", "answers", "clusters")
 
 
 def load_all() -> None:
