@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("search", "corpus", "chunks", "answers", "clusters")
+_MODULES = ("search", "corpus", "chunks", "answers", "clusters", "evaluation")
 
 
 def load_all() -> None:
