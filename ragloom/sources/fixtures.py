@@ -19,7 +19,7 @@ from ragloom.sources.tables import page_table, read_table
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_table``: documents numbered per source by doc_id, blank pages dropped."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang")
+    docs = read_table(spark, sf_dir, "documents", spread_key="doc_id").select("doc_id", "source", "text", "lang")
     return page_table(docs, order_col="doc_id")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
@@ -12,8 +12,31 @@ from ragloom.functions import text as T
 TABLES = ("documents", "embeddings", "benchmark", "labels", "conversations", "pages")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+SPREAD_MAX_BYTES = 1 << 30
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_key: str | None = None) -> DataFrame:
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df, spread_key) if spread_key else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a small scan that arrives in fewer files than task slots.
+
+    A single parquet file with one row group is read by one task, and every narrow
+    per-row step after it (tokenising, splitting pages) would stay in that task.
+    Large inputs come in many row groups and are read in parallel anyway, so they are
+    left alone: the shuffle is only added when the scan is under 1 GiB.
+    """
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no estimate: leave the scan as it is
+        return df
+    if size <= SPREAD_MAX_BYTES and len(df.inputFiles()) < slots:
+        return df.repartition(slots, key)
+    return df
 
 
 def page_table(pages: DataFrame, text_col: str = "text", source_col: str = "source",
@@ -32,8 +55,9 @@ def page_table(pages: DataFrame, text_col: str = "text", source_col: str = "sour
         )
         numbered = exploded.select("source", (F.col("pos") + 1).cast("long").alias("page_number"), "text")
     else:
-        w = Window.partitionBy(source_col).orderBy(order_col)
-        numbered = pages.withColumn("page_number", F.row_number().over(w).cast("long"))
+        from ragloom.operators.ranking import row_number_in_groups
+
+        numbered = row_number_in_groups(pages, source_col, order_col, out="page_number")
         if source_col != "source":
             numbered = numbered.withColumnRenamed(source_col, "source")
         if text_col != "text":
