@@ -12,6 +12,7 @@ from ragloom import constants as C
 from ragloom.functions import text as T
 from ragloom.functions.numeric import round_half_up_sql as rhu_sql
 from ragloom.operators import clustering as K
+from ragloom.operators import hdbscan
 from ragloom.operators import rerank, sizing, vector_search
 from ragloom.plans import search as S
 from ragloom.plans.common import r6, r6_sql, register
@@ -61,6 +62,10 @@ def q_cluster_search(spark, sf):
     return r6(rr.select("query_id", "rerank", "chunk_id", "score", "rank"), "score")
 
 
+def q_hdbscan_labels(spark, sf):
+    return hdbscan.hdbscan_labels(X.chunks(spark, sf))
+
+
 def q_core_distance(spark, sf):
     return r6(K.core_distance(X.chunks(spark, sf)), "core_distance")
 
@@ -128,3 +133,4 @@ register("core_distance", q_core_distance, X.with_ctes("chunks") + f"""
       FROM chunks a JOIN chunks b ON a.source = b.source AND a.chunk_id <> b.chunk_id
       WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL)
     WHERE r = 2""")
+register("hdbscan_labels", q_hdbscan_labels, None)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ragloom import constants as C
 from ragloom.functions import text as T
 from ragloom.functions import vectors as V
-from ragloom.operators import ingest, lexical, stopwords
+from ragloom.operators import ingest, langdetect, lexical, sizing, stopwords
+from ragloom.functions.numeric import round_half_up_sql as rhu_sql
 from ragloom.plans.common import register
 from ragloom.sources import fixtures as X
 from ragloom.sources.tables import read_table
@@ -190,3 +191,39 @@ register("new_files_only", q_new_files_only, ctes("batch", "loaded_table") + """
 register("ingest_report", q_ingest_report, ctes("batch", "loaded_table") + """
     SELECT CASE WHEN hash_value IN (SELECT hash_value FROM loaded_table) THEN 'rejected' ELSE 'processed' END AS status,
            count(*) AS n_files FROM batch GROUP BY 1""")
+
+
+# ------------------------------------------------------------------ B10: language detection
+
+def q_language_detect(spark, sf):
+    model = sizing.materialize(langdetect.train(read_table(spark, sf, "documents", spread_key="doc_id")))
+    conv = read_table(spark, sf, "conversations")
+    return langdetect.with_config(langdetect.detect(conv, model, ["conv_id", "turn"]))
+
+
+_TRI = "list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3))"
+
+
+def _padded_sql(cols, table):
+    return (f"(SELECT {cols}, ' ' || w || ' ' AS s FROM "
+            f"(SELECT {cols}, unnest({langdetect.words_sql('text')}) AS w FROM {table}))")
+
+
+register("language_detect", q_language_detect, f"""
+    WITH mc AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest({_TRI}) AS gram FROM {_padded_sql('lang', 'documents')})
+                GROUP BY ALL),
+         bases AS (SELECT lang, ln(sum(n) + (SELECT count(DISTINCT gram) FROM mc)) AS base FROM mc GROUP BY lang),
+         tg AS (SELECT conv_id, turn, gram, count(*) AS c
+                FROM (SELECT conv_id, turn, unnest({_TRI}) AS gram FROM {_padded_sql('conv_id, turn', 'conversations')}) GROUP BY ALL),
+         ng AS (SELECT conv_id, turn, sum(c) AS n_grams FROM tg GROUP BY ALL),
+         known AS (SELECT tg.conv_id, tg.turn, mc.lang, sum(tg.c * ln(mc.n + 1)) AS hit
+                   FROM tg JOIN mc ON mc.gram = tg.gram GROUP BY ALL),
+         scored AS (SELECT ng.conv_id, ng.turn, b.lang, coalesce(k.hit, 0.0) - ng.n_grams * b.base AS score
+                    FROM ng JOIN bases b ON true
+                    LEFT JOIN known k ON k.conv_id = ng.conv_id AND k.turn = ng.turn AND k.lang = b.lang),
+         best AS (SELECT conv_id, turn, lang FROM (
+                    SELECT *, row_number() OVER (PARTITION BY conv_id, turn
+                                                 ORDER BY {rhu_sql('score', 6)} DESC, lang DESC) AS r FROM scored)
+                  WHERE r = 1)
+    SELECT c.conv_id, c.turn, b.lang, {T.language_config_sql('b.lang')} AS config
+    FROM conversations c LEFT JOIN best b ON b.conv_id = c.conv_id AND b.turn = c.turn""")

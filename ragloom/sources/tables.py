@@ -31,7 +31,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     slots = spark.sparkContext.defaultParallelism
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - no estimate: leave the scan as it is
         return df
     if size <= SPREAD_MAX_BYTES and len(df.inputFiles()) < slots:
