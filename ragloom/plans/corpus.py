@@ -227,3 +227,16 @@ register("language_detect", q_language_detect, f"""
                   WHERE r = 1)
     SELECT c.conv_id, c.turn, b.lang, {T.language_config_sql('b.lang')} AS config
     FROM conversations c LEFT JOIN best b ON b.conv_id = c.conv_id AND b.turn = c.turn""")
+
+
+# ------------------------------------------------------------------ E7: incremental ingest (rows-only check)
+
+def q_incremental_ingest(spark, sf):
+    from ragloom.streaming.ingest_stream import run_twice
+
+    table = run_twice(spark, sf, "documents.parquet")
+    return table.groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"),
+                                       F.countDistinct("page_number").alias("n_pages"))
+
+
+register("incremental_ingest", q_incremental_ingest, None)

@@ -165,3 +165,31 @@ register("cosine_distance", q_cosine_distance,
          f"SELECT a.vec_id, {rhu_sql(V.cosine_distance_sql('a.embedding', 'b.embedding'), 6)} AS distance {_PAIRS_SQL}")
 register("semantic_score", q_semantic_score,
          f"SELECT a.vec_id, {rhu_sql(V.semantic_score_sql('a.embedding', 'b.embedding'), 6)} AS rank_semantic {_PAIRS_SQL}")
+
+
+# ------------------------------------------------------------------ G6: approximate search (rows-only checks)
+
+def _ann(spark, sf):
+    from ragloom.operators import ann
+
+    ch, q = _inputs(spark, sf)
+    index, centers = ann.build_ivf(ch)
+    index = sizing.materialize(index)
+    return ann.ann_topk(index, centers, q, C.SEMANTIC_CANDIDATES, n_probe=4), ch, q
+
+
+def q_ann_topk(spark, sf):
+    top, _, _ = _ann(spark, sf)
+    return r6(top, "rank_semantic")
+
+
+def q_ann_recall(spark, sf):
+    from ragloom.operators import ann
+
+    top, ch, q = _ann(spark, sf)
+    exact = vector_search.semantic_topk(ch, q, dim=vector_search.vector_width(q, "query_vec"))
+    return r6(ann.recall_vs_exact(top, exact), "recall")
+
+
+register("ann_topk", q_ann_topk, None)
+register("ann_recall", q_ann_recall, None)
