@@ -47,7 +47,8 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, *, k_lex: int = C.LEXIC
     rank_semantic, final_rank.
     """
     if materialize_queries:
-        queries = sizing.materialize(queries.select("query_id", "query_text", "query_vec"))
+        qcols = ["query_id", "query_text", "query_vec"] + ([kw["query_config_col"]] if kw.get("query_config_col") else [])
+        queries = sizing.materialize(queries.select(*qcols))
     n_q = queries.count()
     dim = dim or vector_width(queries, "query_vec")
     lex = lexical_topk(chunks, queries, k_lex, **kw)

@@ -98,10 +98,35 @@ def occurrences(post: DataFrame, qlex: DataFrame, broadcast_limit_bytes: int | N
     return post.join(right, "tok").select("query_id", "chunk_id", "pos", "li", "n_lex")
 
 
+def query_lexemes_config(queries: DataFrame, text_col: str = "query_text", config_col: str = "config") -> DataFrame:
+    """F3 + F7: query lexemes with the stop words of the query's own configuration removed."""
+    from ragloom.operators import stopwords
+
+    toks = queries.select("query_id", F.col(config_col).alias("config"),
+                          F.posexplode(T.tokens(T.py_strip(text_col), fold_accents=False)).alias("p", "tok"))
+    sw = F.broadcast(stopwords.stop_table(queries.sparkSession))  # fixed dictionary, a few thousand words
+    kept = toks.join(sw, ["config", "tok"], "left_anti")
+    lex = kept.groupBy("query_id").agg(
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("p", "tok"))), lambda x: x["tok"]))
+        .alias("lex"))
+    return lex.select("query_id", F.size("lex").alias("n_lex"), F.posexplode("lex").alias("li", "tok"))
+
+
 def lexical_match(chunks: DataFrame, queries: DataFrame, **kw) -> DataFrame:
-    """``(query_id, chunk_id, rank_bm25)`` for every chunk holding all query lexemes."""
-    post = postings(chunks, fold_accents=kw.get("fold_accents", True), stop_words=kw.get("stop_words"))
-    occ = occurrences(post, query_lexemes(queries), kw.get("broadcast_limit_bytes"))
+    """``(query_id, chunk_id, rank_bm25)`` for every chunk holding all query lexemes.
+
+    With ``config_col`` (on chunks) and ``query_config_col`` (on queries), stop words
+    are removed per text search configuration on both sides (F7 routing).
+    """
+    if kw.get("config_col"):
+        from ragloom.operators import stopwords
+
+        post = stopwords.config_postings(chunks, config_col=kw["config_col"])
+        qlex = query_lexemes_config(queries, config_col=kw["query_config_col"])
+    else:
+        post = postings(chunks, fold_accents=kw.get("fold_accents", True), stop_words=kw.get("stop_words"))
+        qlex = query_lexemes(queries)
+    occ = occurrences(post, qlex, kw.get("broadcast_limit_bytes"))
     return _cover_density(occ)
 
 

@@ -193,3 +193,55 @@ def q_ann_recall(spark, sf):
 
 register("ann_topk", q_ann_topk, None)
 register("ann_recall", q_ann_recall, None)
+
+
+# ------------------------------------------------------------------ F7: language-routed lexical search
+
+def _config_inputs(spark, sf):
+    ch = X.chunks(spark, sf).withColumn("config", T.language_config("language"))
+    q = X.search_queries(spark, sf, ch).join(ch.select(F.col("chunk_id").alias("query_id"), "config"), "query_id")
+    return ch, sizing.materialize(q)
+
+
+def q_hybrid_search_config(spark, sf):
+    ch, q = _config_inputs(spark, sf)
+    out = fusion.hybrid_search(ch, q, threshold=0.5, with_content=False, materialize_queries=False,
+                               config_col="config", query_config_col="config")
+    return r6(out, "rank_bm25", "rank_semantic", "final_rank")
+
+
+def q_lexical_match_config(spark, sf):
+    ch, q = _config_inputs(spark, sf)
+    return r6(lexical.lexical_match(ch, q, config_col="config", query_config_col="config"), "rank_bm25")
+
+
+def _config_ctes():
+    from ragloom.operators import stopwords
+
+    d = dict(SEARCH_CTES)
+    d["postings"] = (("chunks",), stopwords.config_postings_sql("chunks"))
+    d["qlex"] = (("queries", "chunks"), f"""
+        SELECT query_id, len(lx) AS n_lex, unnest(lx) AS tok, generate_subscripts(lx, 1) - 1 AS li FROM (
+          SELECT t.query_id, list(DISTINCT t.tok) AS lx FROM (
+            SELECT q.query_id, {T.language_config_sql('c.language')} AS config,
+                   unnest({T.tokens_sql(T.py_strip_sql('q.query_text'), False)}) AS tok
+            FROM queries q JOIN chunks c ON c.chunk_id = q.query_id) t
+          LEFT JOIN {stopwords.stop_values_sql()} sw ON sw.config = t.config AND sw.tok = t.tok
+          WHERE sw.tok IS NULL GROUP BY t.query_id)""")
+    return d
+
+
+def _hybrid_config_sql():
+    return X.with_ctes("fused", "chunks", extra=_config_ctes()) + """
+        SELECT f.query_id, f.rank, f.chunk_id, c.source, c.page_number,
+               """ + f"""{r6_sql('f.rank_bm25')} AS rank_bm25, {r6_sql('f.rank_semantic')} AS rank_semantic,
+               {r6_sql('f.final_rank')} AS final_rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_rank DESC, chunk_id) AS rank
+              FROM fused WHERE final_rank > 0.5) f
+        JOIN chunks c ON c.chunk_id = f.chunk_id
+        WHERE f.rank <= {C.FUSED_TOP}"""
+
+
+register("hybrid_search_config", q_hybrid_search_config, _hybrid_config_sql())
+register("lexical_match_config", q_lexical_match_config, X.with_ctes("lex_rank", extra=_config_ctes()) +
+         f"SELECT query_id, chunk_id, {r6_sql('rank_bm25')} AS rank_bm25 FROM lex_rank")
