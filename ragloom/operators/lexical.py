@@ -12,6 +12,8 @@ Plan shape (see README "Scale"):
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -87,6 +89,129 @@ def _cover_density(occ: DataFrame) -> DataFrame:
     return g.select("query_id", "chunk_id", round_half_up(rank, RANK_DIGITS).alias("rank_bm25"))
 
 
+_BIG = np.int64(1) << np.int64(32)
+
+
+def _covers_sorted(q, c, pos, li, nlex):
+    """Cover density of every (query, chunk) group in arrays sorted by (q, c, pos).
+
+    Per lexeme j, the latest position (and ordinal) of j up to each occurrence is a
+    running maximum that restarts with each group; the cover ending at an occurrence
+    starts at the minimum of those over the query's lexemes. Returns group starts,
+    whether each group matched, and its score (summed in position order).
+    """
+    n = len(pos)
+    new = np.ones(n, dtype=bool)
+    new[1:] = (q[1:] != q[:-1]) | (c[1:] != c[:-1])
+    gid = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    r = np.arange(n, dtype=np.int64) - starts[gid] + 1
+    base = gid.astype(np.int64) * _BIG
+    big = np.iinfo(np.int64).max
+    s = np.full(n, big, dtype=np.int64)
+    rs = np.full(n, big, dtype=np.int64)
+    complete = np.ones(n, dtype=bool)
+    for j in range(int(nlex.max()) if n else 0):
+        hit = li == j
+        lastp = np.maximum.accumulate(base + np.where(hit, pos, 0)) - base
+        lastr = np.maximum.accumulate(base + np.where(hit, r, 0)) - base
+        active = j < nlex
+        complete &= ~active | (lastp > 0)
+        s = np.where(active, np.minimum(s, lastp), s)
+        rs = np.where(active, np.minimum(rs, lastr), rs)
+    prev_ok = np.zeros(n, dtype=bool)
+    prev_ok[1:] = ~new[1:] & complete[:-1]
+    prev_s = np.zeros(n, dtype=np.int64)
+    prev_s[1:] = s[:-1]
+    minimal = complete & (~prev_ok | (s > prev_s))
+    contrib = np.where(minimal, C.COVER_WEIGHT / (1.0 + (pos - s) - (r - rs)), 0.0)
+    ends = np.r_[starts[1:], n] - 1
+    score = np.add.reduceat(contrib, starts) if n else np.zeros(0)
+    return starts, complete[ends] if n else np.zeros(0, dtype=bool), score
+
+
+def _cover_density_batches(batches):
+    carry = None
+    for pdf in batches:
+        if carry is not None:
+            pdf = pd.concat([carry, pdf], ignore_index=True)
+        if len(pdf) == 0:
+            continue
+        q, c = pdf["query_id"].to_numpy(), pdf["chunk_id"].to_numpy()
+        last = (q == q[-1]) & (c == c[-1])
+        cut = int(np.argmax(last))  # the last group may continue in the next batch
+        carry = pdf.iloc[cut:]
+        done = pdf.iloc[:cut]
+        if len(done):
+            yield _score_frame(done)
+    if carry is not None and len(carry):
+        yield _score_frame(carry)
+
+
+def _score_frame(pdf):
+    q, c = pdf["query_id"].to_numpy(), pdf["chunk_id"].to_numpy()
+    starts, ok, score = _covers_sorted(q, c, pdf["pos"].to_numpy(dtype=np.int64), pdf["li"].to_numpy(dtype=np.int64),
+                                       pdf["n_lex"].to_numpy(dtype=np.int64))
+    return pd.DataFrame({"query_id": q[starts][ok], "chunk_id": c[starts][ok], "score": score[ok]})
+
+
+def cover_density_sorted(occ: DataFrame, partitions: int | None = None) -> DataFrame:
+    """F4 + F5: occurrences hash-partitioned by (query, chunk), sorted by position within
+    partitions (Tungsten sort, spills), scored group by group in numpy batches."""
+    n = partitions or int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    srt = occ.repartition(n, "query_id", "chunk_id").sortWithinPartitions("query_id", "chunk_id", "pos")
+    out = srt.mapInPandas(_cover_density_batches, "query_id long, chunk_id long, score double")
+    return out.select("query_id", "chunk_id", round_half_up("score", RANK_DIGITS).alias("rank_bm25"))
+
+
+def _scan_chunks(bc):
+    """Per chunk batch: positions of query lexemes (hash merge with the broadcast lexeme
+    table, minus the chunk configuration's stop words), then cover density."""
+
+    def fn(batches):
+        qtab, stops = bc.value
+        for pdf in batches:
+            if len(pdf) == 0 or len(qtab) == 0:
+                continue
+            lens = pdf["toks"].map(len).to_numpy()
+            if lens.sum() == 0:
+                continue
+            flat = pd.DataFrame({
+                "chunk_id": np.repeat(pdf["chunk_id"].to_numpy(), lens),
+                "tok": np.concatenate([np.asarray(t, dtype=object) for t in pdf["toks"]]),
+                "pos": np.concatenate([np.arange(1, n + 1, dtype=np.int64) for n in lens]),
+            })
+            if stops is not None:
+                flat["config"] = np.repeat(pdf["config"].to_numpy(), lens)
+                flat = flat.merge(stops, on=["config", "tok"], how="left", indicator=True)
+                flat = flat[flat["_merge"] == "left_only"].drop(columns=["_merge", "config"])
+            occ = flat.merge(qtab, on="tok", how="inner")
+            if len(occ) == 0:
+                continue
+            occ = occ.sort_values(["query_id", "chunk_id", "pos"], kind="stable")
+            yield _score_frame(occ)
+
+    return fn
+
+
+def lexical_scan(chunks: DataFrame, qlex: DataFrame, config_col: str | None = None,
+                 fold_accents: bool = True) -> DataFrame:
+    """F4 + F5 without moving postings: the (size-checked) query lexemes are broadcast and
+    every chunk partition is scored where it is read. Output: matches only."""
+    from ragloom.operators import stopwords
+
+    qtab = qlex.select("tok", "query_id", "li", "n_lex").toPandas()
+    stops = None
+    if config_col:
+        stops = pd.DataFrame([(c, w) for c, ws in stopwords.word_lists().items() for w in ws], columns=["config", "tok"])
+    bc = chunks.sparkSession.sparkContext.broadcast((qtab, stops))
+    cols = [F.col("chunk_id").cast("long").alias("chunk_id"), T.tokens("content", fold_accents=fold_accents).alias("toks")]
+    if config_col:
+        cols.append(F.col(config_col).alias("config"))
+    out = chunks.select(*cols).mapInPandas(_scan_chunks(bc), "query_id long, chunk_id long, score double")
+    return out.select("query_id", "chunk_id", round_half_up("score", RANK_DIGITS).alias("rank_bm25"))
+
+
 def occurrences(post: DataFrame, qlex: DataFrame, broadcast_limit_bytes: int | None = None) -> DataFrame:
     """Positions of query lexemes in chunks: postings JOIN query lexemes ON tok.
 
@@ -118,16 +243,19 @@ def lexical_match(chunks: DataFrame, queries: DataFrame, **kw) -> DataFrame:
     With ``config_col`` (on chunks) and ``query_config_col`` (on queries), stop words
     are removed per text search configuration on both sides (F7 routing).
     """
-    if kw.get("config_col"):
+    config = kw.get("config_col")
+    qlex = query_lexemes_config(queries, config_col=kw["query_config_col"]) if config else query_lexemes(queries)
+    if kw.get("stop_words") is None and sizing.fits_broadcast(qlex, row_bytes=64, limit=kw.get("broadcast_limit_bytes")):
+        return lexical_scan(chunks, qlex, config_col=config, fold_accents=kw.get("fold_accents", True))
+    # lexemes too many to broadcast: postings shuffle-joined on the token (AQE splits hot
+    # tokens), then scored per (query, chunk) after a sort within partitions
+    if config:
         from ragloom.operators import stopwords
 
-        post = stopwords.config_postings(chunks, config_col=kw["config_col"])
-        qlex = query_lexemes_config(queries, config_col=kw["query_config_col"])
+        post = stopwords.config_postings(chunks, config_col=config)
     else:
         post = postings(chunks, fold_accents=kw.get("fold_accents", True), stop_words=kw.get("stop_words"))
-        qlex = query_lexemes(queries)
-    occ = occurrences(post, qlex, kw.get("broadcast_limit_bytes"))
-    return _cover_density(occ)
+    return cover_density_sorted(post.join(qlex, "tok").select("query_id", "chunk_id", "pos", "li", "n_lex"))
 
 
 def top_k(df: DataFrame, k: int, score: str, part: str = "query_id", tie: str = "chunk_id",
