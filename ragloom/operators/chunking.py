@@ -3,15 +3,16 @@
 Separator and recursive splitting are sequential folds over the pieces of one
 page, so they run as an Arrow ``pandas_udf`` (one page per element, pages spread
 over all tasks) returning ``array<string>`` that is ``posexplode``d. Semantic
-splitting is fully relational: sentences, hashed sentence vectors, neighbour
-distances by a self-join on the sentence index, a per-page 95th percentile, and
-running break counts.
+splitting is page-local too: Spark splits sentences and tokenises them, one Arrow
+UDF per batch of pages finds the breaks (no shuffle). The same rules written as
+joins and windows (``chunk_semantic_relational``) are kept as a second plan.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,9 +141,66 @@ def sentences(pages: DataFrame, text_col: str = "text", keys: list[str] | None =
     return s.select(*keys, F.size("ss").alias("n_sent"), F.posexplode("ss").alias("i", "sentence"))
 
 
+def _bucket(tok: str, dim: int, cache: dict) -> int:
+    b = cache.get(tok)
+    if b is None:
+        b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
+        cache[tok] = b
+    return b
+
+
+def semantic_pieces(sents: list, toks: list, dim: int, percentile: float, buffer: int, cache: dict) -> list:
+    """Pieces of one page: hashed token counts per sentence, groups of 2*buffer+1
+    neighbouring sentences (prefix sums), cosine distance between consecutive groups,
+    break after sentence i where the distance exceeds the page's percentile."""
+    n = len(sents)
+    if n == 1:
+        return [sents[0]]
+    counts = np.zeros((n, dim))
+    for i, ts in enumerate(toks):
+        for t in ts:
+            counts[i, _bucket(t, dim, cache)] += 1.0
+    pre = np.vstack([np.zeros((1, dim)), np.cumsum(counts, axis=0)])
+    g = np.arange(n)
+    groups = pre[np.minimum(n, g + buffer + 1)] - pre[np.maximum(0, g - buffer)]
+    norm = np.sqrt((groups * groups).sum(axis=1))
+    dot = (groups[:-1] * groups[1:]).sum(axis=1)
+    ok = (norm[:-1] > 0) & (norm[1:] > 0)
+    cos = np.where(ok, dot / np.where(ok, norm[:-1] * norm[1:], 1.0), 0.0)
+    d = 1.0 - cos
+    brk = d > np.percentile(d, percentile * 100.0)
+    pieces, start = [], 0
+    for i in np.flatnonzero(brk):
+        pieces.append(" ".join(sents[start:i + 1]))
+        start = i + 1
+    pieces.append(" ".join(sents[start:]))
+    return pieces
+
+
 def chunk_semantic(pages: DataFrame, dim: int = 256, percentile: float = 0.95, buffer: int = 1,
                    text_col: str = "text", keys: list[str] | None = None) -> DataFrame:
-    """C3 + C4: break a page where the cosine distance between neighbouring sentence
+    """C3 + C4 (default plan): sentences and their tokens are computed by Spark; one Arrow
+    batch of pages at a time, numpy finds each page's pieces. Pages are independent, so
+    nothing is shuffled. Same rules as ``chunk_semantic_relational``."""
+    keys = keys or _CHUNK_COLS
+    marked = F.regexp_replace(F.col(text_col), _SENT_END, "$1" + _SENT_MARK)
+    sents = F.split(marked, _SENT_MARK, -1)
+    toks = F.transform(sents, lambda x: T.tokens(x, fold_accents=False))
+
+    @F.pandas_udf(TY.ArrayType(TY.StringType()))
+    def split(ss: pd.Series, ts: pd.Series) -> pd.Series:
+        cache: dict = {}
+        return pd.Series([semantic_pieces(list(a), [list(t) for t in b], dim, percentile, buffer, cache)
+                          for a, b in zip(ss, ts)])
+
+    out = pages.select(*keys, F.posexplode(split(sents, toks)).alias("chunk_index", "content"))
+    out = out.where(~T.is_blank("content"))
+    return out.select(*keys, F.col("chunk_index").cast("long").alias("chunk_index"), "content")
+
+
+def chunk_semantic_relational(pages: DataFrame, dim: int = 256, percentile: float = 0.95, buffer: int = 1,
+                              text_col: str = "text", keys: list[str] | None = None) -> DataFrame:
+    """C3 + C4 as joins and windows: break a page where the cosine distance between neighbouring sentence
     groups (each sentence with ``buffer`` neighbours per side, hashed to ``dim``
     buckets) exceeds the page's ``percentile`` of those distances; join sentences of
     a piece with one space; drop blank pieces. A page of one sentence stays whole.

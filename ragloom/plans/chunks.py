@@ -32,6 +32,10 @@ def q_chunk_semantic(spark, sf):
     return chunking.chunk_semantic(_pages(spark, sf), dim=SEMANTIC_DIM)
 
 
+def q_chunk_semantic_relational(spark, sf):
+    return chunking.chunk_semantic_relational(_pages(spark, sf), dim=SEMANTIC_DIM)
+
+
 def q_chunk_stats(spark, sf):
     return r6(chunking.chunk_stats(chunking.chunk_separator(_pages(spark, sf), "\n")), "avg_len")
 
@@ -135,6 +139,7 @@ register("chunk_separator", q_chunk_separator, separator_chunks_sql("\n\n"))
 register("chunk_lines", q_chunk_lines, separator_chunks_sql("\n"))
 register("chunk_recursive", q_chunk_recursive, None)
 register("chunk_semantic", q_chunk_semantic, semantic_chunks_sql())
+register("chunk_semantic_relational", q_chunk_semantic_relational, semantic_chunks_sql())
 register("chunk_stats", q_chunk_stats, chunk_stats_sql())
 register("embed_hash", q_embed_hash, X.with_ctes("chunks") + f"""
     SELECT chunk_id, bucket, {r6_sql('weight / sqrt(sum(weight * weight) OVER (PARTITION BY chunk_id))')} AS weight
