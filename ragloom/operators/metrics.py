@@ -76,30 +76,32 @@ def ngrams(tokens: Column, n: int) -> Column:
                        lambda i: F.array_join(F.slice(tokens, i, n), " ")) if n > 0 else tokens
 
 
-def _ngram_rows(pairs: DataFrame, tok_fn, side: str, orders) -> DataFrame:
-    t = pairs.select("qid", tok_fn(F.col(side)).alias("t"))
-    parts = []
-    for n in orders:
-        parts.append(t.where(F.size("t") >= n).select(
-            "qid", F.lit(n).alias("n"), F.explode(ngrams(F.col("t"), n)).alias("gram")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("qid", "n", "gram").agg(F.count(F.lit(1)).alias("c"))
+def _tagger(n: int, side: int):
+    return lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram"))
 
 
 def _overlap(pairs: DataFrame, tok_fn, orders) -> DataFrame:
-    """Per (qid, n): clipped matches, prediction n-grams, reference n-grams."""
-    p = _ngram_rows(pairs, tok_fn, "prediction", orders)
-    r = _ngram_rows(pairs, tok_fn, "reference", orders).withColumnRenamed("c", "cr")
-    m = p.join(r, ["qid", "n", "gram"]).groupBy("qid", "n").agg(F.sum(F.least("c", "cr")).alias("match"))
-    lens = pairs.select("qid", F.size(tok_fn(F.col("prediction"))).alias("lp"),
-                        F.size(tok_fn(F.col("reference"))).alias("lr"))
-    base = lens.select("*", F.explode(F.array(*[F.lit(n) for n in orders])).alias("n"))
-    return base.join(m, ["qid", "n"], "left").select(
-        "qid", "n", F.coalesce("match", F.lit(0)).cast("long").alias("match"),
-        F.greatest(F.col("lp") - F.col("n") + 1, F.lit(0)).alias("pred_n"),
-        F.greatest(F.col("lr") - F.col("n") + 1, F.lit(0)).alias("ref_n"), "lp", "lr")
+    """Per (qid, n): clipped matches, prediction n-grams, reference n-grams, token counts.
+
+    Both sides are tokenised once; one generator emits every n-gram of every order
+    tagged with its side (plus one marker row per order, so pairs without n-grams of
+    some order still get a row); clipping is ``least`` of the two side counts after one
+    aggregation, so no join is needed.
+    """
+    t = pairs.select("qid", tok_fn(F.col("prediction")).alias("tp"), tok_fn(F.col("reference")).alias("tr"))
+    items = []
+    for n in orders:
+        items.append(F.array(F.struct(F.lit(n).alias("n"), F.lit(2).alias("side"), F.lit(None).cast("string").alias("gram"))))
+        for side, col in ((0, "tp"), (1, "tr")):
+            grams = F.when(F.size(col) >= n, ngrams(F.col(col), n)).otherwise(F.array().cast("array<string>"))
+            items.append(F.transform(grams, _tagger(n, side)))
+    e = t.select("qid", F.explode(F.concat(*items)).alias("x")).select("qid", "x.n", "x.side", "x.gram")
+    per_gram = e.groupBy("qid", "n", "gram").agg(
+        F.sum((F.col("side") == 0).cast("long")).alias("cp"), F.sum((F.col("side") == 1).cast("long")).alias("cr"))
+    per_n = per_gram.groupBy("qid", "n").agg(
+        F.sum(F.least("cp", "cr")).alias("match"), F.sum("cp").alias("pred_n"), F.sum("cr").alias("ref_n"))
+    return per_n.select("qid", "n", F.col("match").cast("long").alias("match"), "pred_n", "ref_n",
+                        F.col("pred_n").alias("lp"), F.col("ref_n").alias("lr"))
 
 
 def bleu(pairs: DataFrame, max_order: int = 4) -> DataFrame:

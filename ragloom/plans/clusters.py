@@ -43,8 +43,10 @@ def q_combined_embedding(spark, sf):
 
 
 def _cluster_hits(spark, sf):
-    c = sizing.materialize(_clustered(spark, sf).select("chunk_id", "content", "combined_embedding"))
-    q = sizing.materialize(X.search_queries(spark, sf, X.chunks(spark, sf)))
+    ch = sizing.materialize(X.chunks(spark, sf))
+    c = sizing.materialize(K.clustered_chunks(K.with_hash(ch), K.label_from_column(ch))
+                           .select("chunk_id", "content", "combined_embedding"))
+    q = sizing.materialize(X.search_queries(spark, sf, ch))
     dim = vector_search.vector_width(q, "query_vec")
     top = vector_search.semantic_topk(c, q, C.CLUSTER_CANDIDATES, dim=dim, chunk_vec="combined_embedding")
     return top, c, q

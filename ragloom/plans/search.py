@@ -17,7 +17,8 @@ DIM_SQL = "len(query_vec)"
 
 
 def _inputs(spark, sf_dir):
-    ch = X.chunks(spark, sf_dir)
+    """The chunk table (stored once, as a loader would) and the query batch."""
+    ch = sizing.materialize(X.chunks(spark, sf_dir))
     q = sizing.materialize(X.search_queries(spark, sf_dir, ch))
     return ch, q
 
@@ -198,7 +199,7 @@ register("ann_recall", q_ann_recall, None)
 # ------------------------------------------------------------------ F7: language-routed lexical search
 
 def _config_inputs(spark, sf):
-    ch = X.chunks(spark, sf).withColumn("config", T.language_config("language"))
+    ch = sizing.materialize(X.chunks(spark, sf).withColumn("config", T.language_config("language")))
     q = X.search_queries(spark, sf, ch).join(ch.select(F.col("chunk_id").alias("query_id"), "config"), "query_id")
     return ch, sizing.materialize(q)
 

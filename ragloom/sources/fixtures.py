@@ -81,7 +81,7 @@ def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Columns: qid = conv_id * 100000 + turn, conv_id, turn, question, answer.
     """
-    conv = read_table(spark, sf_dir, "conversations")
+    conv = read_table(spark, sf_dir, "conversations", spread_key="conv_id")
     u = conv.where(F.col("role") == "user").alias("u")
     a = conv.where(F.col("role") == "assistant").alias("a")
     return u.join(a, (F.col("u.conv_id") == F.col("a.conv_id")) & (F.col("a.turn") == F.col("u.turn") + 1)).select(
