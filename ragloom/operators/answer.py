@@ -93,12 +93,11 @@ def prompt_table(questions: DataFrame, contexts: DataFrame, history: Column | No
     ctx = F.coalesce(F.col("context"), F.lit(""))
     fields = dict(context=ctx, chat_history=hist, question=F.col("query_text"))
     has = F.col("context").isNotNull()
-    used = {k: v for k, v in fields.items()}
     return j.select(
         "query_id",
         F.when(has, F.lit("context")).otherwise(F.lit("no_context")).alias("template"),
-        F.when(has, fill(sys_c, **used)).otherwise(fill(sys_n, **used)).alias("system_prompt"),
-        F.when(has, fill(usr_c, **used)).otherwise(fill(usr_n, **used)).alias("user_prompt"),
+        F.when(has, fill(sys_c, **fields)).otherwise(fill(sys_n, **fields)).alias("system_prompt"),
+        F.when(has, fill(usr_c, **fields)).otherwise(fill(usr_n, **fields)).alias("user_prompt"),
     )
 
 

@@ -27,7 +27,7 @@ def _knn_block(k: int, id_col: str, vec_col: str):
         left = pdf[pdf["side"] == 0]
         right = pdf[pdf["side"] == 1]
         empty = pd.DataFrame({"id": [], "nbr": [], "dist": []}).astype({"id": "int64", "nbr": "int64"})
-        if len(left) == 0 or len(right) <= 0:
+        if len(left) == 0 or len(right) == 0:
             return empty
         lv = np.stack([np.asarray(v, dtype=np.float64) for v in left[vec_col]])
         rv = np.stack([np.asarray(v, dtype=np.float64) for v in right[vec_col]])

@@ -1,13 +1,13 @@
 """Full-text search: postings, plain query parsing, match, cover-density rank, top-k.
 
-Plan shape (see README "Scale"):
-  chunks --posexplode--> postings (chunk_id, pos, tok)
-  postings JOIN query lexemes ON tok        (query lexemes broadcast when their size is
-                                              checked small; otherwise a shuffled join
-                                              that AQE splits on hot tokens)
-  groupBy(query_id, chunk_id)               (one chunk's occurrences: bounded by chunk length)
-  cover-density fold over the ordered occurrences (HOF, JVM side)
-  row_number per query <= k                 (partial WindowGroupLimit before the shuffle)
+Plan shape (see README "Scale design"):
+  query lexemes fit the broadcast bound (checked):
+    chunks --mapInPandas--> tokens hash-merged with the broadcast lexemes, covers scored
+    per (query, chunk) in numpy; only matches leave the task (no postings shuffle)
+  otherwise:
+    postings JOIN lexemes ON tok (AQE splits hot tokens) -> hash by (query, chunk),
+    sort within partitions by position -> the same vectorised scoring
+  row_number per query <= k (partial WindowGroupLimit before the shuffle)
 """
 
 from __future__ import annotations
@@ -53,42 +53,6 @@ def query_lexemes(queries: DataFrame, text_col: str = "query_text", fold_accents
         "query_id", F.size("lex").alias("n_lex"), F.posexplode("lex").alias("li", "tok"))
 
 
-def _cover_density(occ: DataFrame) -> DataFrame:
-    """F4 + F5 per (query_id, chunk_id) from occurrence rows (pos, li).
-
-    Minimal covers are found in one pass over the occurrences in position order:
-    ``last[li]`` holds the latest (pos, ordinal) of each lexeme; once all lexemes are
-    seen, the cover ending here starts at s = min(last). It is minimal exactly when s
-    moved since the previous occurrence. Each contributes 0.1 / (1 + noise) with
-    noise = (end - s) - (#occurrences inside - 1).
-    """
-    g = occ.groupBy("query_id", "chunk_id").agg(
-        F.first("n_lex").alias("n_lex"),
-        F.array_sort(F.collect_list(F.struct("pos", "li"))).alias("occ"),
-    )
-    g = g.where(F.size(F.array_distinct(F.transform("occ", lambda o: o["li"]))) == F.col("n_lex"))
-
-    init = F.struct(
-        F.array_repeat(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("r")), F.col("n_lex")).alias("last"),
-        F.lit(0).alias("r"),
-        F.lit(-1).alias("prev_s"),
-        F.lit(0.0).cast("double").alias("score"),
-    )
-
-    def step(acc, o):
-        r = acc["r"] + 1
-        last = F.transform(acc["last"], lambda e, i: F.when(i == o["li"], F.struct(o["pos"].alias("pos"), r.alias("r")))
-                           .otherwise(e))
-        s = F.array_min(last)
-        minimal = (s["pos"] > 0) & (s["pos"] > acc["prev_s"])
-        noise = (o["pos"] - s["pos"]) - (r - s["r"])
-        add = F.when(minimal, F.lit(C.COVER_WEIGHT) / (noise + 1).cast("double")).otherwise(F.lit(0.0))
-        return F.struct(last.alias("last"), r.alias("r"), s["pos"].alias("prev_s"), (acc["score"] + add).alias("score"))
-
-    rank = F.aggregate("occ", init, step, lambda acc: acc["score"])
-    return g.select("query_id", "chunk_id", round_half_up(rank, RANK_DIGITS).alias("rank_bm25"))
-
-
 _BIG = np.int64(1) << np.int64(32)
 
 
@@ -212,17 +176,6 @@ def lexical_scan(chunks: DataFrame, qlex: DataFrame, config_col: str | None = No
     return out.select("query_id", "chunk_id", round_half_up("score", RANK_DIGITS).alias("rank_bm25"))
 
 
-def occurrences(post: DataFrame, qlex: DataFrame, broadcast_limit_bytes: int | None = None) -> DataFrame:
-    """Positions of query lexemes in chunks: postings JOIN query lexemes ON tok.
-
-    The lexeme table is broadcast only if its measured size fits; otherwise both sides
-    shuffle on ``tok`` and AQE's skew handling splits hot tokens.
-    """
-    small = sizing.fits_broadcast(qlex, row_bytes=48, limit=broadcast_limit_bytes)
-    right = F.broadcast(qlex) if small else qlex
-    return post.join(right, "tok").select("query_id", "chunk_id", "pos", "li", "n_lex")
-
-
 def query_lexemes_config(queries: DataFrame, text_col: str = "query_text", config_col: str = "config") -> DataFrame:
     """F3 + F7: query lexemes with the stop words of the query's own configuration removed."""
     from ragloom.operators import stopwords

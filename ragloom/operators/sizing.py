@@ -28,8 +28,13 @@ def fits_broadcast(df: DataFrame, row_bytes: int, limit: int | None = None, n_ro
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint into the session's checkpoint folder."""
-    from ragloom.session import checkpoint_dir
+    """Cut lineage by writing the rows as parquet under the session's checkpoint folder
+    and reading them back: later scans prune columns and push filters like any stored
+    table, and a lost executor re-reads files instead of recomputing the plan."""
+    import uuid
 
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from ragloom.session import scratch_path
+
+    path = scratch_path(df.sparkSession, f"tables/{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -44,10 +44,12 @@ def test_cover_density_matches_brute_force(spark):
                 expect[(qid, cid)] = round(s, 9)
     ch = spark.createDataFrame(docs, "chunk_id long, content string")
     q = spark.createDataFrame(queries, "query_id long, query_text string")
-    got = {(r.query_id, r.chunk_id): r.rank_bm25 for r in lexical.lexical_match(ch, q).collect()}
-    assert got.keys() == expect.keys()
-    for k, v in expect.items():
-        assert abs(got[k] - v) < 1e-9
+    for limit in (None, 10):  # broadcast scan, then the shuffled path
+        got = {(r.query_id, r.chunk_id): r.rank_bm25
+               for r in lexical.lexical_match(ch, q, broadcast_limit_bytes=limit).collect()}
+        assert got.keys() == expect.keys()
+        for k, v in expect.items():
+            assert abs(got[k] - v) < 1e-9
 
 
 def test_single_lexeme_rank_is_tenth_of_tf(spark):
