@@ -1,8 +1,8 @@
 """Intra-document clustering (J): neighbours, cluster ids, centroids, combined vectors.
 
 Within-document k-NN runs on bounded blocks: each document's chunks are hashed into
-blocks of at most ``block_rows``; every (left block, right block) pair of one
-document meets in one ``applyInPandas`` group (at most 2 x block_rows rows),
+ceil(n / ``block_rows``) blocks; every (left block, right block) pair of one
+document meets in one ``applyInPandas`` group (about 2 x block_rows rows),
 computes distances in numpy and emits only each left row's k best. A very large
 document therefore spreads over many tasks instead of landing in one.
 """

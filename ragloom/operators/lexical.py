@@ -36,7 +36,7 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "conte
     p = chunks.select(
         F.col(id_col).alias("chunk_id"),
         F.posexplode(T.tokens(text_col, fold_accents=fold_accents)).alias("pos", "tok"),
-    ).select("chunk_id", (F.col("pos") + 1).alias("pos"), "tok")
+    ).select("chunk_id", (F.col("pos") + 1).cast("long").alias("pos"), "tok")
     if stop_words is not None:
         p = p.join(F.broadcast(stop_words.select("tok").distinct()), "tok", "left_anti")
     return p

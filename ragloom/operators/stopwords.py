@@ -53,7 +53,7 @@ def config_postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str =
     p = chunks.select(
         F.col(id_col).alias("chunk_id"), F.col(config_col).alias("config"),
         F.posexplode(T.tokens(text_col, fold_accents=True)).alias("pos", "tok"),
-    ).select("chunk_id", "config", (F.col("pos") + 1).alias("pos"), "tok")
+    ).select("chunk_id", "config", (F.col("pos") + 1).cast("long").alias("pos"), "tok")
     # the stop table is a fixed dictionary (a few thousand words), so broadcasting it is bounded
     sw = F.broadcast(stop_table(chunks.sparkSession))
     return p.join(sw, ["config", "tok"], "left_anti").select("chunk_id", "pos", "tok")
