@@ -104,6 +104,36 @@ def rouge_sql() -> str:
         FROM (SELECT qid, n, {f} AS f FROM ({_overlap_sql(M.rouge_tokens_sql, (1, 2))})) GROUP BY qid"""
 
 
+def greedy_sql(dim: int = 64) -> str:
+    """L4 twin: token-occurrence means of best trigram-vector cosine, both directions."""
+    from ragloom.operators.embedding import hash_bucket_sql
+
+    grams = "list_transform(range(1, length('<' || tok || '>') - 1), lambda k: substring('<' || tok || '>', k, 3))"
+    return f""",
+    tp AS (SELECT qid, unnest({M.rouge_tokens_sql('prediction')}) AS tok FROM predictions),
+    tr AS (SELECT qid, unnest({M.rouge_tokens_sql('reference')}) AS tok FROM predictions),
+    vocab AS (SELECT tok FROM tp UNION SELECT tok FROM tr),
+    tg AS (SELECT tok, {hash_bucket_sql('gram', dim)} AS bucket, count(*)::DOUBLE AS c
+           FROM (SELECT tok, unnest({grams}) AS gram FROM vocab) GROUP BY ALL),
+    tn AS (SELECT tok, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY tok)) AS w FROM tg),
+    pairs AS (SELECT a.qid, a.tok AS ta, b.tok AS tb
+              FROM (SELECT DISTINCT qid, tok FROM tp) a JOIN (SELECT DISTINCT qid, tok FROM tr) b ON a.qid = b.qid),
+    sim AS (SELECT p.qid, p.ta, p.tb, sum(x.w * y.w) AS s
+            FROM pairs p JOIN tn x ON x.tok = p.ta JOIN tn y ON y.tok = p.tb AND y.bucket = x.bucket GROUP BY ALL),
+    bp AS (SELECT qid, ta, max(s) AS m FROM sim GROUP BY ALL),
+    br AS (SELECT qid, tb, max(s) AS m FROM sim GROUP BY ALL),
+    prec AS (SELECT t.qid, avg(coalesce(bp.m, 0.0)) AS p FROM tp t
+             LEFT JOIN bp ON bp.qid = t.qid AND bp.ta = t.tok GROUP BY t.qid),
+    rec AS (SELECT t.qid, avg(coalesce(br.m, 0.0)) AS r FROM tr t
+            LEFT JOIN br ON br.qid = t.qid AND br.tb = t.tok GROUP BY t.qid),
+    pr AS (SELECT q.qid, CASE WHEN p.p IS NULL OR r.r IS NULL THEN 0.0 ELSE p.p END AS p,
+                  CASE WHEN p.p IS NULL OR r.r IS NULL THEN 0.0 ELSE r.r END AS r
+           FROM predictions q LEFT JOIN prec p ON p.qid = q.qid LEFT JOIN rec r ON r.qid = q.qid)
+    SELECT qid, {r6_sql('p')} AS greedy_precision, {r6_sql('r')} AS greedy_recall,
+           {r6_sql('CASE WHEN p + r > 0 THEN 2.0 * p * r / (p + r) ELSE 0.0 END')} AS greedy_f1
+    FROM pr"""
+
+
 RANK_CTES = dict(S.SEARCH_CTES)
 RANK_CTES.update({
     "hits05": (("fused",), """
@@ -127,7 +157,7 @@ register("bleu", q_bleu, bleu_sql())
 register("rouge_n", q_rouge_n, X.with_ctes("predictions") + f"""
     SELECT qid, {r6_sql('rouge1_f1')} AS rouge1_f1, {r6_sql('rouge2_f1')} AS rouge2_f1 FROM ({rouge_sql()})""")
 register("rouge_l", q_rouge_l, None)
-register("greedy_match_score", q_greedy_match_score, None)
+register("greedy_match_score", q_greedy_match_score, X.with_ctes("predictions") + greedy_sql())
 register("recall_at_k", q_recall_at_k, rctes("flagged", "n_rel") + f"""
     SELECT CAST({K_RECALL} AS BIGINT) AS k, {r6_sql('avg(recall)')} AS recall, count(*) AS n_queries FROM (
       SELECT coalesce(g.g, 0) / n.n_relevant AS recall FROM n_rel n
