@@ -41,18 +41,20 @@ def sparse_hash_vectors(df: DataFrame, id_cols: list[str], text_col: str, dim: i
     return counts.join(norms, id_cols).select(*id_cols, "bucket", (F.col("weight") / F.col("norm")).alias("weight"))
 
 
-def densify(sparse: DataFrame, id_cols: list[str], dim: int, out_col: str = "embedding") -> DataFrame:
-    """Sparse ``(id, bucket, weight)`` rows -> one ``ARRAY<FLOAT>`` of width ``dim`` per id."""
+def densify(sparse: DataFrame, id_cols: list[str], dim: int, out_col: str = "embedding",
+            dtype: str = "float") -> DataFrame:
+    """Sparse ``(id, bucket, weight)`` rows -> one dense array of width ``dim`` per id."""
     g = sparse.groupBy(*id_cols).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")),
-                        lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)).cast("float"))
+                        lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)).cast(dtype))
     return g.select(*id_cols, dense.alias(out_col))
 
 
 def hash_embed(df: DataFrame, id_cols: list[str], text_col: str, dim: int, prefix: str = "",
-               out_col: str = "embedding") -> DataFrame:
-    """D1 default: dense hashed vectors joined back to the input rows (texts with no token get NULL)."""
-    dense = densify(sparse_hash_vectors(df, id_cols, text_col, dim, prefix), id_cols, dim, out_col)
+               out_col: str = "embedding", dtype: str = "float") -> DataFrame:
+    """D1/D2 default: dense hashed vectors joined back to the input rows (texts with no
+    token get NULL). ``prefix`` is ``passage: `` for chunks and ``query: `` for questions."""
+    dense = densify(sparse_hash_vectors(df, id_cols, text_col, dim, prefix), id_cols, dim, out_col, dtype)
     return df.join(dense, id_cols, "left")
 
 

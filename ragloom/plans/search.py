@@ -246,3 +246,64 @@ def _hybrid_config_sql():
 register("hybrid_search_config", q_hybrid_search_config, _hybrid_config_sql())
 register("lexical_match_config", q_lexical_match_config, X.with_ctes("lex_rank", extra=_config_ctes()) +
          f"SELECT query_id, chunk_id, {r6_sql('rank_bm25')} AS rank_bm25 FROM lex_rank")
+
+
+# ------------------------------------------------------------------ D2 + H6: free-text questions end to end
+
+TEXT_DIM = 64
+
+
+def _text_inputs(spark, sf):
+    """Benchmark texts as questions; chunk and question vectors from the hashed embedder
+    (``passage: `` / ``query: `` prefixes), kept in double precision."""
+    from ragloom.operators import embedding
+
+    ch = X.chunks(spark, sf).drop("embedding")
+    vec = embedding.hash_embed(ch.select("chunk_id", "content"), ["chunk_id"], "content", TEXT_DIM,
+                               prefix=C.PASSAGE_PREFIX, dtype="double")
+    chunks = sizing.materialize(ch.join(vec.select("chunk_id", "embedding"), "chunk_id"))
+    b = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    q = embedding.hash_embed(b, ["query_id"], "query_text", TEXT_DIM, prefix=C.QUERY_PREFIX, out_col="query_vec",
+                             dtype="double")
+    return chunks, sizing.materialize(q)
+
+
+def q_hybrid_search_text(spark, sf):
+    ch, q = _text_inputs(spark, sf)
+    out = fusion.hybrid_search(ch, q, threshold=0.5, with_content=False, materialize_queries=False)
+    return r6(out, "rank_bm25", "rank_semantic", "final_rank")
+
+
+def _sparse_sql(view: str, id_col: str, text_col: str, prefix: str, out_id: str) -> str:
+    from ragloom.operators.embedding import hash_bucket_sql
+
+    toks = T.tokens_sql(f"'{prefix}' || {text_col}", False)
+    return f"""
+        SELECT {out_id}, bucket, weight / sqrt(sum(weight * weight) OVER (PARTITION BY {out_id})) AS w
+        FROM (SELECT {out_id}, {hash_bucket_sql('tok', TEXT_DIM)} AS bucket, count(*)::DOUBLE AS weight
+              FROM (SELECT {id_col} AS {out_id}, unnest({toks}) AS tok FROM {view}) GROUP BY ALL)"""
+
+
+def _text_ctes():
+    d = dict(SEARCH_CTES)
+    d["queries"] = ((), "SELECT item_id AS query_id, text AS query_text FROM benchmark")
+    d["cw"] = (("chunks",), _sparse_sql("chunks", "chunk_id", "content", C.PASSAGE_PREFIX, "chunk_id"))
+    d["qw"] = (("queries",), _sparse_sql("queries", "query_id", "query_text", C.QUERY_PREFIX, "query_id"))
+    d["sem_all"] = (("queries", "chunks", "cw", "qw"), f"""
+        SELECT q.query_id, c.chunk_id,
+               {rhu_sql("(1.0 + coalesce(d.dot, 0.0)) / 2.0", 9)} AS rank_semantic
+        FROM (SELECT DISTINCT query_id FROM qw) q CROSS JOIN (SELECT DISTINCT chunk_id FROM cw) c
+        LEFT JOIN (SELECT qw.query_id, cw.chunk_id, sum(qw.w * cw.w) AS dot
+                   FROM qw JOIN cw ON cw.bucket = qw.bucket GROUP BY ALL) d
+          ON d.query_id = q.query_id AND d.chunk_id = c.chunk_id""")
+    return d
+
+
+register("hybrid_search_text", q_hybrid_search_text, X.with_ctes("fused", "chunks", extra=_text_ctes()) + f"""
+        SELECT f.query_id, f.rank, f.chunk_id, c.source, c.page_number,
+               {r6_sql('f.rank_bm25')} AS rank_bm25, {r6_sql('f.rank_semantic')} AS rank_semantic,
+               {r6_sql('f.final_rank')} AS final_rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_rank DESC, chunk_id) AS rank
+              FROM fused WHERE final_rank > 0.5) f
+        JOIN chunks c ON c.chunk_id = f.chunk_id
+        WHERE f.rank <= {C.FUSED_TOP}""")
