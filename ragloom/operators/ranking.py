@@ -1,10 +1,15 @@
 """Row numbers inside groups that may be hot.
 
 ``Window.partitionBy(group).orderBy(key)`` sends a whole group to one task. Here
-the rows are range-partitioned on (group, key), so a large group spans many
-partitions; each partition numbers its rows locally and adds the number of rows
-of the same group in earlier partitions, taken from a (partition, group) count
-table that has at most #partitions + #groups rows.
+the rows are range-partitioned and sorted on (group, key) once, so a large group
+spans many partitions, and each row is stamped with ``monotonically_increasing_id``
+(partition id in the high bits, position inside the partition in the low bits).
+That table is written once; positions and the per-(partition, group) counts are
+both read from the written copy, so they always agree (range bounds come from
+sampling, and two separately planned range shuffles could pick different bounds).
+A row's number is the count of its group in earlier partitions plus its position
+after the group's first row in its own partition. The count table has at most
+#partitions + #groups rows; the rows themselves are not shuffled again.
 """
 
 from __future__ import annotations
@@ -12,15 +17,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragloom.operators import sizing
+
 
 def row_number_in_groups(df: DataFrame, group: str, order: str, out: str = "row_number",
                          n_parts: int | None = None) -> DataFrame:
     """1-based position of each row inside its ``group`` ordered by ``order`` (unique)."""
     n = n_parts or max(df.sparkSession.sparkContext.defaultParallelism, 1)
-    r = df.repartitionByRange(n, group, order).withColumn("_pid", F.spark_partition_id())
-    local = r.withColumn("_ln", F.row_number().over(Window.partitionBy("_pid", group).orderBy(order)))
-    counts = r.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("_c"))
+    r = df.repartitionByRange(n, group, order).sortWithinPartitions(group, order)
+    r = sizing.materialize(r.withColumn("_mid", F.monotonically_increasing_id()))
+    r = r.withColumn("_pid", F.shiftright(F.col("_mid"), 33))
+    stats = r.groupBy("_pid", group).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", group, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    return local.join(offsets, ["_pid", group]).withColumn(out, (F.col("_off") + F.col("_ln")).cast("long")).drop(
-        "_pid", "_ln", "_off")
+    offsets = stats.select("_pid", group, "_first", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    numbered = r.join(offsets, ["_pid", group])
+    return numbered.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("long")).drop(
+        "_pid", "_mid", "_first", "_off")
