@@ -104,11 +104,12 @@ def rouge_sql() -> str:
         FROM (SELECT qid, n, {f} AS f FROM ({_overlap_sql(M.rouge_tokens_sql, (1, 2))})) GROUP BY qid"""
 
 
-def greedy_sql(dim: int = 64) -> str:
+def greedy_sql(dim: int = 64, rounded: bool = True) -> str:
     """L4 twin: token-occurrence means of best trigram-vector cosine, both directions."""
     from ragloom.operators.embedding import hash_bucket_sql
 
     grams = "list_transform(range(1, length('<' || tok || '>') - 1), lambda k: substring('<' || tok || '>', k, 3))"
+    rd = r6_sql if rounded else (lambda e: e)
     return f""",
     tp AS (SELECT qid, unnest({M.rouge_tokens_sql('prediction')}) AS tok FROM predictions),
     tr AS (SELECT qid, unnest({M.rouge_tokens_sql('reference')}) AS tok FROM predictions),
@@ -116,10 +117,13 @@ def greedy_sql(dim: int = 64) -> str:
     tg AS (SELECT tok, {hash_bucket_sql('gram', dim)} AS bucket, count(*)::DOUBLE AS c
            FROM (SELECT tok, unnest({grams}) AS gram FROM vocab) GROUP BY ALL),
     tn AS (SELECT tok, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY tok)) AS w FROM tg),
+    tv AS (SELECT tok, list_transform(range(0, {dim}), lambda k: coalesce(list_sum(list_transform(
+               list_filter(e, lambda x: x.b = k), lambda x: x.w)), 0.0)) AS v
+           FROM (SELECT tok, list({{'b': bucket, 'w': w}}) AS e FROM tn GROUP BY tok)),
     pairs AS (SELECT a.qid, a.tok AS ta, b.tok AS tb
               FROM (SELECT DISTINCT qid, tok FROM tp) a JOIN (SELECT DISTINCT qid, tok FROM tr) b ON a.qid = b.qid),
-    sim AS (SELECT p.qid, p.ta, p.tb, sum(x.w * y.w) AS s
-            FROM pairs p JOIN tn x ON x.tok = p.ta JOIN tn y ON y.tok = p.tb AND y.bucket = x.bucket GROUP BY ALL),
+    sim AS (SELECT p.qid, p.ta, p.tb, list_dot_product(x.v, y.v) AS s
+            FROM pairs p JOIN tv x ON x.tok = p.ta JOIN tv y ON y.tok = p.tb),
     bp AS (SELECT qid, ta, max(s) AS m FROM sim GROUP BY ALL),
     br AS (SELECT qid, tb, max(s) AS m FROM sim GROUP BY ALL),
     prec AS (SELECT t.qid, avg(coalesce(bp.m, 0.0)) AS p FROM tp t
@@ -129,11 +133,36 @@ def greedy_sql(dim: int = 64) -> str:
     pr AS (SELECT q.qid, CASE WHEN p.p IS NULL OR r.r IS NULL THEN 0.0 ELSE p.p END AS p,
                   CASE WHEN p.p IS NULL OR r.r IS NULL THEN 0.0 ELSE r.r END AS r
            FROM predictions q LEFT JOIN prec p ON p.qid = q.qid LEFT JOIN rec r ON r.qid = q.qid)
-    SELECT qid, {r6_sql('p')} AS greedy_precision, {r6_sql('r')} AS greedy_recall,
-           {r6_sql('CASE WHEN p + r > 0 THEN 2.0 * p * r / (p + r) ELSE 0.0 END')} AS greedy_f1
+    SELECT qid, {rd('p')} AS greedy_precision, {rd('r')} AS greedy_recall,
+           {rd('CASE WHEN p + r > 0 THEN 2.0 * p * r / (p + r) ELSE 0.0 END')} AS greedy_f1
     FROM pr"""
 
 
+def rouge_l_sql(rounded: bool = True) -> str:
+    """L3 twin: LCS by a recursive CTE over reference tokens; each step builds the next
+    DP row as the running maximum of (match ? left-diagonal + 1 : above)."""
+    rt = M.rouge_tokens_sql
+    lcs = X.with_ctes("predictions").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+    tp AS (SELECT qid, unnest(t) AS tok, generate_subscripts(t, 1) AS j FROM (SELECT qid, {rt('prediction')} AS t FROM predictions)),
+    tr AS (SELECT qid, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM (SELECT qid, {rt('reference')} AS t FROM predictions)),
+    rec AS (
+      SELECT qid, 0 AS i, j, 0 AS l FROM tp
+      UNION ALL
+      SELECT qid, i + 1, j, max(cand) OVER (PARTITION BY qid ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+      FROM (SELECT r.qid, r.i, r.j,
+                   CASE WHEN b.tok = a.tok THEN coalesce(lag(r.l) OVER (PARTITION BY r.qid ORDER BY r.j), 0) + 1
+                        ELSE r.l END AS cand
+            FROM rec r JOIN tr b ON b.qid = r.qid AND b.i = r.i + 1 JOIN tp a ON a.qid = r.qid AND a.j = r.j)),
+    lens AS (SELECT qid, len({rt('prediction')}) AS lp, len({rt('reference')}) AS lr FROM predictions),
+    best AS (SELECT r.qid, r.l FROM rec r JOIN lens n ON n.qid = r.qid AND r.i = n.lr AND r.j = n.lp)
+    """
+    p = "coalesce(b.l, 0) / greatest(n.lp, 1)"
+    r = "coalesce(b.l, 0) / greatest(n.lr, 1)"
+    f = f"CASE WHEN ({p}) + ({r}) > 0 THEN 2.0 * ({p}) * ({r}) / (({p}) + ({r})) ELSE 0.0 END"
+    out = r6_sql(f) if rounded else f
+    return lcs + f"SELECT n.qid, {out} AS rougeL_f1 FROM lens n LEFT JOIN best b ON b.qid = n.qid"
+
+
 RANK_CTES = dict(S.SEARCH_CTES)
 RANK_CTES.update({
     "hits05": (("fused",), """
@@ -156,7 +185,7 @@ def rctes(*names):
 register("bleu", q_bleu, bleu_sql())
 register("rouge_n", q_rouge_n, X.with_ctes("predictions") + f"""
     SELECT qid, {r6_sql('rouge1_f1')} AS rouge1_f1, {r6_sql('rouge2_f1')} AS rouge2_f1 FROM ({rouge_sql()})""")
-register("rouge_l", q_rouge_l, None)
+register("rouge_l", q_rouge_l, rouge_l_sql())
 register("greedy_match_score", q_greedy_match_score, X.with_ctes("predictions") + greedy_sql())
 register("recall_at_k", q_recall_at_k, rctes("flagged", "n_rel") + f"""
     SELECT CAST({K_RECALL} AS BIGINT) AS k, {r6_sql('avg(recall)')} AS recall, count(*) AS n_queries FROM (
