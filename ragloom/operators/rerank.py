@@ -50,7 +50,16 @@ def rerank(hits: DataFrame, queries: DataFrame, top: int = C.RERANK_TOP, scorer=
     ``hits``: query_id, chunk_id, content, ``prior_col``; ``queries``: query_id, query_text.
     Adds ``score`` and ``rerank`` (1..top). An empty hit list stays empty.
     """
-    j = hits.join(queries.select("query_id", "query_text"), "query_id")
-    scored = j.withColumn("score", scorer(F.col("query_text"), F.col("content"))).drop("query_text")
+    if scorer is token_overlap:
+        # tokenise each distinct hit chunk once (a chunk is usually in many queries' lists)
+        ctoks = hits.select("chunk_id", "content").dropDuplicates(["chunk_id"]).select(
+            "chunk_id", F.array_distinct(T.tokens("content", fold_accents=False)).alias("_ct"))
+        qtoks = queries.select("query_id", F.array_distinct(T.tokens("query_text", fold_accents=False)).alias("_qt"))
+        n = F.size("_qt")
+        score = F.when(n > 0, F.size(F.array_intersect("_qt", "_ct")).cast("double") / n.cast("double"))
+        scored = hits.join(ctoks, "chunk_id").join(qtoks, "query_id").withColumn("score", score).drop("_ct", "_qt")
+    else:
+        j = hits.join(queries.select("query_id", "query_text"), "query_id")
+        scored = j.withColumn("score", scorer(F.col("query_text"), F.col("content"))).drop("query_text")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), F.col(prior_col).asc())
     return scored.withColumn("rerank", F.row_number().over(w).cast("long")).where(F.col("rerank") <= top)
