@@ -89,6 +89,65 @@ def separator_chunks_sql(sep: str, size: int = C.CHUNK_SIZE, overlap: int = C.CH
     FROM allc"""
 
 
+def recursive_chunks_sql(size=C.CHUNK_SIZE, overlap=C.CHUNK_OVERLAP, seps=C.RECURSIVE_SEPARATORS) -> str:
+    """C2 as recursive CTEs: ``tree`` expands each page (and every piece of ``size``
+    characters or more) with the first separator present, separators kept; consecutive
+    short siblings form runs; each run is merged like C1 with an empty separator."""
+    lit = lambda s: "(" + " || ".join(f"chr({ord(c)})" for c in s) + ")" if s else "''"
+    SEPS = "[" + ", ".join(lit(s) for s in seps) + "]"
+    N = len(seps)
+    tot = "(CASE WHEN j < r.i THEN p.pre[r.i] - p.pre[j] ELSE 0 END)"
+    cond = f"({tot} > {overlap} OR ({tot} + p.lens[r.i] > {size} AND {tot} > 0))"
+    cur = "(CASE WHEN r.s < r.i THEN p.pre[r.i] - p.pre[r.s] ELSE 0 END)"
+    over = f"({cur} + p.lens[r.i] > {size})"
+    new_s = f"(CASE WHEN {over} AND r.s < r.i THEN list_filter(range(r.s, r.i + 1), lambda j: NOT {cond})[1] ELSE r.s END)"
+    emitted = f"(CASE WHEN {over} AND r.s < r.i THEN {T.py_strip_sql('array_to_string(p.ps[r.s:r.i - 1], ' + chr(39) * 2 + ')')} END)"
+    last = T.py_strip_sql("array_to_string(p.ps[r.s:p.n], '')")
+    return X.with_ctes("pages_nb").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+    tree AS (
+      SELECT source, page_number, CAST([] AS INTEGER[]) AS path, text AS txt, 1 AS k, true AS root FROM pages_nb
+      UNION ALL
+      SELECT source, page_number, list_append(path, CAST(idx AS INTEGER)), piece, kn, false FROM (
+        SELECT source, page_number, path, kn, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS idx FROM (
+          SELECT source, page_number, path, z + 1 AS kn,
+                 CASE WHEN sp = '' THEN string_split(txt, '')
+                      ELSE list_filter(list_transform(string_split(txt, sp),
+                             lambda x, i: CASE WHEN i = 1 THEN x ELSE sp || x END), lambda x: x <> '') END AS pieces
+          FROM (SELECT source, page_number, path, txt, z, {SEPS}[z] AS sp FROM (
+                  SELECT r.*, list_filter(range(r.k, {N} + 1), lambda z: {SEPS}[z] = '' OR contains(r.txt, {SEPS}[z]))[1] AS z
+                  FROM tree r WHERE r.root OR (length(r.txt) >= {size} AND r.k <= {N}))))))
+    ,kids AS (
+      SELECT source, page_number, path[1:len(path) - 1] AS parent, path[len(path)] AS idx, path, txt,
+             length(txt) >= {size} AS long
+      FROM tree WHERE NOT root)
+    ,runs AS (
+      SELECT *, sum(CASE WHEN long THEN 1 ELSE 0 END) OVER (PARTITION BY source, page_number, parent ORDER BY idx
+                                                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+      FROM kids)
+    ,p2 AS (
+      SELECT source, page_number, parent, run, min(path) AS seg, list(txt ORDER BY idx) AS ps,
+             list(length(txt) ORDER BY idx) AS lens
+      FROM runs WHERE NOT long GROUP BY source, page_number, parent, run)
+    ,p AS (SELECT *, list_transform(range(0, len(ps) + 1), lambda j: coalesce(list_sum(lens[1:j]), 0)) AS pre,
+                  len(ps) AS n FROM p2)
+    ,rec AS (
+      SELECT source, page_number, seg, 1 AS i, 1 AS s, CAST(NULL AS VARCHAR) AS emitted FROM p
+      UNION ALL
+      SELECT r.source, r.page_number, r.seg, r.i + 1, {new_s}, {emitted}
+      FROM rec r JOIN p ON p.source = r.source AND p.page_number = r.page_number AND p.seg = r.seg
+      WHERE r.i <= p.n)
+    ,lastc AS (
+      SELECT r.source, r.page_number, r.seg, r.i + 1 AS i, {last} AS emitted
+      FROM rec r JOIN p ON p.source = r.source AND p.page_number = r.page_number AND p.seg = r.seg
+      WHERE r.i = p.n + 1)
+    ,allc AS (SELECT source, page_number, seg, i, emitted FROM rec WHERE emitted IS NOT NULL AND emitted <> ''
+              UNION ALL SELECT source, page_number, seg, i, emitted FROM lastc WHERE emitted <> '')
+    SELECT source, page_number,
+           row_number() OVER (PARTITION BY source, page_number ORDER BY seg, i) - 1 AS chunk_index,
+           emitted AS content
+    FROM allc"""
+
+
 def semantic_chunks_sql(dim: int = SEMANTIC_DIM, percentile: float = 0.95) -> str:
     toks = T.tokens_sql("sentence", False)
     bucket = embedding.hash_bucket_sql("tok", dim)
@@ -137,7 +196,7 @@ def chunk_stats_sql() -> str:
 
 register("chunk_separator", q_chunk_separator, separator_chunks_sql("\n\n"))
 register("chunk_lines", q_chunk_lines, separator_chunks_sql("\n"))
-register("chunk_recursive", q_chunk_recursive, None)
+register("chunk_recursive", q_chunk_recursive, recursive_chunks_sql())
 register("chunk_semantic", q_chunk_semantic, semantic_chunks_sql())
 register("chunk_semantic_relational", q_chunk_semantic_relational, semantic_chunks_sql())
 register("chunk_stats", q_chunk_stats, chunk_stats_sql())
