@@ -239,4 +239,12 @@ def q_incremental_ingest(spark, sf):
                                        F.countDistinct("page_number").alias("n_pages"))
 
 
-register("incremental_ingest", q_incremental_ingest, None)
+def _ingest_sql():
+    from ragloom.plans.chunks import recursive_chunks_sql
+
+    return f"""
+    SELECT source || '.pdf' AS source, count(*) AS n_chunks, count(DISTINCT page_number) AS n_pages
+    FROM ({recursive_chunks_sql()}) GROUP BY source"""
+
+
+register("incremental_ingest", q_incremental_ingest, _ingest_sql())
