@@ -48,8 +48,11 @@ def build_ivf(chunks: DataFrame, n_lists: int | None = None, vec_col: str = "emb
     n_lists = n_lists or max(1, int(math.sqrt(n)))
     limit = sizing.broadcast_limit(unit, broadcast_limit_bytes)
     n_lists = max(1, min(n_lists, limit // max(1, dim * 8)))  # the centroids are broadcast
+    # a fixed layout (hash partitions, sorted inside) so the seeded k-means|| start is reproducible
+    layout = unit.repartition(int(unit.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id") \
+        .sortWithinPartitions("chunk_id")
     km = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="features").fit(
-        unit.select(array_to_vector("vec").alias("features")))
+        layout.select(array_to_vector("vec").alias("features")))
     centers = np.array([np.asarray(c, dtype=np.float64) for c in km.clusterCenters()])
     bc = chunks.sparkSession.sparkContext.broadcast(centers)
 
@@ -65,6 +68,18 @@ def build_ivf(chunks: DataFrame, n_lists: int | None = None, vec_col: str = "emb
     return index, centers
 
 
+def store_index(index: DataFrame) -> DataFrame:
+    """Write the index as parquet partitioned by ``list_id`` under the checkpoint folder and
+    read it back, so a probe's ``list_id IN (...)`` filter prunes partitions."""
+    import uuid
+
+    from ragloom.session import scratch_path
+
+    path = scratch_path(index.sparkSession, f"ivf/{uuid.uuid4().hex}")
+    index.write.partitionBy("list_id").parquet(path)
+    return index.sparkSession.read.parquet(path)
+
+
 def _probe_scan(bc, k: int, dim: int):
     def fn(batches):
         qids, qm, probes = bc.value  # probes: (queries, n_probe) list ids

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ragloom import constants as C
 from ragloom.functions import text as T
 from ragloom.functions import vectors as V
-from ragloom.operators import ingest, langdetect, lexical, sizing, stopwords
+from ragloom.operators import ingest, langdetect, sizing, stopwords
 from ragloom.functions.numeric import round_half_up_sql as rhu_sql
 from ragloom.plans.common import register
 from ragloom.sources import fixtures as X

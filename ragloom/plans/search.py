@@ -13,7 +13,6 @@ from ragloom.plans.common import r6, r6_sql, register
 from ragloom.sources import fixtures as X
 from ragloom.sources.tables import read_table
 
-DIM_SQL = "len(query_vec)"
 
 
 def _inputs(spark, sf_dir):
@@ -175,7 +174,7 @@ def _ann(spark, sf):
 
     ch, q = _inputs(spark, sf)
     index, centers = ann.build_ivf(ch)
-    index = sizing.materialize(index)
+    index = ann.store_index(index)
     return ann.ann_topk(index, centers, q, C.SEMANTIC_CANDIDATES, n_probe=4), ch, q
 
 

@@ -1,6 +1,5 @@
 """Chunk splitters: unit rows, invariants and Spark/Python agreement."""
 
-import os
 
 from pyspark.sql import functions as F
 

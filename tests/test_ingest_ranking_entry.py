@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from ragloom.operators import ingest
 from ragloom.operators.ranking import row_number_in_groups
 
-from conftest import SF001
-
 
 def _chunks(spark, names):
     rows = [(i, f"text {i}", [0.1, 0.2], n, 1, "en") for i, n in enumerate(names)]

@@ -6,7 +6,6 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from ragloom.functions import text as T
 from ragloom.operators import fusion, lexical, vector_search
 
 
