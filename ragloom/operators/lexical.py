@@ -130,10 +130,16 @@ def cover_density_sorted(occ: DataFrame, partitions: int | None = None) -> DataF
 
 def _scan_chunks(bc):
     """Per chunk batch: positions of query lexemes (hash merge with the broadcast lexeme
-    table, minus the chunk configuration's stop words), then cover density."""
+    table, minus the chunk configuration's stop words), then cover density.
+
+    Only (query, chunk) pairs that can match are expanded: a chunk must hold the query's
+    key lexeme (its longest), then every lexeme (checked on distinct tokens); occurrence
+    rows are built for the confirmed pairs only, so common words in long queries do not
+    multiply the work.
+    """
 
     def fn(batches):
-        qtab, stops = bc.value
+        qtab, stops, keys = bc.value
         for pdf in batches:
             if len(pdf) == 0 or len(qtab) == 0:
                 continue
@@ -149,9 +155,18 @@ def _scan_chunks(bc):
                 flat["config"] = np.repeat(pdf["config"].to_numpy(), lens)
                 flat = flat.merge(stops, on=["config", "tok"], how="left", indicator=True)
                 flat = flat[flat["_merge"] == "left_only"].drop(columns=["_merge", "config"])
-            occ = flat.merge(qtab, on="tok", how="inner")
-            if len(occ) == 0:
+            dist = flat[["chunk_id", "tok"]].drop_duplicates()
+            cand = dist.merge(keys, on="tok")[["chunk_id", "query_id"]]
+            if len(cand) == 0:
+                continue
+            need = cand.merge(qtab, on="query_id")
+            have = need.merge(dist, on=["chunk_id", "tok"])
+            cnt = have.groupby(["query_id", "chunk_id"], sort=False).agg(k=("li", "size"), n_lex=("n_lex", "first"))
+            ok = cnt[cnt["k"] == cnt["n_lex"]].reset_index()[["query_id", "chunk_id"]]
+            if len(ok) == 0:
                 continue
+            lex = ok.merge(qtab, on="query_id")
+            occ = flat.merge(lex, on=["chunk_id", "tok"])
             occ = occ.sort_values(["query_id", "chunk_id", "pos"], kind="stable")
             yield _score_frame(occ)
 
@@ -165,10 +180,12 @@ def lexical_scan(chunks: DataFrame, qlex: DataFrame, config_col: str | None = No
     from ragloom.operators import stopwords
 
     qtab = qlex.select("tok", "query_id", "li", "n_lex").toPandas()
+    order = qtab.assign(_len=qtab["tok"].str.len()).sort_values(["query_id", "_len", "tok"], ascending=[True, False, True])
+    keys = order.groupby("query_id", sort=False).head(1)[["tok", "query_id"]]
     stops = None
     if config_col:
         stops = pd.DataFrame([(c, w) for c, ws in stopwords.word_lists().items() for w in ws], columns=["config", "tok"])
-    bc = chunks.sparkSession.sparkContext.broadcast((qtab, stops))
+    bc = chunks.sparkSession.sparkContext.broadcast((qtab, stops, keys))
     cols = [F.col("chunk_id").cast("long").alias("chunk_id"), T.tokens("content", fold_accents=fold_accents).alias("toks")]
     if config_col:
         cols.append(F.col(config_col).alias("config"))
