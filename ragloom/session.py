@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -58,28 +59,41 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+_CHECKPOINTS: dict = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts and streaming checkpoints.
+    """The shared folder for lineage cuts and streaming checkpoints, one per application.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (local tests) a temporary folder is chosen; on a cluster the setting must
-    name a shared file system path.
+    ``spark.checkpoint.dir`` names it. When that is unset a temporary folder is used, but
+    only where driver and executors are one process (``local``, ``local[n]``): any other
+    master raises, because a machine-local folder would lose the executors' files.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None)
-    try:
-        path = path or spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # noqa: BLE001 - unset in the SQL conf
-        pass
-    if not path:
-        existing = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if existing.isDefined():
-            return existing.get()
+    sc = spark.sparkContext
+    if sc.applicationId in _CHECKPOINTS:
+        return _CHECKPOINTS[sc.applicationId]
+    path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    existing = sc._jsc.sc().getCheckpointDir()
+    if not path and existing.isDefined():
+        path = existing.get()
+    elif not path:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="ragloom-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if not existing.isDefined():
+        sc.setCheckpointDir(path)
+    _CHECKPOINTS[sc.applicationId] = os.path.join(path, f"ragloom-{sc.applicationId}")
+    return _CHECKPOINTS[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete every intermediate table this application wrote (call it when its results
+    have been stored; results not yet computed read those tables)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
