@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ragloom.llm.common import read
+from ragloom.llm.decontaminate import contamination
 from ragloom.llm.packing import pack_documents
 from ragloom.llm.token_files import read_token_files, write_token_files
 from ragloom.session import scratch_path
@@ -24,10 +25,44 @@ def op2_token_files(spark, sf_dir):
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_benchmark_decontamination(spark, sf_dir):
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP8_SQL = r"""
+WITH doc_words AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[a:a + n - 1], ' ') AS win
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS a
+        FROM (SELECT *, least(13, len(w)) AS n FROM item_words WHERE len(w) > 0))),
+places AS (
+  SELECT rid, n, a, array_to_string(w[a:a + n - 1], ' ') AS win
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS a
+        FROM doc_words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+found AS (SELECT DISTINCT rid, p.n, a, item_id FROM places p JOIN windows USING (n, win)),
+hit AS (SELECT rid, count(DISTINCT pos) AS n_hit
+        FROM (SELECT rid, unnest(range(a, a + n)) AS pos FROM (SELECT DISTINCT rid, n, a FROM found)) GROUP BY rid),
+listed AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+           FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM doc_words LEFT JOIN hit USING (rid) LEFT JOIN listed USING (rid)
+"""
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                           end_id=0, capacity=CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_token_files, op8_benchmark_decontamination, op10_best_fit_packing)}
+ORACLE_SQL = {"op8_benchmark_decontamination": OP8_SQL}
