@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 from ragloom.llm.common import read
 from ragloom.llm.decontaminate import contamination
 from ragloom.llm.packing import pack_documents
+from ragloom.llm.simhash import near_duplicates
 from ragloom.llm.token_files import read_token_files, write_token_files
 from ragloom.session import scratch_path
 
 CAPACITY = 2048
 
 
+def op1_simhash_near_dedup(spark, sf_dir):
+    found = near_duplicates(read(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op2_token_files(spark, sf_dir):
     path = scratch_path(spark, f"token_files/{uuid.uuid4().hex}")
     write_token_files(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -64,5 +70,5 @@ def op10_best_fit_packing(spark, sf_dir):
                           end_id=0, capacity=CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op8_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op8_benchmark_decontamination, op10_best_fit_packing)}
 ORACLE_SQL = {"op8_benchmark_decontamination": OP8_SQL}
