@@ -10,6 +10,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from ragloom.llm import toxicity
 from ragloom.llm.common import read
 from ragloom.llm.decontaminate import contamination
 from ragloom.llm.packing import pack_documents
@@ -37,6 +38,13 @@ def op8_benchmark_decontamination(spark, sf_dir):
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 OP8_SQL = r"""
 WITH doc_words AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
@@ -70,5 +78,5 @@ def op10_best_fit_packing(spark, sf_dir):
                           end_id=0, capacity=CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op8_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op8_benchmark_decontamination, op9_toxicity, op10_best_fit_packing)}
 ORACLE_SQL = {"op8_benchmark_decontamination": OP8_SQL}
