@@ -14,8 +14,10 @@ from ragloom.llm import toxicity
 from ragloom.llm.common import read
 from ragloom.llm.decontaminate import contamination
 from ragloom.llm.packing import pack_documents
+from ragloom.llm.sharding import shard_documents
 from ragloom.llm.simhash import near_duplicates
 from ragloom.llm.token_files import read_token_files, write_token_files
+from ragloom.llm.url_reputation import judge_urls
 from ragloom.session import scratch_path
 
 CAPACITY = 2048
@@ -32,6 +34,65 @@ def op2_token_files(spark, sf_dir):
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op4_url_reputation(spark, sf_dir):
+    """A page's outcome is the label of the document of its number: bad if it is toxic or of low quality."""
+    labels = read(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    judged = judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), outcomes, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(h, pre, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                        ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+known AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL
+                                             ELSE 0 END) AS bad
+          FROM labels GROUP BY doc_id),
+labelled AS (SELECT host, split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS l,
+                    count(bad) AS n, coalesce(sum(bad), 0) AS bad
+             FROM p LEFT JOIN (SELECT * FROM known WHERE bad IS NOT NULL) USING (page_id) GROUP BY host),
+hosts AS (SELECT *, array_to_string(l[-(CASE WHEN array_to_string(l[-2:], '.') IN (
+            'ac.uk', 'co.in', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.ar', 'com.au', 'com.br', 'com.cn',
+            'com.mx', 'com.tr', 'com.tw', 'gov.uk', 'ne.jp', 'net.au', 'or.jp', 'org.au', 'org.uk') THEN 3 ELSE 2 END):], '.') AS domain
+          FROM labelled),
+h AS (SELECT *, regexp_extract(domain, '^[^.]*\.(.*)$', 1) AS suffix FROM hosts),
+g AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS m FROM h),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM h, g GROUP BY suffix),
+s1 AS (SELECT 1 / least(greatest(coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0),
+                                 0.001), 0.9) - 1 AS k FROM s0),
+s AS (SELECT suffix, (m * k + bad) / (k + n) AS m FROM s0, s1),
+d0 AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM h JOIN s USING (suffix) GROUP BY suffix, domain),
+d1 AS (SELECT 1 / least(greatest(coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0),
+                                 0.001), 0.9) - 1 AS k FROM d0),
+d AS (SELECT domain, (m * k + bad) / (k + n) AS m FROM d0, d1),
+h0 AS (SELECT host, n, bad, m FROM h JOIN d USING (domain)),
+h1 AS (SELECT 1 / least(greatest(coalesce(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0),
+                                 0.001), 0.9) - 1 AS k FROM h0),
+ab AS (SELECT host, m * k + bad AS a, (1 - m) * k + n - bad AS b FROM h0, h1),
+rep AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 AS blocked FROM ab),
+fit AS (SELECT host, path, arg_max(h || pre, length(h || pre)) AS rule, arg_max(v, length(h || pre)) AS verdict
+        FROM (SELECT DISTINCT host, path FROM p) JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre)
+        GROUP BY host, path)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN rep USING (host) LEFT JOIN fit USING (host, path)
+"""
+
+
+def op5_histogram_sharding(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = shard_documents(docs, n_shards=40)
+    return placed.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+                         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_benchmark_decontamination(spark, sf_dir):
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -78,5 +139,5 @@ def op10_best_fit_packing(spark, sf_dir):
                           end_id=0, capacity=CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op8_benchmark_decontamination, op9_toxicity, op10_best_fit_packing)}
-ORACLE_SQL = {"op8_benchmark_decontamination": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op4_url_reputation, op5_histogram_sharding, op8_benchmark_decontamination, op9_toxicity, op10_best_fit_packing)}
+ORACLE_SQL = {"op4_url_reputation": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL}
