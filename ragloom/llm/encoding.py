@@ -13,13 +13,17 @@ that; any other file encodes whole texts:
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
 
-MAX_CACHED = 300_000  # pieces kept per worker and kind; the store is emptied when full
+MAX_CACHED = 150_000  # pieces a worker keeps; then those not used since the last time are dropped
 MAX_PIECE = 64  # longer pieces are encoded but not kept
+JOINED, AT_ONCE = 100, 20  # new pieces in one text, texts in one call of the library
 _INNER = re.compile(r"(?<=\S) (?=\S)")
+# letters that every normalizer allowed below maps to letters, and marks: one or two pre-tokens
+_PLAIN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+([.,;:!?]*)")
 _NEAR_SPACE = re.compile(r"\s | \s|^ | $")
 _ENCODERS: dict = {}
 
@@ -50,21 +54,61 @@ def kind_of(spec: dict) -> str:
 
 class Encoder:
     def __init__(self, spec: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.kind = kind_of(json.loads(spec))
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: tuple[dict, dict] = ({}, {})  # pieces without, with a space before them
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        loaded = json.loads(spec)
+        self.kind = kind_of(loaded)
+        vocab = self.tokenizer.get_vocab()
+        n = max(vocab.values()) + 1
+        self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        # tokens that begin a piece ('spaced': with the byte 0x20) or end a pre-token ('dropped')
+        mark, suffix = np.zeros(n, bool), loaded["model"].get("end_of_word_suffix") or ""
+        for token, i in vocab.items():
+            mark[i] = token.startswith("\u0120") if self.kind == "spaced" else bool(suffix) and token.endswith(suffix)
+        self.mark = mark if self.kind == "spaced" or suffix else None
+        self.kept: dict = {}  # ids of pieces seen lately, and before
+        self.older: dict = {}
+
+    def _call(self, texts: list[str]) -> list[list[int]]:
+        out = []
+        for a in range(0, len(texts), AT_ONCE):  # the library holds much for each text
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[a:a + AT_ONCE], add_special_tokens=False)]
+        return out
+
+    def _new(self, pieces: list[str], space: str) -> dict:
+        """Ids of each piece, with ``space`` before it. Many share a text where the ids tell them apart."""
+        together, alone, ends = [], [], []
+        for p in pieces:
+            if self.kind == "spaced" and space and " " not in p and not (p[:1].isspace() or p[-1:].isspace()):
+                together.append(p)
+            elif self.kind == "dropped" and self.mark is not None and (m := _PLAIN.fullmatch(p)):
+                together.append(p)
+                ends.append(2 if m[1] else 1)
+            else:
+                alone.append(p)
+        out = {p: np.array(ids, self.dtype).tobytes() for p, ids in zip(alone, self._call([space + p for p in alone]))}
+        starts = range(0, len(together), JOINED)
+        size = self.dtype.itemsize
+        for a, ids in zip(starts, self._call([space + " ".join(together[a:a + JOINED]) for a in starts])):
+            part = together[a:a + JOINED]
+            ids = np.array(ids, self.dtype)
+            marks = np.flatnonzero(self.mark[ids])
+            if self.kind == "spaced":
+                cuts = [*marks.tolist(), len(ids)]
+            else:
+                cuts = [0, *(marks[np.cumsum(ends[a:a + JOINED]) - 1] + 1).tolist()]
+            if len(cuts) != len(part) + 1 or cuts[0] != 0 or cuts[-1] != len(ids):
+                raise ValueError("the tokenizer doesn't divide texts as its file says")
+            data = ids.tobytes()
+            out.update((p, data[i * size:j * size]) for p, i, j in zip(part, cuts, cuts[1:]))
+        return out
 
     def _pieces(self, text: str) -> tuple[str, list[str]]:
         """The first piece, and those that stand after one space (given without it)."""
         if self.kind == "dropped":
-            return "", [p for p in text.replace("\n", " ").split(" ") if p]
+            return "", text.replace("\n", " ").split(" ")
         if self.kind == "whole":
             return text, []
         parts = _INNER.split(text) if _NEAR_SPACE.search(text) else text.split(" ")
@@ -72,28 +116,25 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids (``dtype``) of each text."""
-        first, spaced = self.kept
-        if len(first) > MAX_CACHED:
-            first.clear()
-        if len(spaced) > MAX_CACHED:
-            spaced.clear()
         divided = [self._pieces(t) for t in texts]
-        lead = " " if self.kind == "spaced" else ""
-        long: tuple[dict, dict] = ({}, {})
-        for kept, extra, space, wanted in (
-            (first, long[0], "", {f for f, _ in divided if f not in first}),
-            (spaced, long[1], lead, {p for _, ps in divided for p in ps if p not in spaced}),
-        ):
-            for p, ids in zip(wanted, self._ids([space + p for p in wanted])):
-                (kept if len(p) <= MAX_PIECE else extra)[p] = ids
-        if long[0] or long[1]:
-            a, b = first | long[0] if long[0] else first, spaced | long[1] if long[1] else spaced
-        else:
-            a, b = first, spaced
-        return [b"".join((a[f], *map(b.__getitem__, ps))) for f, ps in divided]
-
-
-def grouped(texts, chars: int = 2_000_000):
+        firsts = self._new(list({f for f, _ in divided if f}), "") | {"": b""}
+        if len(self.kept) > MAX_CACHED:
+            self.kept, self.older = {}, self.kept
+        kept, older, lead = self.kept, self.older, " " if self.kind == "spaced" else ""
+        if self.kind == "dropped":
+            kept[""] = b""
+        found = [list(map(kept.get, ps)) for _, ps in divided]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        wanted = {p for i in lacking for p, ids in zip(divided[i][1], found[i]) if ids is None}
+        known = {p: older[p] for p in wanted if p in older}
+        made = self._new([p for p in wanted if p not in known], lead) | known
+        for i in lacking:
+            found[i] = [made[p] if ids is None else ids for p, ids in zip(divided[i][1], found[i])]
+        kept.update((p, ids) for p, ids in made.items() if len(p) <= MAX_PIECE)
+        return [b"".join((firsts[f], *ids)) for (f, _), ids in zip(divided, found)]
+
+
+def grouped(texts, chars: int = 500_000):
     """Slices (start, end) of the list ``texts`` holding some ``chars`` each, or one text."""
     start = size = 0
     for i, t in enumerate(texts):
