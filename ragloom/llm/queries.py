@@ -10,7 +10,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ragloom.llm import toxicity
+from ragloom.llm import pii, toxicity
 from ragloom.llm.common import read
 from ragloom.llm.decontaminate import contamination
 from ragloom.llm.packing import pack_documents
@@ -106,6 +106,25 @@ def op9_toxicity(spark, sf_dir):
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _joined(columns):
+    """kind:start:end of all spans, by kind as listed, then start, with commas between."""
+    return F.array_join(F.concat(*[F.transform(F.array_sort(c), _written(k)) for k, c in zip(pii.KINDS, columns)]), ",")
+
+
+def _written(kind):
+    return lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string"))
+
+
+def op6_pii(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.spans(docs, pii.train(docs))
+    base, more = found.columns[2:6], found.columns[6:10]
+    return found.select(
+        "doc_id", *[F.size(c).cast("long").alias(f"n_{k}") for k, c in zip(pii.KINDS, base)],
+        F.sha2(_joined(base), 256).alias("base_sha256"),
+        _joined([F.concat(a, b) for a, b in zip(base, more)]).alias("spans"))
+
+
 OP8_SQL = r"""
 WITH doc_words AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
@@ -139,5 +158,5 @@ def op10_best_fit_packing(spark, sf_dir):
                           end_id=0, capacity=CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op4_url_reputation, op5_histogram_sharding, op8_benchmark_decontamination, op9_toxicity, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op4_url_reputation, op5_histogram_sharding, op6_pii, op8_benchmark_decontamination, op9_toxicity, op10_best_fit_packing)}
 ORACLE_SQL = {"op4_url_reputation": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL}
