@@ -137,10 +137,16 @@ class Model:
     def __init__(self, trees: list[str], weights: list[float], least: dict[str, float]):
         self.trees, self.weights, self.least = trees, weights, least
 
-    def score(self, features: list[Column]) -> Column:
-        margin = sum((tree_expression(t, lambda i: features[i]) * w for t, w in zip(self.trees, self.weights)), F.lit(0.0))
+    def score(self, x: Column) -> Column:
+        """Of an array of features."""
+        margin = sum((tree_expression(t, lambda i: F.get(x, F.lit(i))) * w for t, w in zip(self.trees, self.weights)), F.lit(0.0))
         return 1 / (1 + F.exp(-2 * margin))
 
+    def accepted(self, kind: str, spans: Column) -> Column:
+        """For each span of an array whether it is redacted; its features are made once."""
+        xs = F.transform(spans, lambda s: F.array(*_features(kind, s)))
+        return F.transform(xs, lambda x: self.score(x) >= self.least[kind])
+
 
 NO_MODEL = Model([], [], {k: 2.0 for k in KINDS})
 
@@ -173,7 +179,7 @@ def train(docs: DataFrame, text_col: str = "text", max_candidates: int = MAX_CAN
     vectors = fit.select(array_to_vector("x").alias("features"), "label")
     gbt = GBTClassifier(maxIter=20, maxDepth=3, seed=7, maxBins=32).fit(vectors)
     model = Model([t.toDebugString for t in gbt.trees], list(gbt.treeWeights), {})
-    scored = held.select("kind", "label", model.score([F.get(F.col("x"), F.lit(i)) for i in range(12)]).alias("score")).toPandas()
+    scored = held.select("kind", "label", model.score(F.col("x")).alias("score")).toPandas()
     for kind in KINDS:
         own = scored[scored.kind == kind].sort_values("score", ascending=False)
         good = np.cumsum(own.label.to_numpy()) / np.arange(1, len(own) + 1)
@@ -189,7 +195,7 @@ def spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     stays, and an added one overlaps neither base spans nor other added ones (the leftmost stays)."""
     base = dict(zip(KINDS, fresh(docs, *KINDS)))
     more = dict(zip(KINDS, fresh(docs, *(f"more_{k}" for k in KINDS))))
-    (all_,) = fresh(docs, "_all")
+    all_, taken = fresh(docs, "_all", "_taken")
     rows = docs
     for kind in KINDS:
         rows = find(rows, text_col, BASE[kind], base[kind])
@@ -197,7 +203,8 @@ def spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             rows = rows if kind == "card" else find(rows, text_col, PROPOSED[kind], more[kind])
             if kind == "card":  # proposals are the candidates whose check failed
                 rows = rows.withColumn(more[kind], F.filter(base[kind], lambda s: ~passes("card", s["m"])))
-            rows = rows.withColumn(more[kind], F.filter(more[kind], _accepts(model, kind)))
+            rows = rows.withColumn(taken, F.when(F.size(more[kind]) > 0, model.accepted(kind, F.col(more[kind]))))
+            rows = rows.withColumn(more[kind], F.filter(more[kind], _marked(F.col(taken)))).drop(taken)
         else:
             rows = rows.withColumn(more[kind], F.array().cast(_SPAN))
         rows = rows.withColumn(base[kind], F.filter(base[kind], _passing(kind)))
@@ -229,22 +236,16 @@ def spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return rows.select(*docs.columns, *base.values(), *more.values())
 
 
-def _passing(kind: str):
-    return lambda s: passes(kind, s["m"])
-
+def _check(kind: str):
+    return lambda m: passes(kind, m)
 
-def _accepts(model: Model, kind: str):
-    return lambda s: model.score(_features(kind, s)) >= model.least[kind]
 
+def _passing(kind: str):
+    return lambda s: passes(kind, s["m"])
 
-def _piece(ms: Column, ps: Column, keep, mark: str):
-    """A text between matches and the match after it, or its mark."""
-    def piece(p, i):
-        m = F.get(ms, i)
-        s = {"m": m, "before": F.right(p, F.lit(24)), "after": F.left(F.get(ps, i + 1), F.lit(8))}
-        return F.concat(p, F.when(m.isNull(), "").when(keep(s), mark).otherwise(m))
 
-    return piece
+def _marked(flags: Column):
+    return lambda s, i: F.get(flags, i)
 
 
 def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -252,15 +253,28 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     brackets. Kind by kind the text is divided at its candidates and joined again, so the cost is
     linear; a span inside one of an earlier kind goes with it. Null texts stay null."""
     rows = docs
+    ms, ps, taken = fresh(docs, "_ms", "_ps", "_taken")
     for kind in KINDS:
-        ways = [(BASE[kind], _passing(kind))]
-        if model.least[kind] <= 1:
-            ways.append((PROPOSED[kind], _accepts(model, kind)))
-        for pattern, keep in ways:
-            ms, ps = fresh(rows, "_ms", "_ps")
+        ways = [BASE[kind]] + ([PROPOSED[kind]] if model.least[kind] <= 1 else [])
+        for nth, pattern in enumerate(ways):
             cut = rows.withColumn(ms, F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0)))
             cut = cut.withColumn(ps, F.when(F.size(ms) > 0, F.split(F.col(text_col), pattern, -1)))
-
-            joined = F.array_join(F.transform(ps, _piece(F.col(ms), F.col(ps), keep, f"[{kind.upper()}]")), "")
-            rows = cut.withColumn(text_col, F.when(F.size(ms) > 0, joined).otherwise(F.col(text_col))).drop(ms, ps)
+            if nth == 0:
+                flags = F.transform(ms, _check(kind))
+            else:
+                flags = model.accepted(kind, F.transform(ms, _around(F.col(ps))))
+            cut = cut.withColumn(taken, F.when(F.size(ms) > 0, flags))
+            joined = F.array_join(F.transform(ps, _piece(F.col(ms), F.col(taken), f"[{kind.upper()}]")), "")
+            rows = cut.withColumn(text_col, F.when(F.size(ms) > 0, joined).otherwise(F.col(text_col))).drop(ms, ps, taken)
     return rows.select(*docs.columns)
+
+
+def _around(ps: Column):
+    """A match with its neighbourhood."""
+    return lambda m, i: F.struct(m.alias("m"), F.right(F.get(ps, i), F.lit(24)).alias("before"),
+                                 F.left(F.get(ps, i + 1), F.lit(8)).alias("after"))
+
+
+def _piece(ms: Column, taken: Column, mark: str):
+    """A text between matches and the match after it, or its mark."""
+    return lambda p, i: F.concat(p, F.when(F.get(taken, i), mark).otherwise(F.coalesce(F.get(ms, i), F.lit(""))))
