@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ragloom.llm import pii, toxicity
 from ragloom.llm.common import read
 from ragloom.llm.decontaminate import contamination
+from ragloom.llm.fingerprints import fingerprints
 from ragloom.llm.packing import pack_documents
 from ragloom.llm.sharding import shard_documents
 from ragloom.llm.simhash import near_duplicates
@@ -34,6 +35,12 @@ def op2_token_files(spark, sf_dir):
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_iblt_fingerprints(spark, sf_dir):
+    found = fingerprints(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                        "near_edited", "near_next")
+
+
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -158,5 +165,5 @@ def op10_best_fit_packing(spark, sf_dir):
                           end_id=0, capacity=CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op4_url_reputation, op5_histogram_sharding, op6_pii, op8_benchmark_decontamination, op9_toxicity, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_iblt_fingerprints, op4_url_reputation, op5_histogram_sharding, op6_pii, op8_benchmark_decontamination, op9_toxicity, op10_best_fit_packing)}
 ORACLE_SQL = {"op4_url_reputation": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL}
