@@ -10,7 +10,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ragloom.llm import pii, toxicity
+from ragloom.llm import pii, secrets, toxicity
 from ragloom.llm.common import read
 from ragloom.llm.decontaminate import contamination
 from ragloom.llm.fingerprints import fingerprints
@@ -132,6 +132,11 @@ def op6_pii(spark, sf_dir):
         _joined([F.concat(a, b) for a, b in zip(base, more)]).alias("spans"))
 
 
+def op7_secret_scan(spark, sf_dir):
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "start", "end", F.sha2("secret_text", 256).alias("secret_sha256"), "score", "secret")
+
+
 OP8_SQL = r"""
 WITH doc_words AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
@@ -165,5 +170,5 @@ def op10_best_fit_packing(spark, sf_dir):
                           end_id=0, capacity=CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_iblt_fingerprints, op4_url_reputation, op5_histogram_sharding, op6_pii, op8_benchmark_decontamination, op9_toxicity, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_iblt_fingerprints, op4_url_reputation, op5_histogram_sharding, op6_pii, op7_secret_scan, op8_benchmark_decontamination, op9_toxicity, op10_best_fit_packing)}
 ORACLE_SQL = {"op4_url_reputation": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL}
