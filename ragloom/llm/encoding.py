@@ -18,13 +18,12 @@ import re
 
 import numpy as np
 
-MAX_CACHED = 150_000  # pieces a worker keeps; then those not used since the last time are dropped
+MAX_CACHED = 250_000  # pieces a worker keeps; then those not used since the last time are dropped
 MAX_PIECE = 64  # longer pieces are encoded but not kept
 JOINED, AT_ONCE = 100, 20  # new pieces in one text, texts in one call of the library
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 # letters that every normalizer allowed below maps to letters, and marks: one or two pre-tokens
 _PLAIN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+([.,;:!?]*)")
-_NEAR_SPACE = re.compile(r"\s | \s|^ | $")
 _ENCODERS: dict = {}
 
 
@@ -80,14 +79,20 @@ class Encoder:
     def _new(self, pieces: list[str], space: str) -> dict:
         """Ids of each piece, with ``space`` before it. Many share a text where the ids tell them apart."""
         together, alone, ends = [], [], []
-        for p in pieces:
-            if self.kind == "spaced" and space and " " not in p and not (p[:1].isspace() or p[-1:].isspace()):
-                together.append(p)
-            elif self.kind == "dropped" and self.mark is not None and (m := _PLAIN.fullmatch(p)):
-                together.append(p)
-                ends.append(2 if m[1] else 1)
-            else:
-                alone.append(p)
+        if self.kind == "spaced" and space:
+            together = pieces
+            if not all(map(_bounded, pieces)):
+                together = [p for p in pieces if _bounded(p) and " " not in p]
+                alone = [p for p in pieces if not _bounded(p) or " " in p]
+        elif self.kind == "dropped" and self.mark is not None:
+            for p in pieces:
+                if m := _PLAIN.fullmatch(p):
+                    together.append(p)
+                    ends.append(2 if m[1] else 1)
+                else:
+                    alone.append(p)
+        else:
+            alone = pieces
         out = {p: np.array(ids, self.dtype).tobytes() for p, ids in zip(alone, self._call([space + p for p in alone]))}
         starts = range(0, len(together), JOINED)
         size = self.dtype.itemsize
@@ -111,29 +116,45 @@ class Encoder:
             return "", text.replace("\n", " ").split(" ")
         if self.kind == "whole":
             return text, []
-        parts = _INNER.split(text) if _NEAR_SPACE.search(text) else text.split(" ")
-        return parts[0], parts[1:]
+        first, *rest = text.split(" ")
+        if rest and not _bounded(first[-1:]):
+            first, *rest = _INNER.split(text)
+        return first, rest
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids (``dtype``) of each text."""
-        divided = [self._pieces(t) for t in texts]
-        firsts = self._new(list({f for f, _ in divided if f}), "") | {"": b""}
         if len(self.kept) > MAX_CACHED:
             self.kept, self.older = {}, self.kept
         kept, older, lead = self.kept, self.older, " " if self.kind == "spaced" else ""
         if self.kind == "dropped":
             kept[""] = b""
+        divided = [self._pieces(t) for t in texts]
         found = [list(map(kept.get, ps)) for _, ps in divided]
         lacking = [i for i, ids in enumerate(found) if None in ids]
-        wanted = {p for i in lacking for p, ids in zip(divided[i][1], found[i]) if ids is None}
+        wanted: set = set()
+        for i in lacking:
+            new = [p for p, ids in zip(divided[i][1], found[i]) if ids is None]
+            if self.kind == "spaced" and not all(map(_bounded, new)):  # white space beside a space: no boundary
+                first, *rest = _INNER.split(texts[i])
+                divided[i], found[i] = (first, rest), list(map(kept.get, rest))
+                new = [p for p, ids in zip(rest, found[i]) if ids is None]
+            wanted.update(new)
+        firsts = self._new(list({f for f, _ in divided if f}), "") | {"": b""}
         known = {p: older[p] for p in wanted if p in older}
         made = self._new([p for p in wanted if p not in known], lead) | known
         for i in lacking:
             found[i] = [made[p] if ids is None else ids for p, ids in zip(divided[i][1], found[i])]
-        kept.update((p, ids) for p, ids in made.items() if len(p) <= MAX_PIECE)
+        # with spaces inside or at its ends a piece is no boundary's proof, so it isn't kept
+        proof = self.kind != "spaced"
+        kept.update((p, ids) for p, ids in made.items() if len(p) <= MAX_PIECE and (proof or _bounded(p) and " " not in p))
         return [b"".join((firsts[f], *ids)) for (f, _), ids in zip(divided, found)]
 
 
+def _bounded(piece: str) -> bool:
+    """Has characters, and no white space at either end."""
+    return piece != "" and not (piece[0].isspace() or piece[-1].isspace())
+
+
 def grouped(texts, chars: int = 500_000):
     """Slices (start, end) of the list ``texts`` holding some ``chars`` each, or one text."""
     start = size = 0
