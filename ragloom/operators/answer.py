@@ -8,7 +8,9 @@ ordered ``collect_list`` aggregations here never gather an unbounded group.
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,11 +52,18 @@ def _ordered_join(order_col: str, value, sep: str) -> Column:
     return F.array_join(F.transform(arr, lambda x: x["v"]), sep)
 
 
-def context_string(hits: DataFrame, order_col: str = "rerank") -> DataFrame:
-    """K2: ``"\\nExtracted documents:\\n"`` + ``"Document {i}\\n" + content`` per hit, i from 0."""
+def context_string(hits: DataFrame, order_col: str = "rerank", questions: DataFrame | None = None) -> DataFrame:
+    """K2: ``"\\nExtracted documents:\\n"`` + ``"Document {i}\\n" + content`` per hit, i from 0, and the
+    number of hits. With ``questions`` those without hits have a row too: the header alone, 0 hits."""
     arr = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col("content").alias("v"))))
     items = F.transform(arr, lambda x, i: F.concat(F.lit("Document "), i.cast("string"), F.lit("\n"), x["v"]))
-    return hits.groupBy("query_id").agg(F.concat(F.lit(C.CONTEXT_HEADER), F.array_join(items, "")).alias("context"))
+    found = hits.groupBy("query_id").agg(F.concat(F.lit(C.CONTEXT_HEADER), F.array_join(items, "")).alias("context"),
+                                         F.count(F.lit(1)).alias("n_hits"))
+    if questions is None:
+        return found
+    return questions.select("query_id").join(found, "query_id", "left").select(
+        "query_id", F.coalesce("context", F.lit(C.CONTEXT_HEADER)).alias("context"),
+        F.coalesce("n_hits", F.lit(0).cast("long")).alias("n_hits"))
 
 
 def chat_history(messages: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -78,10 +87,27 @@ def history_append(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     return user.unionByName(bot)
 
 
-def prompt_table(questions: DataFrame, contexts: DataFrame, history: Column | None = None,
+def generate(prompts: DataFrame, generator: Callable[[list[str], list[str]], list[str]]) -> DataFrame:
+    """Answers ``(query_id, answer)`` of a prompt table, by a batch function of (system prompts,
+    user prompts) -> answers that gets Arrow batches; to be joined back by ``query_id``."""
+
+    @F.pandas_udf("string")
+    def answer(system: pd.Series, user: pd.Series) -> pd.Series:
+        return pd.Series(generator(system.tolist(), user.tolist()), dtype=object)
+
+    return prompts.select("query_id", answer("system_prompt", "user_prompt").alias("answer"))
+
+
+def repeat_question(system: list[str], user: list[str]) -> list[str]:
+    """A generator for tests: what follows the last ``Question: `` of each prompt."""
+    return [u.rpartition("Question: ")[2] for u in user]
+
+
+def prompt_table(questions: DataFrame, contexts: DataFrame, history: DataFrame | None = None,
                  variant: str = "chat") -> DataFrame:
     """K5 + B15: per question the routed template (with context when it has hits) as
-    ``(query_id, template, system_prompt, user_prompt)``."""
+    ``(query_id, template, system_prompt, user_prompt)``. ``history`` has the chat histories
+    (query_id, chat_history) of questions that continue a conversation."""
     if variant == "chat":
         sys_c, usr_c, sys_n, usr_n = (C.CHAT_SYSTEM_WITH_CONTEXT, C.CHAT_USER_WITH_CONTEXT,
                                       C.CHAT_SYSTEM_NO_CONTEXT, C.CHAT_USER_NO_CONTEXT)
@@ -89,10 +115,13 @@ def prompt_table(questions: DataFrame, contexts: DataFrame, history: Column | No
         sys_c, usr_c, sys_n, usr_n = (C.EVAL_SYSTEM_WITH_CONTEXT, C.EVAL_USER_WITH_CONTEXT,
                                       C.EVAL_SYSTEM_NO_CONTEXT, C.EVAL_USER_NO_CONTEXT)
     j = questions.join(contexts, "query_id", "left")
-    hist = history if history is not None else F.lit(C.NO_HISTORY)
+    hist = F.lit(C.NO_HISTORY)
+    if history is not None:
+        j = j.join(history.select("query_id", "chat_history"), "query_id", "left")
+        hist = F.coalesce("chat_history", hist)
     ctx = F.coalesce(F.col("context"), F.lit(""))
     fields = dict(context=ctx, chat_history=hist, question=F.col("query_text"))
-    has = F.col("context").isNotNull()
+    has = F.coalesce(F.col("n_hits") > 0, F.lit(False))
     return j.select(
         "query_id",
         F.when(has, F.lit("context")).otherwise(F.lit("no_context")).alias("template"),

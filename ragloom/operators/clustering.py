@@ -126,8 +126,9 @@ def clustered_chunks(chunks: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def label_from_column(chunks: DataFrame, col: str = "label", noise_value: int = 0) -> DataFrame:
-    """Labels given with the data (fixture): ``noise_value`` becomes the noise label -1."""
-    return chunks.select("chunk_id", F.when(F.col(col) == noise_value, F.lit(C.NOISE_LABEL))
+    """Labels given with the data (fixture): ``noise_value`` becomes the noise label -1; chunks
+    without one (they have no vector) are left out."""
+    return chunks.where(F.col(col).isNotNull()).select("chunk_id", F.when(F.col(col) == noise_value, F.lit(C.NOISE_LABEL))
                          .otherwise(F.col(col)).alias("label"))
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -41,21 +42,31 @@ def sparse_hash_vectors(df: DataFrame, id_cols: list[str], text_col: str, dim: i
     return counts.join(norms, id_cols).select(*id_cols, "bucket", (F.col("weight") / F.col("norm")).alias("weight"))
 
 
-def densify(sparse: DataFrame, id_cols: list[str], dim: int, out_col: str = "embedding",
-            dtype: str = "float") -> DataFrame:
-    """Sparse ``(id, bucket, weight)`` rows -> one dense array of width ``dim`` per id."""
-    g = sparse.groupBy(*id_cols).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")),
-                        lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)).cast(dtype))
-    return g.select(*id_cols, dense.alias(out_col))
+def hash_vector(text: Column, dim: int, dtype: str = "float") -> Column:
+    """A text's dense hashed vector of unit length; NULL without a token. Buckets are SQL functions;
+    an Arrow function counts them, row by row of a batch, without any exchange."""
+    buckets = F.transform(T.tokens(text, fold_accents=False), lambda t: hash_bucket(t, dim))
 
+    def count(rows: pa.Array) -> pa.Array:
+        values, sizes = rows.flatten().to_numpy(zero_copy_only=False), rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        weights = np.bincount(owner * dim + values.astype(np.int64), minlength=len(rows) * dim).reshape(-1, dim).astype(float)
+        norms = np.sqrt((weights * weights).sum(axis=1))
+        found = weights / np.where(norms > 0, norms, 1.0)[:, None]
+        flat = pa.array(found.ravel(), pa.float64()).cast(kind.value_type, safe=False)
+        mask = pa.array(norms == 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dim), flat, mask=mask)
 
-def hash_embed(df: DataFrame, id_cols: list[str], text_col: str, dim: int, prefix: str = "",
-               out_col: str = "embedding", dtype: str = "float") -> DataFrame:
-    """D1/D2 default: dense hashed vectors joined back to the input rows (texts with no
-    token get NULL). ``prefix`` is ``passage: `` for chunks and ``query: `` for questions."""
-    dense = densify(sparse_hash_vectors(df, id_cols, text_col, dim, prefix), id_cols, dim, out_col, dtype)
-    return df.join(dense, id_cols, "left")
+    kind = pa.list_(pa.float32() if dtype == "float" else pa.float64())
+    return F.arrow_udf(count, f"array<{dtype}>")(buckets)
+
+
+def hash_embed(df: DataFrame, text_col: str, dim: int, prefix: str = "", out_col: str = "embedding",
+               dtype: str = "float") -> DataFrame:
+    """D1/D2 default: adds dense hashed vectors (texts with no token get NULL), row by row.
+    ``prefix`` is ``passage: `` for chunks and ``query: `` for questions."""
+    txt = F.concat(F.lit(prefix), F.col(text_col)) if prefix else F.col(text_col)
+    return df.withColumn(out_col, hash_vector(txt, dim, dtype))
 
 
 def model_embedder(fn: Callable[[list[str]], np.ndarray], prefix: str = "") -> Callable[[Column], Column]:

@@ -6,9 +6,9 @@ minimum spanning tree (Prim), single-linkage merges in edge order, condensed tre
 for ``min_cluster_size``, cluster stability, excess-of-mass selection. The root is
 never selected, so a document that forms one single group comes out all noise.
 
-Documents run in parallel (``groupBy(source).applyInPandas``). The tree needs a
-document's whole distance matrix, so documents are bounded by ``max_rows``; a
-larger one raises instead of loading an unbounded group into one task.
+Documents run in parallel (``groupBy(source).applyInPandas``), one document per task. Distances are
+computed a block or a row at a time, so a task's memory is linear in the document's vectors;
+its time is quadratic, as the tree over all mutual reachability distances is exact.
 """
 
 from __future__ import annotations
@@ -20,27 +20,47 @@ from pyspark.sql import functions as F
 
 from ragloom import constants as C
 
-MAX_ROWS = 20000
+BLOCK_VALUES = 4_000_000  # distances held at once while core distances are computed
 
 
-def _mst(m: np.ndarray):
-    """Prim on a dense symmetric weight matrix: list of (a, b, w)."""
-    n = len(m)
-    seen = np.zeros(n, dtype=bool)
+def _distances(x: np.ndarray, sq: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Distances of some rows to all rows; equal rows are at exactly 0."""
+    d = sq[rows][:, None] + sq[None, :] - 2.0 * (x[rows] @ x.T)
+    near = d < 1e-9 * (sq[rows][:, None] + sq[None, :])
+    for i, j in zip(*np.nonzero(near)):  # where the products cancel out, the differences themselves
+        d[i, j] = ((x[rows[i]] - x[j]) ** 2).sum()
+    return np.sqrt(np.maximum(d, 0.0))
+
+
+def _core_distances(x: np.ndarray, sq: np.ndarray, k: int) -> np.ndarray:
+    n = len(x)
+    core = np.empty(n)
+    step = max(1, BLOCK_VALUES // n)
+    for a in range(0, n, step):
+        rows = np.arange(a, min(a + step, n))
+        d = _distances(x, sq, rows)
+        d[np.arange(len(rows)), rows] = np.inf
+        core[rows] = np.partition(d, k - 1, axis=1)[:, k - 1]
+    return core
+
+
+def _mst(x: np.ndarray, core_k: int):
+    """Prim over mutual reachability distances, computing one row per step: (a, b, w)."""
+    n = len(x)
+    sq = (x ** 2).sum(axis=1)
+    core = _core_distances(x, sq, min(core_k, n - 1))
     best = np.full(n, np.inf)
     frm = np.zeros(n, dtype=np.int64)
-    cur = 0
-    seen[0] = True
-    edges = []
+    open_ = np.ones(n, dtype=bool)
+    cur, edges = 0, []
+    open_[0] = False
     for _ in range(n - 1):
-        upd = (~seen) & (m[cur] < best)
-        best[upd] = m[cur][upd]
-        frm[upd] = cur
-        cand = np.where(seen, np.inf, best)
-        nxt = int(np.argmin(cand))
-        edges.append((int(frm[nxt]), nxt, float(best[nxt])))
-        seen[nxt] = True
-        cur = nxt
+        m = np.maximum(((x - x[cur]) ** 2).sum(axis=1) ** 0.5, np.maximum(core, core[cur]))
+        closer = open_ & (m < best)
+        best[closer], frm[closer] = m[closer], cur
+        cur = int(np.argmin(np.where(open_, best, np.inf)))
+        edges.append((int(frm[cur]), cur, float(best[cur])))
+        open_[cur] = False
     return edges
 
 
@@ -69,12 +89,7 @@ def _labels(x: np.ndarray, min_cluster_size: int, core_k: int) -> np.ndarray:
     n = len(x)
     if n < 2:
         return np.full(n, C.NOISE_LABEL)
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-    k = min(core_k, n - 1)
-    core = np.sort(d + np.diag(np.full(n, np.inf)), axis=1)[:, k - 1]
-    m = np.maximum(d, np.maximum(core[:, None], core[None, :]))
-    np.fill_diagonal(m, np.inf)
-    merges = _merges(n, _mst(m))
+    merges = _merges(n, _mst(x, core_k))
     children = {n + i: (l, r, w, s) for i, (l, r, w, s) in enumerate(merges)}
 
     def count(node):
@@ -126,15 +141,11 @@ def _labels(x: np.ndarray, min_cluster_size: int, core_k: int) -> np.ndarray:
     kids = {c: [] for c in birth}
     for c, p in parent_of.items():
         kids[p].append(c)
-    sizes = {}
-
-    def csize(c):
-        if c not in sizes:
-            sizes[c] = len(leave.get(c, [])) + sum(csize(k) for k in kids[c])
-        return sizes[c]
-
+    sizes = {c: len(leave.get(c, [])) for c in birth}
+    for c in sorted(parent_of, reverse=True):  # children have larger ids than their parents
+        sizes[parent_of[c]] += sizes[c]
     for c, p in parent_of.items():
-        stab[p] += (min(birth[c], 1e300) - birth[p]) * csize(c)
+        stab[p] += (min(birth[c], 1e300) - birth[p]) * sizes[c]
     # excess of mass, children before parents (ids grow downwards), root excluded
     selected = {}
     best = dict(stab)
@@ -165,13 +176,10 @@ def _labels(x: np.ndarray, min_cluster_size: int, core_k: int) -> np.ndarray:
 
 
 def hdbscan_labels(chunks: DataFrame, group: str = "source", id_col: str = "chunk_id", vec_col: str = "embedding",
-                   min_cluster_size: int = 2, core_k: int = 2, max_rows: int = MAX_ROWS) -> DataFrame:
+                   min_cluster_size: int = 2, core_k: int = 2) -> DataFrame:
     """``(chunk_id, label)`` per document, noise = -1 (J2); documents with fewer than two
     vectors are left out, as the loader skips them (J3)."""
     sizes = chunks.where(F.col(vec_col).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    too_big = sizes.where(F.col("n") > max_rows).limit(1).collect()
-    if too_big:
-        raise ValueError(f"document {too_big[0][group]!r} has {too_big[0]['n']} vectors (> {max_rows})")
     ok = sizes.where(F.col("n") >= 2).select(group)
     src = chunks.where(F.col(vec_col).isNotNull()).join(ok, group, "left_semi").select(
         group, F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))

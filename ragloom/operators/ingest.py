@@ -34,9 +34,12 @@ CLUSTERED_SCHEMA = TY.StructType(CHUNK_SCHEMA.fields + [
 
 
 def create_table(spark: SparkSession, path: str, clustered: bool = False) -> None:
-    """An empty chunk table at ``path`` (replacing any table there)."""
-    schema = CLUSTERED_SCHEMA if clustered else CHUNK_SCHEMA
-    spark.createDataFrame([], schema).write.mode("overwrite").partitionBy("strategy").parquet(path)
+    """An empty chunk table at ``path``; a table that is already there stays as it is."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(fs_path):
+        schema = CLUSTERED_SCHEMA if clustered else CHUNK_SCHEMA
+        spark.createDataFrame([], schema).write.partitionBy("strategy").parquet(path)
 
 
 def chunk_rows(chunks: DataFrame, strategy: str, language_col: str = "language") -> DataFrame:
@@ -60,8 +63,10 @@ def chunk_rows(chunks: DataFrame, strategy: str, language_col: str = "language")
 
 
 def write_chunks(rows: DataFrame, path: str, reset: bool) -> None:
-    """``reset`` replaces the table (option 'Y'), otherwise rows are appended ('N')."""
-    rows.write.mode("overwrite" if reset else "append").partitionBy("strategy").parquet(path)
+    """``reset`` replaces the rows of the strategies that ``rows`` holds (option 'Y'), and of no
+    other one; otherwise rows are appended ('N')."""
+    w = rows.write.partitionBy("strategy").mode("overwrite" if reset else "append")
+    (w.option("partitionOverwriteMode", "dynamic") if reset else w).parquet(path)
 
 
 def file_keys(files: DataFrame, name_col: str = "file_name") -> DataFrame:
@@ -83,15 +88,18 @@ def new_files_only(files: DataFrame, table: DataFrame, name_col: str = "file_nam
 
 
 def ingest_report(files: DataFrame, table: DataFrame, name_col: str = "file_name") -> DataFrame:
-    """Processed vs rejected files of a batch: ``(status, n_files)``.
+    """Processed, rejected and failed files of a batch: ``(status, n_files)``; the names by
+    status are the rows of ``file_status``."""
+    return file_status(files, table, name_col).groupBy("status").agg(F.count(F.lit(1)).alias("n_files"))
 
-    The newline-joined name lists of the upload screen are left to the caller
-    (``already_loaded`` gives the per-file rows); one string of all names would pass
-    the whole batch through one task.
-    """
+
+def file_status(files: DataFrame, table: DataFrame, name_col: str = "file_name", failed: DataFrame | None = None) -> DataFrame:
+    """One row per file: its name and status, ``rejected`` (already in the table), ``failed`` (its
+    name is in ``failed``) or ``processed``."""
     flagged = already_loaded(files, table, name_col)
-    status = F.when(F.col("loaded"), F.lit("rejected")).otherwise(F.lit("processed"))
-    return flagged.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n_files"))
+    bad = (failed.select(F.col(name_col)).distinct() if failed is not None else files.select(name_col).limit(0)).withColumn("_bad", F.lit(True))
+    status = F.when(F.col("loaded"), "rejected").when(F.col("_bad"), "failed").otherwise("processed")
+    return flagged.join(bad, name_col, "left").select(name_col, status.alias("status"))
 
 
 def embeddings_by_source(table: DataFrame, dim: int) -> DataFrame:

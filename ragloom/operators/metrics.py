@@ -10,6 +10,7 @@ the lengths of the two texts.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
+from ragloom import constants as C
 from ragloom.functions import text as T
 
 # ------------------------------------------------------------------ tokenizers
@@ -165,6 +167,7 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ greedy embedding match (L4)
 
+@lru_cache(maxsize=100_000)
 def _trigram_vec(tok: str, dim: int) -> np.ndarray:
     s = f"<{tok}>"
     v = np.zeros(dim)
@@ -201,16 +204,17 @@ def greedy_match_score(pairs: DataFrame, dim: int = 64) -> DataFrame:
 
 # ------------------------------------------------------------------ ranking metrics
 
-def relevance_by_group(hits: DataFrame, items: DataFrame, group_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """Relevance "same group, other item": flags each hit and counts relevant items per
-    query from group sizes, without listing relevant pairs."""
+def relevance_by_group(hits: DataFrame, items: DataFrame, queries: DataFrame, group_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """Relevance "same group, other item" for queries that are items themselves: flags each hit and
+    counts relevant items per query from group sizes, without listing relevant pairs."""
     g = items.select(F.col("chunk_id"), F.col(group_col).alias("grp"))
     qg = g.select(F.col("chunk_id").alias("query_id"), F.col("grp").alias("qgrp"))
     flagged = hits.join(g, "chunk_id").join(qg, "query_id").select(
         "query_id", "chunk_id", "rank", ((F.col("grp") == F.col("qgrp")) & (F.col("chunk_id") != F.col("query_id")))
         .alias("relevant"))
     sizes = g.groupBy("grp").agg((F.count(F.lit(1)) - 1).alias("n_relevant"))
-    n_rel = qg.join(sizes, qg.qgrp == sizes.grp).select("query_id", "n_relevant")
+    n_rel = qg.join(queries.select("query_id"), "query_id", "left_semi").join(
+        sizes, F.col("qgrp") == F.col("grp")).select("query_id", "n_relevant")
     return flagged, n_rel
 
 
@@ -231,14 +235,25 @@ def mrr(flagged: DataFrame, n_rel: DataFrame) -> DataFrame:
     return per_q.agg(F.avg("rr").alias("mrr"), F.count(F.lit(1)).alias("n_queries"))
 
 
+REPORT_COLUMNS = ("query", "answer_reference", "answer_prediction", "sources_prediction", "bert_precision", "bert_recall",
+                  "bert_f1", "bleu", "rouge1_f1", "rouge2_f1", "rougeL_f1")
+
+
 def eval_report(pairs: DataFrame, max_order: int = 4) -> DataFrame:
-    """One row per question with the corpus BLEU and mean ROUGE-1/2 repeated on every
-    row (as the reference report does), per-row ROUGE-L and greedy match scores."""
+    """The report's 11 columns and ``qid``, one row per question: the answers, the sources (column
+    ``sources`` of ``pairs``, ``null`` without), the greedy match per row (in the place of a
+    model's score), and the corpus BLEU and mean ROUGE-1/2/L repeated on every row."""
     b = bleu(pairs, max_order).select("bleu")
     means = rouge_n(pairs).agg(F.avg("rouge1_f1").alias("rouge1_f1"), F.avg("rouge2_f1").alias("rouge2_f1"))
+    longest = rouge_l(pairs).agg(F.avg("rougeL_f1").alias("rougeL_f1"))
+    match = greedy_match_score(pairs).select("qid", F.col("greedy_precision").alias("bert_precision"),
+                                             F.col("greedy_recall").alias("bert_recall"), F.col("greedy_f1").alias("bert_f1"))
+    sources = F.col("sources") if "sources" in pairs.columns else F.lit(C.NO_SOURCES)
     rows = pairs.select("qid", F.col("question").alias("query"), F.col("reference").alias("answer_reference"),
-                        F.col("prediction").alias("answer_prediction"))
-    return attach_scalars(attach_scalars(rows, b), means)
+                        F.col("prediction").alias("answer_prediction"), sources.alias("sources_prediction"))
+    for scalars in (b, means, longest):
+        rows = attach_scalars(rows, scalars)
+    return rows.join(match, "qid").select("qid", *REPORT_COLUMNS)
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:

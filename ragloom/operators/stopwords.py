@@ -1,44 +1,31 @@
 """Stop words per text search configuration, and configuration-aware postings.
 
-The word lists are the ones Spark ML ships for ``StopWordsRemover``, read from the
-Spark installation so Spark and the SQL oracle use the same lists. Configurations
-without a list (``simple``, or a language Spark has no list for) remove nothing.
-No stemming is applied (README: deviations).
+The word lists are files of this package (``data/stopwords``, one per configuration, the ones
+Spark ML ships for ``StopWordsRemover``), so Spark and the SQL twins use the same lists whatever
+the installation. Configurations without a list (``simple``, or a language Spark has no list
+for) remove nothing. No stemming is applied (README: deviations).
 """
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
 from functools import lru_cache
+from importlib import resources
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragloom import constants as C
 from ragloom.functions import text as T
 
-_RES = "org/apache/spark/ml/feature/stopwords/{}.txt"
+CONFIGS = ("Danish", "Dutch", "English", "Finnish", "French", "Hungarian", "Italian", "Norwegian", "Portuguese",
+           "Russian", "Spanish", "Swedish", "Turkish")
 
 
 @lru_cache(maxsize=None)
 def word_lists() -> dict[str, tuple[str, ...]]:
-    """configuration name -> stop words (lower case), for configurations that have a list."""
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    out: dict[str, tuple[str, ...]] = {}
-    if not jars:
-        return out
-    with zipfile.ZipFile(jars[0]) as z:
-        names = set(z.namelist())
-        for config in sorted(set(C.LANGUAGE_CONFIG.values())):
-            res = _RES.format(config.lower())
-            if res in names:
-                words = z.read(res).decode("utf-8").split("\n")
-                out[config] = tuple(sorted({w.strip().lower() for w in words if w.strip()}))
-    return out
+    """configuration name -> stop words (lower case), for configurations that have a list.
+    A missing file raises."""
+    folder = resources.files("ragloom").joinpath("data").joinpath("stopwords")
+    return {c: tuple(folder.joinpath(f"{c}.txt").read_text(encoding="utf-8").split("\n")[:-1]) for c in CONFIGS}
 
 
 def stop_table(spark) -> DataFrame:

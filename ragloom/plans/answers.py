@@ -55,29 +55,40 @@ def q_rerank(spark, sf):
 
 
 def q_context_string(spark, sf):
-    hits, _ = _base(spark, sf)
-    return A.context_string(hits)
+    hits, q = _base(spark, sf)
+    return A.context_string(hits, questions=q)
 
 
 def q_chat_history(spark, sf):
     return A.chat_history(read_table(spark, sf, "conversations"))
 
 
+def _history(spark, sf):
+    """Question n continues the conversation n."""
+    return A.chat_history(read_table(spark, sf, "conversations")).withColumnRenamed("conv_id", "query_id")
+
+
 def q_history_append(spark, sf):
     hits, q = _base(spark, sf)
-    turns = q.join(_answers(q), "query_id").join(A.context_string(hits), "query_id", "left").select(
+    turns = q.join(_answers(q), "query_id").join(A.context_string(hits, questions=q), "query_id", "left").select(
         "query_id", F.lit(0).cast("long").alias("turn"), F.col("query_text").alias("question"), "answer", "context")
     return A.history_append(turns, key="query_id")
 
 
 def q_prompt_table(spark, sf):
     hits, q = _base(spark, sf)
-    return A.prompt_table(q, A.context_string(hits), variant="chat")
+    return A.prompt_table(q, A.context_string(hits, questions=q), _history(spark, sf), variant="chat")
 
 
 def q_prompt_table_eval(spark, sf):
     hits, q = _base(spark, sf)
-    return A.prompt_table(q, A.context_string(hits), variant="eval")
+    return A.prompt_table(q, A.context_string(hits, questions=q), variant="eval")
+
+
+def q_generate(spark, sf):
+    hits, q = _base(spark, sf)
+    prompts = A.prompt_table(q, A.context_string(hits, questions=q), variant="eval")
+    return A.generate(prompts, A.repeat_question)
 
 
 def q_refusal_flag(spark, sf):
@@ -127,10 +138,11 @@ ANSWER_CTES.update({
           SELECT h.*, {_OVERLAP} AS score,
                  row_number() OVER (PARTITION BY h.query_id ORDER BY {_OVERLAP} DESC NULLS LAST, h.rank) AS rerank
           FROM hyb h JOIN queries q ON q.query_id = h.query_id) WHERE rerank <= {C.RERANK_TOP}"""),
-    "ctx": (("hits",), f"""
-        SELECT query_id, {T._lit_sql(C.CONTEXT_HEADER)} ||
-               string_agg('Document ' || CAST(rerank - 1 AS VARCHAR) || chr(10) || content, '' ORDER BY rerank) AS context
-        FROM hits GROUP BY query_id"""),
+    "ctx": (("hits", "queries"), f"""
+        SELECT q.query_id, {T._lit_sql(C.CONTEXT_HEADER)} || coalesce(string_agg(
+                 'Document ' || CAST(rerank - 1 AS VARCHAR) || chr(10) || content, '' ORDER BY rerank), '') AS context,
+               count(h.query_id) AS n_hits
+        FROM queries q LEFT JOIN hits h ON h.query_id = q.query_id GROUP BY q.query_id"""),
     "answers": (("queries",), f"""
         SELECT query_id, CASE WHEN query_id % 5 = 0 THEN '  ' || upper({T._lit_sql(C.NO_DOCS_TEMPLATE)}) || ' '
                               ELSE 'Answer about ' || query_text END AS answer FROM queries"""),
@@ -186,6 +198,12 @@ def ctes(*names):
     return X.with_ctes(*names, extra=ANSWER_CTES)
 
 
+_LINE = "CASE WHEN role = 'user' THEN 'user: ' ELSE 'assistant: ' END || text"
+_HISTORY_SQL = f"""
+    SELECT conv_id, CASE WHEN h = '' THEN {T._lit_sql(C.NO_HISTORY)} ELSE h END AS chat_history
+    FROM (SELECT conv_id, string_agg({_LINE}, chr(10) ORDER BY turn) AS h FROM conversations GROUP BY conv_id)"""
+
+
 def _prompt_sql(variant: str) -> str:
     if variant == "chat":
         sc, uc, sn, un = (C.CHAT_SYSTEM_WITH_CONTEXT, C.CHAT_USER_WITH_CONTEXT,
@@ -193,27 +211,26 @@ def _prompt_sql(variant: str) -> str:
     else:
         sc, uc, sn, un = (C.EVAL_SYSTEM_WITH_CONTEXT, C.EVAL_USER_WITH_CONTEXT,
                           C.EVAL_SYSTEM_NO_CONTEXT, C.EVAL_USER_NO_CONTEXT)
-    f = dict(context="coalesce(x.context, '')", chat_history=T._lit_sql(C.NO_HISTORY), question="q.query_text")
+    hist = f"coalesce(h.chat_history, {T._lit_sql(C.NO_HISTORY)})" if variant == "chat" else T._lit_sql(C.NO_HISTORY)
+    f = dict(context="x.context", chat_history=hist, question="q.query_text")
     return ctes("queries", "ctx") + f"""
-        SELECT q.query_id, CASE WHEN x.context IS NOT NULL THEN 'context' ELSE 'no_context' END AS template,
-               CASE WHEN x.context IS NOT NULL THEN {A.fill_sql(sc, **f)} ELSE {A.fill_sql(sn, **f)} END AS system_prompt,
-               CASE WHEN x.context IS NOT NULL THEN {A.fill_sql(uc, **f)} ELSE {A.fill_sql(un, **f)} END AS user_prompt
-        FROM queries q LEFT JOIN ctx x ON x.query_id = q.query_id"""
+        SELECT q.query_id, CASE WHEN x.n_hits > 0 THEN 'context' ELSE 'no_context' END AS template,
+               CASE WHEN x.n_hits > 0 THEN {A.fill_sql(sc, **f)} ELSE {A.fill_sql(sn, **f)} END AS system_prompt,
+               CASE WHEN x.n_hits > 0 THEN {A.fill_sql(uc, **f)} ELSE {A.fill_sql(un, **f)} END AS user_prompt
+        FROM queries q JOIN ctx x ON x.query_id = q.query_id LEFT JOIN ({_HISTORY_SQL}) h ON h.conv_id = q.query_id"""
 
 
 _EXPLAIN_ITEM = A.fill_sql(C.EXPLAIN_USER_ITEM, source="source", contents="contents")
-_LINE = "CASE WHEN role = 'user' THEN 'user: ' ELSE 'assistant: ' END || text"
 
 register("rerank", q_rerank, ctes("hits") + f"SELECT query_id, rerank, chunk_id, {r6_sql('score')} AS score, rank FROM hits")
-register("context_string", q_context_string, ctes("ctx") + "SELECT query_id, context FROM ctx")
-register("chat_history", q_chat_history, f"""
-    SELECT conv_id, CASE WHEN h = '' THEN {T._lit_sql(C.NO_HISTORY)} ELSE h END AS chat_history
-    FROM (SELECT conv_id, string_agg({_LINE}, chr(10) ORDER BY turn) AS h FROM conversations GROUP BY conv_id)""")
+register("context_string", q_context_string, ctes("ctx") + "SELECT query_id, context, n_hits FROM ctx")
+register("chat_history", q_chat_history, _HISTORY_SQL)
+register("generate", q_generate, ctes("queries", "ctx") + "SELECT query_id, query_text AS answer FROM queries")
 register("history_append", q_history_append, ctes("queries", "answers", "ctx") + """
     SELECT q.query_id, 1::BIGINT AS turn, 'user' AS role, q.query_text AS text FROM queries q
     UNION ALL
-    SELECT q.query_id, 2::BIGINT AS turn, 'assistant' AS role, a.answer || chr(10) || chr(10) || coalesce(x.context, '')
-    FROM queries q JOIN answers a ON a.query_id = q.query_id LEFT JOIN ctx x ON x.query_id = q.query_id""")
+    SELECT q.query_id, 2::BIGINT AS turn, 'assistant' AS role, a.answer || chr(10) || chr(10) || x.context
+    FROM queries q JOIN answers a ON a.query_id = q.query_id JOIN ctx x ON x.query_id = q.query_id""")
 register("prompt_table", q_prompt_table, _prompt_sql("chat"))
 register("prompt_table_eval", q_prompt_table_eval, _prompt_sql("eval"))
 register("refusal_flag", q_refusal_flag, ctes("refusals") + "SELECT query_id, refusal FROM refusals")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ragloom import constants as C
 from ragloom.functions import text as T
 from ragloom.operators import chunking, embedding
@@ -42,8 +44,9 @@ def q_chunk_stats(spark, sf):
 
 def q_embed_hash(spark, sf):
     ch = X.chunks(spark, sf)
-    v = embedding.sparse_hash_vectors(ch, ["chunk_id"], "content", EMBED_DIM, prefix=C.PASSAGE_PREFIX)
-    return r6(v, "weight")
+    v = embedding.hash_embed(ch, "content", EMBED_DIM, prefix=C.PASSAGE_PREFIX, dtype="double")
+    return r6(v.select("chunk_id", F.posexplode("embedding").alias("bucket", "weight")).where("weight > 0").withColumn(
+        "bucket", F.col("bucket").cast("long")), "weight")
 
 
 # ------------------------------------------------------------------ SQL twins

@@ -96,7 +96,7 @@ CLUSTER_CTES.update({
                     ELSE list_transform(range(1, len(i.embedding) + 1), lambda k: i.embedding[k] * 0.7 + c.cvec[k] * 0.3)
                END AS combined
         FROM cl_ids i LEFT JOIN (SELECT source, cluster_id, list(value ORDER BY idx) AS cvec FROM cent GROUP BY ALL) c
-          ON c.source = i.source AND c.cluster_id = i.cluster_id"""),
+          ON c.source = i.source AND c.cluster_id = i.cluster_id WHERE i.embedding IS NOT NULL"""),
     "ctop": (("comb", "queries"), f"""
         SELECT * FROM (
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_semantic DESC, chunk_id) AS rank FROM (

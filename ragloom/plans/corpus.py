@@ -37,20 +37,20 @@ def q_vector_codec(spark, sf):
                     (back == F.col("embedding")).alias("roundtrip_ok"))
 
 
-def _loaded_table(spark, sf):
+def _loaded_table(spark, sf, files=None):
     ch = X.chunks(spark, sf)
-    files = X.loaded_files(spark, sf)
+    files = X.loaded_files(spark, sf) if files is None else files
     named = ch.join(files, ch.chunk_id == files.doc_id).drop("source", "doc_id").withColumnRenamed(
         "file_name", "source")
     return ingest.chunk_rows(named, strategy="recursive")
 
 
 def q_chunk_table(spark, sf):
-    return _loaded_table(spark, sf).drop("embedding")
+    return _loaded_table(spark, sf, X.file_names(spark, sf)).drop("embedding")
 
 
 def q_embeddings_by_source(spark, sf):
-    return ingest.embeddings_by_source(_loaded_table(spark, sf), dim=64)
+    return ingest.embeddings_by_source(_loaded_table(spark, sf, X.file_names(spark, sf)), dim=64)
 
 
 # ------------------------------------------------------------------ B: functions
@@ -135,12 +135,13 @@ def q_ingest_report(spark, sf):
 
 _CLEAN = T.clean_filename_sql("file_name")
 CORPUS_CTES = {
-    "loaded_table": (("chunks", "file_names"), f"""
+    "whole_table": (("chunks", "file_names"), f"""
         SELECT c.chunk_id, {T.clean_text_sql('c.content')} AS content,
                {T.clean_filename_sql('f.file_name')} AS source, c.page_number,
                {T.language_config_sql('c.language')} AS language,
                {T.file_hash_sql('f.file_name')} AS hash_value, 'recursive' AS strategy, c.embedding
-        FROM chunks c JOIN file_names f ON f.doc_id = c.chunk_id WHERE f.doc_id % 4 = 0"""),
+        FROM chunks c JOIN file_names f ON f.doc_id = c.chunk_id"""),
+    "loaded_table": (("whole_table",), "SELECT * FROM whole_table WHERE chunk_id % 4 = 0"),
     "batch": (("file_names",), f"SELECT doc_id, file_name, {T.file_hash_sql('file_name')} AS hash_value FROM file_names"),
 }
 
@@ -154,11 +155,11 @@ register("qa_pairs", q_qa_pairs, X.with_ctes("qa_pairs") + "SELECT qid, question
 register("vector_codec", q_vector_codec, """
     SELECT vec_id, len(embedding)::BIGINT AS n_dims,
            CAST(CAST(embedding AS VARCHAR) AS FLOAT[]) = embedding AS roundtrip_ok FROM embeddings""")
-register("chunk_table", q_chunk_table, ctes("loaded_table") +
-         "SELECT chunk_id, content, source, page_number, language, hash_value, strategy FROM loaded_table")
-register("embeddings_by_source", q_embeddings_by_source, ctes("loaded_table") + """
+register("chunk_table", q_chunk_table, ctes("whole_table") +
+         "SELECT chunk_id, content, source, page_number, language, hash_value, strategy FROM whole_table")
+register("embeddings_by_source", q_embeddings_by_source, ctes("whole_table") + """
     SELECT source, count(*) AS n_vectors, min(hash_value) AS hash_value, sum(len(embedding))::BIGINT AS n_values
-    FROM loaded_table GROUP BY source""")
+    FROM whole_table GROUP BY source""")
 register("clean_filename", q_clean_filename, X.with_ctes("file_names") +
          f"SELECT doc_id, file_name, {_CLEAN} AS clean_name FROM file_names")
 register("file_hash", q_file_hash, X.with_ctes("file_names") +

@@ -7,6 +7,8 @@ other page" as the relevance rule.
 
 from __future__ import annotations
 
+from ragloom import constants as C
+from ragloom.functions import text as T
 from ragloom.operators import fusion
 from ragloom.operators import metrics as M
 from ragloom.plans import search as S
@@ -39,7 +41,7 @@ def q_greedy_match_score(spark, sf):
 def _ranked(spark, sf):
     ch, q = S._inputs(spark, sf)
     hits = fusion.hybrid_search(ch, q, threshold=0.5, with_content=False, materialize_queries=False)
-    return M.relevance_by_group(hits.select("query_id", "chunk_id", "rank"), ch)
+    return M.relevance_by_group(hits.select("query_id", "chunk_id", "rank"), ch, q)
 
 
 def q_recall_at_k(spark, sf):
@@ -53,7 +55,7 @@ def q_mrr(spark, sf):
 
 
 def q_eval_report(spark, sf):
-    return r6(M.eval_report(_pairs(spark, sf)), "bleu", "rouge1_f1", "rouge2_f1")
+    return r6(M.eval_report(_pairs(spark, sf)), *M.REPORT_COLUMNS[4:])
 
 
 # ------------------------------------------------------------------ SQL twins
@@ -172,9 +174,10 @@ RANK_CTES.update({
     "flagged": (("hits05", "chunks"), """
         SELECT h.query_id, h.chunk_id, h.rank, (c.source = qc.source AND h.chunk_id <> h.query_id) AS relevant
         FROM hits05 h JOIN chunks c ON c.chunk_id = h.chunk_id JOIN chunks qc ON qc.chunk_id = h.query_id"""),
-    "n_rel": (("chunks",), """
+    "n_rel": (("chunks", "queries"), """
         SELECT c.chunk_id AS query_id, g.n - 1 AS n_relevant
-        FROM chunks c JOIN (SELECT source, count(*) AS n FROM chunks GROUP BY source) g ON g.source = c.source"""),
+        FROM chunks c JOIN (SELECT source, count(*) AS n FROM chunks GROUP BY source) g ON g.source = c.source
+        WHERE c.chunk_id IN (SELECT query_id FROM queries)"""),
 })
 
 
@@ -201,6 +204,9 @@ register("mrr", q_mrr, rctes("flagged", "n_rel") + f"""
       WHERE n.n_relevant > 0)""")
 register("eval_report", q_eval_report, X.with_ctes("predictions") + f"""
     SELECT p.qid, p.question AS query, p.reference AS answer_reference, p.prediction AS answer_prediction,
-           b.bleu, {r6_sql('m.rouge1_f1')} AS rouge1_f1, {r6_sql('m.rouge2_f1')} AS rouge2_f1
-    FROM predictions p, (SELECT bleu FROM ({bleu_sql()})) b,
+           {T._lit_sql(C.NO_SOURCES)} AS sources_prediction, g.greedy_precision AS bert_precision,
+           g.greedy_recall AS bert_recall, g.greedy_f1 AS bert_f1,
+           b.bleu, {r6_sql('m.rouge1_f1')} AS rouge1_f1, {r6_sql('m.rouge2_f1')} AS rouge2_f1, {r6_sql('l.f')} AS rougeL_f1
+    FROM predictions p JOIN ({X.with_ctes("predictions") + greedy_sql()}) g ON g.qid = p.qid,
+         (SELECT bleu FROM ({bleu_sql()})) b, (SELECT avg(rougeL_f1) AS f FROM ({rouge_l_sql(False)})) l,
          (SELECT avg(rouge1_f1) AS rouge1_f1, avg(rouge2_f1) AS rouge2_f1 FROM ({rouge_sql()})) m""")

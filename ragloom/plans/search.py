@@ -258,11 +258,9 @@ def _text_inputs(spark, sf):
     from ragloom.operators import embedding
 
     ch = X.chunks(spark, sf).drop("embedding")
-    vec = embedding.hash_embed(ch.select("chunk_id", "content"), ["chunk_id"], "content", TEXT_DIM,
-                               prefix=C.PASSAGE_PREFIX, dtype="double")
-    chunks = sizing.materialize(ch.join(vec.select("chunk_id", "embedding"), "chunk_id"))
+    chunks = sizing.materialize(embedding.hash_embed(ch, "content", TEXT_DIM, prefix=C.PASSAGE_PREFIX, dtype="double"))
     b = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    q = embedding.hash_embed(b, ["query_id"], "query_text", TEXT_DIM, prefix=C.QUERY_PREFIX, out_col="query_vec",
+    q = embedding.hash_embed(b, "query_text", TEXT_DIM, prefix=C.QUERY_PREFIX, out_col="query_vec",
                              dtype="double")
     return chunks, sizing.materialize(q)
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ragloom.functions import text as T
 from ragloom.sources.tables import page_table, read_table
 
+QUERY_EVERY = 50
+
 # ------------------------------------------------------------------ Spark side
 
 
@@ -39,13 +41,13 @@ def loaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``embedded_chunks``: pages that have a vector, one chunk per page.
+    """``chunks``: all pages, one chunk per page, with a vector where there is one.
 
     Columns: chunk_id, source, page_number, content (cleaned), language, embedding, label.
     """
     p = pages(spark, sf_dir)
     e = read_table(spark, sf_dir, "embeddings")
-    return p.join(e, p.doc_id == e.vec_id).select(
+    return p.join(e, p.doc_id == e.vec_id, "left").select(
         F.col("doc_id").alias("chunk_id"),
         "source",
         "page_number",
@@ -57,8 +59,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_queries(spark: SparkSession, sf_dir: str, chunk_df: DataFrame | None = None) -> DataFrame:
-    """One query per chunk: its two most frequent words (>= 4 letters, in >= 2 chunks),
-    ties by word; the query vector is the chunk's own embedding.
+    """A query for every chunk whose id is divisible by 50: its two most frequent words (>= 4
+    letters, in >= 2 chunks), ties by word; the query vector is the chunk's own embedding, if any.
 
     Columns: query_id, query_text, query_vec.
     """
@@ -66,7 +68,7 @@ def search_queries(spark: SparkSession, sf_dir: str, chunk_df: DataFrame | None
     toks = ch.select("chunk_id", F.explode(T.tokens("content", fold_accents=True)).alias("tok"))
     tf = toks.groupBy("chunk_id", "tok").agg(F.count(F.lit(1)).alias("tf"))
     dfreq = tf.groupBy("tok").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs >= 2").select("tok")
-    cand = tf.where(F.col("tok").rlike(r"^\p{L}{4,}$")).join(dfreq, "tok", "left_semi")
+    cand = tf.where((F.col("chunk_id") % QUERY_EVERY == 0) & F.col("tok").rlike(r"^\p{L}{4,}$")).join(dfreq, "tok", "left_semi")
     w = Window.partitionBy("chunk_id").orderBy(F.col("tf").desc(), F.col("tok"))
     top = cand.withColumn("r", F.row_number().over(w)).where("r <= 2")
     text = top.groupBy("chunk_id").agg(
@@ -126,7 +128,7 @@ SQL_CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "chunks": (("pages_nb",), f"""
         SELECT p.doc_id AS chunk_id, p.source, p.page_number, {T.clean_text_sql('p.text')} AS content,
                p.lang AS language, e.embedding::DOUBLE[] AS embedding, e.label
-        FROM pages_nb p JOIN embeddings e ON p.doc_id = e.vec_id"""),
+        FROM pages_nb p LEFT JOIN embeddings e ON p.doc_id = e.vec_id"""),
     "chunk_toks": (("chunks",), f"SELECT chunk_id, unnest({T.tokens_sql('content', True)}) AS tok FROM chunks"),
     "chunk_tf": (("chunk_toks",), "SELECT chunk_id, tok, count(*) AS tf FROM chunk_toks GROUP BY chunk_id, tok"),
     "queries": (("chunk_tf", "chunks"), """
@@ -137,7 +139,7 @@ SQL_CTES: dict[str, tuple[tuple[str, ...], str]] = {
             SELECT tf.chunk_id, tf.tok,
                    row_number() OVER (PARTITION BY tf.chunk_id ORDER BY tf.tf DESC, tf.tok) AS r
             FROM chunk_tf tf
-            WHERE regexp_full_match(tf.tok, '\\p{L}{4,}')
+            WHERE tf.chunk_id % 50 = 0 AND regexp_full_match(tf.tok, '\\p{L}{4,}')
               AND tf.tok IN (SELECT tok FROM chunk_tf GROUP BY tok HAVING count(*) >= 2)
           ) WHERE r <= 2
           GROUP BY chunk_id

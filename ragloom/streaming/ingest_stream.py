@@ -1,12 +1,13 @@
 """Incremental ingest (E7) with Structured Streaming.
 
-Page files arriving in a folder are picked up by a file stream; each micro-batch
-(``foreachBatch``) drops files already in the chunk table (anti-join on the
-cleaned-name hash), keeps one file per hash inside the batch, numbers pages,
-chunks, embeds and appends. Re-running a batch after a failure appends nothing
-twice: its files' hashes are already in the table, so the anti-join removes them.
-Checkpoint and table live under the session's checkpoint folder (shared storage
-on a cluster).
+Page files arriving in a folder are picked up by a file stream. The pages of one document may
+arrive in any number of input files and micro-batches, so what is loaded is kept per page: a
+ledger of (strategy, document hash, page key). Each micro-batch (``foreachBatch``) drops
+pages that are in the ledger for its strategy, chunks and embeds the rest, and writes chunks,
+then ledger, each into a folder of its own for that stream and epoch, replacing what a failed
+attempt left there; pages of its own epoch don't count as loaded. So a replay gives the
+same rows, and a batch whose ledger is missing is done again as a whole. Page numbers are
+ranks of page keys among all pages of a document, blank ones included, and are made on reading.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,42 +25,73 @@ from ragloom.operators import chunking, embedding, ingest
 from ragloom.operators.ranking import row_number_in_groups
 from ragloom.session import scratch_path
 
+LEDGER_SCHEMA = "hash_value string, file_name string, page_key long, strategy string, epoch string"
+CHUNKS_SCHEMA = ("content string, embedding array<float>, hash_value string, source string, page_key long, chunk_index long, "
+                 "language string, strategy string, epoch string")
 
-def _table_or_empty(spark: SparkSession, path: str) -> DataFrame:
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``, or no rows where the path doesn't exist; any other error is raised."""
     try:
-        return spark.read.schema(ingest.CHUNK_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - no table yet (first batch)
-        return spark.createDataFrame([], ingest.CHUNK_SCHEMA)
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _write_epoch(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("strategy", "epoch").parquet(path)
+
 
+def process_batch(batch: DataFrame, table_path: str, strategy: str = "recursive", dim: int = 64, epoch: str | None = None) -> None:
+    """One micro-batch of page rows ``(file_name, page_key, text, lang)`` into the table.
 
-def process_batch(batch: DataFrame, table_path: str, strategy: str = "recursive", dim: int = 64) -> None:
-    """One micro-batch of page rows ``(file_name, page_key, text, lang)`` into the table."""
+    ``epoch`` names the batch; the same name again replaces that batch. Of several names with
+    one cleaned name the first one loaded stays, within a batch the smallest."""
+    epoch = epoch or uuid.uuid4().hex
     spark = batch.sparkSession
-    pages = batch.withColumn("hash_value", T.file_hash("file_name"))
-    table = _table_or_empty(spark, table_path)
-    fresh = pages.join(table.select("hash_value").distinct(), "hash_value", "left_anti")
-    keep = fresh.groupBy("hash_value").agg(F.min("file_name").alias("keep"))
-    fresh = fresh.join(keep, (fresh.hash_value == keep.hash_value) & (fresh.file_name == keep.keep), "left_semi")
-    numbered = row_number_in_groups(fresh, "file_name", "page_key", out="page_number")
-    numbered = numbered.where(~T.is_blank("text")).select(F.col("file_name").alias("source"), "page_number", "text", "lang")
-    chunks = chunking.chunk_recursive(numbered, keep=["source", "page_number", "lang"])
-    chunks = chunks.withColumn("chunk_id", F.xxhash64("source", "page_number", "chunk_index"))
-    vecs = embedding.hash_embed(chunks, ["chunk_id"], "content", dim, prefix=C.PASSAGE_PREFIX)
-    rows = ingest.chunk_rows(vecs.withColumnRenamed("lang", "language"), strategy)
-    ingest.write_chunks(rows, table_path, reset=False)
+    ledger = _read(spark, f"{table_path}/pages", LEDGER_SCHEMA).where(
+        (F.col("strategy") == strategy) & (F.col("epoch") != epoch))
+    pages = batch.withColumn("hash_value", T.file_hash("file_name")).dropDuplicates(["file_name", "page_key"])
+    names = ledger.groupBy("hash_value").agg(F.min("file_name").alias("known"))
+    first = pages.groupBy("hash_value").agg(F.min("file_name").alias("first"))
+    keep = first.join(names, "hash_value", "left").select("hash_value", F.coalesce("known", "first").alias("file_name"))
+    fresh = pages.join(keep, ["hash_value", "file_name"], "left_semi")
+    fresh = fresh.join(ledger.select("hash_value", "page_key"), ["hash_value", "page_key"], "left_anti")
+    fresh = fresh.withColumns({"strategy": F.lit(strategy), "epoch": F.lit(epoch)})
+    keys = ["hash_value", "file_name", "page_key", "lang", "strategy", "epoch"]
+    chunks = chunking.chunk_recursive(fresh.where(~T.is_blank("text")).select(*keys, "text"), keep=keys)
+    chunks = embedding.hash_embed(chunks, "content", dim, prefix=C.PASSAGE_PREFIX)
+    _write_epoch(chunks.select(
+        T.clean_text("content").alias("content"), "embedding", "hash_value", T.clean_filename("file_name").alias("source"),
+        "page_key", F.col("chunk_index").cast("long").alias("chunk_index"), T.language_config(F.col("lang")).alias("language"),
+        "strategy", "epoch"), f"{table_path}/chunks")
+    _write_epoch(fresh.select("hash_value", "file_name", "page_key", "strategy", "epoch"), f"{table_path}/pages")
+
+
+def read_table(spark: SparkSession, table_path: str) -> DataFrame:
+    """The loaded chunks, of pages that the ledger has, with their page numbers. A chunk's key is
+    (hash_value, strategy, page_number, chunk_index)."""
+    ledger = _read(spark, f"{table_path}/pages", LEDGER_SCHEMA).withColumn("doc", F.concat_ws("/", "strategy", "hash_value"))
+    numbered = row_number_in_groups(ledger, "doc", "page_key", out="page_number").select(
+        "hash_value", "strategy", "page_key", "epoch", "page_number")
+    chunks = _read(spark, f"{table_path}/chunks", CHUNKS_SCHEMA)
+    return chunks.join(numbered, ["hash_value", "strategy", "page_key", "epoch"]).drop("page_key", "epoch")
 
 
 def start_incremental_ingest(spark: SparkSession, source_path: str, table_path: str, checkpoint: str,
                              schema: str, to_pages, trigger_available_now: bool = True,
-                             max_files_per_trigger: int = 1, file_glob: str = "*.parquet"):
+                             max_files_per_trigger: int = 1, file_glob: str = "*.parquet", strategy: str = "recursive"):
     """Start the stream over the files of ``source_path`` matching ``file_glob``.
     ``to_pages`` maps the raw file rows to ``(file_name, page_key, text, lang)``.
     Returns the ``StreamingQuery``."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .option("pathGlobFilter", file_glob).parquet(source_path))
+    name = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex  # of this stream, also after a restart
 
     def each(batch: DataFrame, epoch_id: int) -> None:
-        process_batch(to_pages(batch), table_path)
+        process_batch(to_pages(batch), table_path, strategy, epoch=f"{name}-{epoch_id}")
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="30 seconds")
@@ -71,14 +104,15 @@ def documents_as_pages(df: DataFrame) -> DataFrame:
                      "text", "lang")
 
 
-def run_twice(spark: SparkSession, folder: str, file_glob: str = "documents.parquet") -> DataFrame:
-    """Ingest the same files twice through two streams into one table; the second
-    run adds nothing. Returns the table."""
+def run_twice(spark: SparkSession, folder: str, file_glob: str = "documents.parquet", strategies=("recursive",)) -> DataFrame:
+    """Ingest the same files twice through two streams into one table, for each strategy; the
+    second run adds nothing. Returns the table."""
     base = scratch_path(spark, f"ingest-{uuid.uuid4().hex}")
-    table = os.path.join(base, "chunks")
+    table = os.path.join(base, "table")
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    for i in range(2):
-        q = start_incremental_ingest(spark, folder, table, os.path.join(base, f"ckpt{i}"), schema,
-                                     documents_as_pages, file_glob=file_glob)
-        q.awaitTermination()
-    return spark.read.parquet(table)
+    for strategy in strategies:
+        for i in range(2):
+            q = start_incremental_ingest(spark, folder, table, os.path.join(base, f"ckpt-{strategy}-{i}"), schema,
+                                         documents_as_pages, file_glob=file_glob, strategy=strategy)
+            q.awaitTermination()
+    return read_table(spark, table)

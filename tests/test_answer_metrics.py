@@ -28,6 +28,9 @@ def test_context_and_template_fill(spark):
     hits = spark.createDataFrame([(1, 2, "second"), (1, 1, "first {question}")],
                                  "query_id long, rerank long, content string")
     ctx = A.context_string(hits).first().context
+    two = {r.query_id: (r.context, r.n_hits) for r in A.context_string(
+        hits, questions=spark.createDataFrame([(1,), (2,)], "query_id long")).collect()}
+    assert two == {1: (ctx, 2), 2: (C.CONTEXT_HEADER, 0)}  # without hits the header alone
     assert ctx == "\nExtracted documents:\nDocument 0\nfirst {question}Document 1\nsecond"
     q = spark.createDataFrame([(1, "Q?")], "query_id long, query_text string")
     p = A.prompt_table(q, A.context_string(hits)).first()

@@ -58,3 +58,11 @@ def test_knn_blocks_match_single_block(spark):
     many = {(r.id, r.rank): r.nbr
             for r in K.knn_within(df, "source", "chunk_id", "embedding", 3, block_rows=7).collect()}
     assert one == many and len(one) == 180
+
+
+def test_hdbscan_many_nested_groups():
+    """A long chain of nested clusters needs no recursion, and equal points are one cluster each."""
+    x = np.repeat(np.cumsum(1.0 + np.arange(1100) / 1100.0), 3)[:, None]
+    labels = hdbscan._labels(x, 2, 2)
+    groups = labels.reshape(1100, 3)
+    assert (groups == groups[:, :1]).all() and (groups >= 0).all() and len(set(groups[:, 0])) == 1100

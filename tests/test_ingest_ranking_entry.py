@@ -25,6 +25,12 @@ def test_reset_and_append(spark):
     assert spark.read.parquet(path).count() == 4
     ingest.write_chunks(rows, path, reset=True)
     assert spark.read.parquet(path).count() == 2
+    # resetting one strategy leaves the others, and creating the table again leaves all
+    ingest.write_chunks(ingest.chunk_rows(_chunks(spark, ["a.pdf"]), "semantic"), path, reset=True)
+    ingest.write_chunks(ingest.chunk_rows(_chunks(spark, ["c.pdf"]), "recursive"), path, reset=True)
+    ingest.create_table(spark, path)
+    counts = {r.strategy: r["count"] for r in spark.read.parquet(path).groupBy("strategy").count().collect()}
+    assert counts == {"recursive": 1, "semantic": 1}
 
 
 def test_load_once_by_cleaned_name(spark):
@@ -36,6 +42,9 @@ def test_load_once_by_cleaned_name(spark):
     assert [r.file_name for r in fresh] == ["[b].pdf"]  # one row per cleaned name, the smallest name kept
     rep = {r.status: r.n_files for r in ingest.ingest_report(batch, table).collect()}
     assert rep == {"rejected": 1, "processed": 3}
+    bad = spark.createDataFrame([("b.pdf",)], "file_name string")
+    status = sorted((r.file_name, r.status) for r in ingest.file_status(batch, table, failed=bad).collect())
+    assert status == [("[b].pdf", "processed"), ("a1.pdf", "rejected"), ("b.pdf", "failed"), ("b.pdf", "failed")]
 
 
 def test_row_number_in_groups_matches_window(spark):

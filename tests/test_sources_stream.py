@@ -1,12 +1,13 @@
 """Sources (file listing, form-feed pages) and the streaming ingest's load-once property."""
 
 import os
+import shutil
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from ragloom.sources.tables import list_files, load_qa, page_table
+from ragloom.streaming import ingest_stream as stream
 from ragloom.streaming.ingest_stream import run_twice
 
 from conftest import SF001
@@ -38,11 +39,38 @@ def test_load_qa_requires_columns(spark):
     assert load_qa(spark.createDataFrame([("q", "a")], "QUERY string, ANSWER string")).columns == ["question", "answer"]
 
 
-def test_streaming_ingest_loads_each_file_once(spark):
-    table = run_twice(spark, SF001, "documents.parquet")
+def _ingested(spark, folder, glob, **kw):
+    table = run_twice(spark, folder, glob, **kw)
+    return sorted((r.strategy, r.source, r.page_number, r.chunk_index, r.content) for r in table.collect())
+
+
+def test_streaming_ingest_does_not_depend_on_the_files(spark, tmp_path):
     docs = spark.read.parquet(os.path.join(SF001, "documents.parquet"))
-    n_sources = docs.select("source").distinct().count()
-    per_page = table.groupBy("source", "page_number", "chunk_id").count()
-    assert per_page.where("count > 1").count() == 0  # nothing appended twice
-    assert table.select("source").distinct().count() == n_sources
-    assert table.where(F.length("content") > 512).count() == 0
+    docs.repartition(4).write.parquet(str(tmp_path / "four"))  # pages of a document lie in several files
+    one = _ingested(spark, SF001, "documents.parquet")
+    four = _ingested(spark, str(tmp_path / "four"), "*.parquet")
+    assert one == four
+    assert len({(r[1], r[2]) for r in one}) == docs.where("trim(text) != ''").count()
+    assert {r[1] for r in one} == {f"{r.source}.pdf" for r in docs.select("source").distinct().collect()}
+    assert all(len(r[4]) <= 512 for r in one)
+
+
+def test_a_failed_batch_replays_and_strategies_coexist(spark, tmp_path):
+    pages = [("a.pdf", i, f"page {i} " * 200, "en") for i in range(4)] + [("b.pdf", 0, " ", "en"), ("b.pdf", 1, "text", "en")]
+    batch = spark.createDataFrame(pages, "file_name string, page_key long, text string, lang string")
+    table = str(tmp_path / "table")
+    stream.process_batch(batch, table, "recursive", epoch="e0")
+    whole = sorted(map(tuple, stream.read_table(spark, table).drop("embedding").collect()), key=str)
+    shutil.rmtree(f"{table}/pages")  # the ledger of the batch was not written: nothing of it counts
+    assert stream.read_table(spark, table).count() == 0
+    stream.process_batch(batch, table, "recursive", epoch="e0")
+    stream.process_batch(batch, table, "recursive", epoch="e1")
+    assert sorted(map(tuple, stream.read_table(spark, table).drop("embedding").collect()), key=str) == whole
+    assert {r.page_number for r in stream.read_table(spark, table).where("source = 'b.pdf'").collect()} == {2}
+    stream.process_batch(batch, table, "semantic", epoch="e2")
+    counts = {r.strategy: r["count"] for r in stream.read_table(spark, table).groupBy("strategy").count().collect()}
+    assert counts == {"recursive": len(whole), "semantic": len(whole)}
+    with pytest.raises(Exception):  # a broken table isn't an empty one
+        (tmp_path / "bad" / "pages").mkdir(parents=True)
+        (tmp_path / "bad" / "pages" / "x.parquet").write_bytes(b"broken")
+        stream.process_batch(batch, str(tmp_path / "bad"), epoch="e0")
