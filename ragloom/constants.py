@@ -64,8 +64,8 @@ CONTEXT_HEADER = "\nExtracted documents:\n"
 CONTEXT_ITEM = "Document {i}\n"
 NO_HISTORY = "No previous conversation."
 NO_EXPLANATION = "Nessuna spiegazione disponibile."
-SOURCE_LINE_PREFIX = "\U0001f539 "
-EXPLANATION_LINE_PREFIX = "\U0001f538 "
+SOURCE_LINE_PREFIX = "🔹 "
+EXPLANATION_LINE_PREFIX = "🔸 "
 TITLE_CHARS = 70
 VIEWER_BASE_URL = "http://localhost:8080/viewer.html"
 EXPLAIN_CHUNKS_PER_SOURCE = 3

@@ -45,9 +45,10 @@ def build_ivf(chunks: DataFrame, n_lists: int | None = None, vec_col: str = "emb
     unit = sizing.materialize(unit)
     n = unit.count()
     dim = len(unit.first()["vec"]) if n else 0
-    n_lists = n_lists or max(1, int(math.sqrt(n)))
-    limit = sizing.broadcast_limit(unit, broadcast_limit_bytes)
-    n_lists = max(1, min(n_lists, limit // max(1, dim * 8)))  # the centroids are broadcast
+    most = max(1, sizing.broadcast_limit(unit, broadcast_limit_bytes) // max(1, dim * 8))  # the centroids are broadcast
+    if n_lists and n_lists > most:
+        raise ValueError(f"{n_lists} lists of width {dim} exceed the broadcast limit")
+    n_lists = n_lists or max(1, min(int(math.sqrt(n)), most))
     # a fixed layout (hash partitions, sorted inside) so the seeded k-means|| start is reproducible
     layout = unit.repartition(int(unit.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id") \
         .sortWithinPartitions("chunk_id")
@@ -60,8 +61,11 @@ def build_ivf(chunks: DataFrame, n_lists: int | None = None, vec_col: str = "emb
         cm = bc.value
         for pdf in batches:
             x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]]) if len(pdf) else np.zeros((0, cm.shape[1]))
-            d = ((x[:, None, :] - cm[None, :, :]) ** 2).sum(axis=2) if len(pdf) else np.zeros((0, len(cm)))
-            yield pd.DataFrame({"chunk_id": pdf["chunk_id"].to_numpy(), "list_id": d.argmin(axis=1).astype(np.int64),
+            # |x - c|^2 less |x|^2, in blocks of bounded size
+            half, step = (cm ** 2).sum(axis=1) / 2, max(1, 4_000_000 // len(cm))
+            nearest = [(half - x[a:a + step] @ cm.T).argmin(axis=1) for a in range(0, len(x), step)]
+            lists = np.concatenate(nearest) if nearest else np.zeros(0, dtype=np.int64)
+            yield pd.DataFrame({"chunk_id": pdf["chunk_id"].to_numpy(), "list_id": lists.astype(np.int64),
                                 "vec": pdf["vec"]})
 
     index = unit.mapInPandas(assign, "chunk_id long, list_id long, vec array<double>")
@@ -113,16 +117,20 @@ def ann_topk(index: DataFrame, centers: np.ndarray, queries: DataFrame, k: int =
              n_probe: int = 4, query_vec: str = "query_vec") -> DataFrame:
     """Top ``k`` per query over the ``n_probe`` lists nearest to the query."""
     dim = centers.shape[1]
-    n_q = queries.count()
-    if not sizing.fits_broadcast(queries, row_bytes=dim * 8 + 64 + n_probe * 8, n_rows=n_q):
-        raise ValueError("query batch too large to broadcast; split it into batches")
-    qids, qm = _query_matrix(queries, "query_id", query_vec, dim)
+    limit, row_bytes = sizing.broadcast_limit(queries), dim * 8 + 64 + n_probe * 8
+    n_blocks = max(1, -(-queries.count() * row_bytes // limit))  # each block of queries fits the limit
     cn = centers / np.maximum(np.linalg.norm(centers, axis=1), 1e-300)[:, None]
     npb = min(n_probe, len(centers))
-    probes = np.argsort(-(qm @ cn.T), axis=1, kind="stable")[:, :npb] if len(qids) else np.zeros((0, npb), dtype=np.int64)
-    bc = index.sparkSession.sparkContext.broadcast((qids, qm, probes))
-    wanted = sorted({int(x) for x in np.unique(probes)})
-    cand = index.where(F.col("list_id").isin(wanted)).mapInPandas(_probe_scan(bc, k, dim), "query_id long, chunk_id long, score double")
+    cand = None
+    for b in range(n_blocks):
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b) if n_blocks > 1 else queries
+        qids, qm = _query_matrix(block, "query_id", query_vec, dim)
+        probes = np.argsort(-(qm @ cn.T), axis=1, kind="stable")[:, :npb] if len(qids) else np.zeros((0, npb), dtype=np.int64)
+        bc = index.sparkSession.sparkContext.broadcast((qids, qm, probes))
+        wanted = sorted({int(x) for x in np.unique(probes)})
+        part = index.where(F.col("list_id").isin(wanted)).mapInPandas(
+            _probe_scan(bc, k, dim), "query_id long, chunk_id long, score double")
+        cand = part if cand is None else cand.unionByName(part)
     cand = cand.select("query_id", "chunk_id", round_half_up("score", RANK_DIGITS).alias("rank_semantic"))
     return top_k(cand, k, "rank_semantic")
 

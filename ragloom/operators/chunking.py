@@ -11,6 +11,7 @@ joins and windows (``chunk_semantic_relational``) are kept as a second plan.
 from __future__ import annotations
 
 import hashlib
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -27,27 +28,26 @@ from ragloom.operators.embedding import sparse_hash_vectors
 
 def _merge(splits: list[str], sep: str, size: int, overlap: int) -> list[str]:
     """Greedy merge: pieces join with ``sep`` while the length stays <= size; a closed
-    chunk hands its tail (<= overlap characters) to the next one."""
-    docs: list[str] = []
-    cur: list[str] = []
-    total = 0
-    sl = len(sep)
-    for d in splits:
-        n = len(d)
-        if total + n + (sl if cur else 0) > size:
-            if cur:
-                doc = sep.join(cur).strip()
-                if doc:
-                    docs.append(doc)
-                while total > overlap or (total + n + (sl if cur else 0) > size and total > 0):
-                    total -= len(cur[0]) + (sl if len(cur) > 1 else 0)
-                    cur = cur[1:]
-        cur.append(d)
-        total += n + (sl if len(cur) > 1 else 0)
-    doc = sep.join(cur).strip()
-    if doc:
-        docs.append(doc)
-    return docs
+    chunk hands its tail (<= overlap characters) to the next one. Lengths are differences
+    of prefix sums, so a piece is looked at a bounded number of times."""
+    ends = [0, *accumulate(len(p) + len(sep) for p in splits)]
+    out: list[str] = []
+    first = 0
+
+    def length(i: int, j: int) -> int:
+        return ends[j] - ends[i] - len(sep) if j > i else 0
+
+    def close(j: int) -> None:
+        if chunk := sep.join(splits[first:j]).strip():
+            out.append(chunk)
+
+    for j in range(len(splits)):
+        if first < j and length(first, j + 1) > size:
+            close(j)
+            while first < j and (length(first, j) > overlap or length(first, j + 1) > size):
+                first += 1
+    close(len(splits))
+    return out
 
 
 def split_separator(text: str, sep: str = "\n\n", size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> list[str]:
@@ -128,16 +128,13 @@ def chunk_recursive(pages: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C
 
 
 # Sentence boundary: whitespace after '.', '?' or '!' (the whitespace is dropped).
-# Written as "mark, then split" so that engines without look-behind agree.
-_SENT_MARK = "\u0001"
-_SENT_END = f"([.?!]){T.WS}+"
+_SENT_END = f"(?<=[.?!]){T.WS}+"
 
 
 def sentences(pages: DataFrame, text_col: str = "text", keys: list[str] | None = None) -> DataFrame:
     """Sentences of each page: ``(*keys, i, sentence, n_sent)`` with 0-based ``i``."""
     keys = keys or _CHUNK_COLS
-    marked = F.regexp_replace(F.col(text_col), _SENT_END, "$1" + _SENT_MARK)
-    s = pages.select(*keys, F.split(marked, _SENT_MARK, -1).alias("ss"))
+    s = pages.select(*keys, F.split(F.col(text_col), _SENT_END, -1).alias("ss"))
     return s.select(*keys, F.size("ss").alias("n_sent"), F.posexplode("ss").alias("i", "sentence"))
 
 
@@ -183,8 +180,7 @@ def chunk_semantic(pages: DataFrame, dim: int = 256, percentile: float = 0.95, b
     batch of pages at a time, numpy finds each page's pieces. Pages are independent, so
     nothing is shuffled. Same rules as ``chunk_semantic_relational``."""
     keys = keys or _CHUNK_COLS
-    marked = F.regexp_replace(F.col(text_col), _SENT_END, "$1" + _SENT_MARK)
-    sents = F.split(marked, _SENT_MARK, -1)
+    sents = F.split(F.col(text_col), _SENT_END, -1)
     toks = F.transform(sents, lambda x: T.tokens(x, fold_accents=False))
 
     @F.pandas_udf(TY.ArrayType(TY.StringType()))

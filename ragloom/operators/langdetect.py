@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from ragloom.functions import text as T
 from ragloom.functions.numeric import round_half_up
 
-MAX_LANGUAGES = 1000
-
 
 def words(c) -> Column:
     """Lower-cased runs of letters."""
@@ -57,8 +55,6 @@ def detect(texts: DataFrame, model: DataFrame, id_cols: list[str], text_col: str
     """``(*id_cols, lang)`` for every input row; ``lang`` is NULL when the text has no letters."""
     bases = model.select("lang", "base").distinct()
     langs = bases.collect()  # one row per language of the model
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in the model")
     grams = _grams(texts, list(id_cols), text_col).groupBy(*id_cols, "gram").agg(
         F.count(F.lit(1)).alias("c"))
     n = grams.groupBy(*id_cols).agg(F.sum("c").alias("n_grams"))

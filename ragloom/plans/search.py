@@ -183,6 +183,15 @@ def q_ann_topk(spark, sf):
     return r6(top, "rank_semantic")
 
 
+def q_ann_topk_all_lists(spark, sf):
+    """Probing every list is the exact search."""
+    from ragloom.operators import ann
+
+    ch, q = _inputs(spark, sf)
+    index, centers = ann.build_ivf(ch)
+    return r6(ann.ann_topk(ann.store_index(index), centers, q, C.SEMANTIC_CANDIDATES, n_probe=len(centers)), "rank_semantic")
+
+
 def q_ann_recall(spark, sf):
     from ragloom.operators import ann
 
@@ -192,6 +201,8 @@ def q_ann_recall(spark, sf):
 
 
 register("ann_topk", q_ann_topk, None)
+register("ann_topk_all_lists", q_ann_topk_all_lists,
+         ctes("sem_top") + f"SELECT query_id, chunk_id, {r6_sql('rank_semantic')} AS rank_semantic, rank FROM sem_top")
 register("ann_recall", q_ann_recall, None)
 
 

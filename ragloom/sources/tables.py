@@ -57,7 +57,9 @@ def page_table(pages: DataFrame, text_col: str = "text", source_col: str = "sour
     else:
         from ragloom.operators.ranking import row_number_in_groups
 
-        numbered = row_number_in_groups(pages, source_col, order_col, out="page_number")
+        # only keys are sorted and numbered; the texts join them, and a caller that needs no text moves none
+        keys = row_number_in_groups(pages.select(source_col, order_col), source_col, order_col, out="page_number")
+        numbered = pages.join(keys, [source_col, order_col])
         if source_col != "source":
             numbered = numbered.withColumnRenamed(source_col, "source")
         if text_col != "text":
