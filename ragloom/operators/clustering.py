@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,15 +101,20 @@ def in_cluster(cluster_id) -> F.Column:
 def centroid_table(chunks: DataFrame) -> DataFrame:
     """Mean vector per (source, cluster_id) over real clusters: ``(source, cluster_id, idx, value)``."""
     members = chunks.where(in_cluster("cluster_id") & F.col("embedding").isNotNull())
-    x = members.select("source", "cluster_id", F.posexplode("embedding").alias("idx", "x"))
-    return x.groupBy("source", "cluster_id", "idx").agg(F.avg(F.col("x").cast("double")).alias("value"))
+    mean = _mean_vectors(members)
+    return mean.select("source", "cluster_id", F.posexplode("mean").alias("idx", "value"))
+
+
+def _mean_vectors(members: DataFrame) -> DataFrame:
+    """One vector per (source, cluster_id); vectors are summed map-side, never taken apart."""
+    x = members.select("source", "cluster_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("x"))
+    return x.groupBy("source", "cluster_id").agg(vector_to_array(Summarizer.mean(F.col("x"))).alias("mean"))
 
 
 def cluster_centroids(chunks: DataFrame) -> DataFrame:
     """Every member gets its cluster's centroid as ``cluster_embedding`` (ARRAY<DOUBLE>)."""
-    cent = centroid_table(chunks).groupBy("source", "cluster_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda s: s["value"])
-        .alias("cluster_embedding"))
+    members = chunks.where(in_cluster("cluster_id") & F.col("embedding").isNotNull())
+    cent = _mean_vectors(members).withColumnRenamed("mean", "cluster_embedding")
     return chunks.join(cent, ["source", "cluster_id"], "left")
 
 

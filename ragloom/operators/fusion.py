@@ -23,6 +23,14 @@ def fuse(lex: DataFrame, sem: DataFrame, w_lex: float = C.LEXICAL_WEIGHT, w_sem:
                     round_half_up(F.lit(w_lex) * b + F.lit(w_sem) * s, RANK_DIGITS).alias("final_rank"))
 
 
+def fuse_by_content(lex: DataFrame, sem: DataFrame, chunks: DataFrame, **weights) -> DataFrame:
+    """H1 with the content key: both lists joined on (source, content, page_number), so equal chunks of a
+    page meet in every combination."""
+    keys = ("query_id", "source", "content", "page_number")
+    named = chunks.select("chunk_id", *keys[1:])
+    return fuse(lex.join(named, "chunk_id"), sem.join(named, "chunk_id"), keys=keys, **weights)
+
+
 def attach(hits: DataFrame, chunks: DataFrame, cols=("source", "content", "page_number"),
            n_hits_bound: int | None = None) -> DataFrame:
     """Chunk columns for a small hit list. The hit list is broadcast when its row bound

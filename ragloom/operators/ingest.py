@@ -102,6 +102,20 @@ def file_status(files: DataFrame, table: DataFrame, name_col: str = "file_name",
     return flagged.join(bad, name_col, "left").select(name_col, status.alias("status"))
 
 
+def vectors_by_source(table: DataFrame, dim: int) -> DataFrame:
+    """The ids and vectors of every source, rows without a vector left out; a vector of another
+    width raises."""
+    rows = table.where(F.col("embedding").isNotNull())
+    return rows.select("source", "hash_value", "chunk_id", V.require_width("embedding", dim).alias("embedding"))
+
+
+def write_clustered(rows: DataFrame, path: str, strategy: str) -> None:
+    """Replace the strategy's rows of the clustered table at ``path`` by chunk rows with cluster_id,
+    cluster_embedding and combined_embedding."""
+    rows = rows.withColumn("strategy", F.lit(strategy))
+    write_chunks(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CLUSTERED_SCHEMA.fields]), path, reset=True)
+
+
 def embeddings_by_source(table: DataFrame, dim: int) -> DataFrame:
     """Per source the chunk count and hash; a vector of another width raises."""
     checked = table.select("source", "hash_value", V.require_width("embedding", dim).alias("embedding"))

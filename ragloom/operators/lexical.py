@@ -5,8 +5,8 @@ Plan shape (see README "Scale design"):
     chunks --mapInPandas--> tokens hash-merged with the broadcast lexemes, covers scored
     per (query, chunk) in numpy; only matches leave the task (no postings shuffle)
   otherwise:
-    postings JOIN lexemes ON tok (AQE splits hot tokens) -> hash by (query, chunk),
-    sort within partitions by position -> the same vectorised scoring
+    chunks with a query's rarest lexeme -> those with all its lexemes -> their positions,
+    hash by (query, chunk), sorted within partitions -> the same vectorised scoring
   row_number per query <= k (partial WindowGroupLimit before the shuffle)
 """
 
@@ -217,15 +217,25 @@ def lexical_match(chunks: DataFrame, queries: DataFrame, **kw) -> DataFrame:
     qlex = query_lexemes_config(queries, config_col=kw["query_config_col"]) if config else query_lexemes(queries)
     if kw.get("stop_words") is None and sizing.fits_broadcast(qlex, row_bytes=64, limit=kw.get("broadcast_limit_bytes")):
         return lexical_scan(chunks, qlex, config_col=config, fold_accents=kw.get("fold_accents", True))
-    # lexemes too many to broadcast: postings shuffle-joined on the token (AQE splits hot
-    # tokens), then scored per (query, chunk) after a sort within partitions
+    # lexemes too many to broadcast: candidates by each query's rarest lexeme, kept if the chunk has all
+    # of them, and only then the positions, scored per (query, chunk) after a sort within partitions
+    fold = kw.get("fold_accents", True)
     if config:
         from ragloom.operators import stopwords
 
-        post = stopwords.config_postings(chunks, config_col=config)
+        post = stopwords.config_postings(chunks, config_col=config, fold_accents=fold)
     else:
-        post = postings(chunks, fold_accents=kw.get("fold_accents", True), stop_words=kw.get("stop_words"))
-    return cover_density_sorted(post.join(qlex, "tok").select("query_id", "chunk_id", "pos", "li", "n_lex"))
+        post = postings(chunks, fold_accents=fold, stop_words=kw.get("stop_words"))
+    qlex = sizing.materialize(qlex)
+    asked = sizing.materialize(post.join(qlex.select("tok").distinct(), "tok", "left_semi"))
+    terms = asked.select("chunk_id", "tok").distinct()
+    found = terms.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    rarest = qlex.join(found, "tok").groupBy("query_id").agg(F.min(F.struct("df", "tok")).alias("k"), F.count(F.lit(1)).alias("n"), F.max("n_lex").alias("n_lex"))
+    cand = rarest.where("n = n_lex").select("query_id", F.col("k.tok").alias("tok")).join(terms, "tok").select("query_id", "chunk_id")
+    whole = cand.join(qlex, "query_id").join(terms, ["chunk_id", "tok"]).groupBy("query_id", "chunk_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("n_lex").alias("n_lex")).where("n = n_lex").select("query_id", "chunk_id")
+    occ = whole.join(qlex, "query_id").join(asked, ["chunk_id", "tok"])
+    return cover_density_sorted(occ.select("query_id", "chunk_id", "pos", "li", "n_lex"))
 
 
 def top_k(df: DataFrame, k: int, score: str, part: str = "query_id", tie: str = "chunk_id",

@@ -34,12 +34,12 @@ def stop_table(spark) -> DataFrame:
 
 
 def config_postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content",
-                    config_col: str = "config") -> DataFrame:
-    """Postings ``(chunk_id, pos, tok)`` of accent-folded content, stop words of each
+                    config_col: str = "config", fold_accents: bool = True) -> DataFrame:
+    """Postings ``(chunk_id, pos, tok)`` of (by default accent-folded) content, stop words of each
     chunk's configuration removed after numbering (they keep their positions)."""
     p = chunks.select(
         F.col(id_col).alias("chunk_id"), F.col(config_col).alias("config"),
-        F.posexplode(T.tokens(text_col, fold_accents=True)).alias("pos", "tok"),
+        F.posexplode(T.tokens(text_col, fold_accents=fold_accents)).alias("pos", "tok"),
     ).select("chunk_id", "config", (F.col("pos") + 1).cast("long").alias("pos"), "tok")
     # the stop table is a fixed dictionary (a few thousand words), so broadcasting it is bounded
     sw = F.broadcast(stop_table(chunks.sparkSession))

@@ -79,7 +79,7 @@ def _scan(bc, k: int, dim: int, id_col: str, vec_col: str, block_rows: int):
                 cq = np.concatenate([cq, q.astype(np.int64)])
                 cs = np.concatenate([cs, s[r, q]])
                 cid = np.concatenate([cid, ids[lo:lo + block_rows][r]])
-                if len(cs) > 4 * k * nq + 4096:
+                if len(cs) > 2 * k * nq + 4096:
                     cq, cs, cid = _compact(cq, cs, cid, k)
         cq, cs, cid = _compact(cq, cs, cid, k)
         if len(cs):
@@ -102,16 +102,20 @@ def semantic_candidates(chunks: DataFrame, queries: DataFrame, k: int, *, dim: i
     spark = chunks.sparkSession
     limit = sizing.broadcast_limit(queries, broadcast_limit_bytes)
     n = queries.count() if n_queries is None else n_queries
-    row_bytes = dim * 8 + 64
+    row_bytes = dim * 8 + 64 + 48 * k  # the vector, and the candidates a task holds for it
     n_blocks = max(1, -(-n * row_bytes // limit))
-    block_rows = int(max(256, min(8192, (1 << 24) // max(1, min(n, limit // row_bytes)))))
+    block_rows = int(max(1, min(8192, (1 << 24) // max(1, min(n, limit // row_bytes)))))  # a score block has 2 ** 24 values at most
     src = chunks.select(F.col(chunk_id).cast("long").alias("chunk_id"), F.col(chunk_vec).alias("vec"))
     parts = []
     for b in range(n_blocks):
         qb = queries if n_blocks == 1 else queries.where(
             F.pmod(F.xxhash64(F.col(query_id)), F.lit(n_blocks)) == b)
         bc = spark.sparkContext.broadcast(_query_matrix(qb, query_id, query_vec, dim))
-        parts.append(src.mapInPandas(_scan(bc, k, dim, "chunk_id", "vec", block_rows), _OUT))
+        part = src.mapInPandas(_scan(bc, k, dim, "chunk_id", "vec", block_rows), _OUT)
+        if n_blocks > 1:  # one block at a time: its rows are written and its vectors freed
+            part = sizing.materialize(part)
+            bc.destroy()
+        parts.append(part)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -6,16 +6,19 @@ noise), because the fixture vectors carry no cluster geometry to discover.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ragloom import constants as C
 from ragloom.functions import text as T
 from ragloom.functions.numeric import round_half_up_sql as rhu_sql
 from ragloom.operators import clustering as K
-from ragloom.operators import hdbscan
+from ragloom.operators import hdbscan, ingest
 from ragloom.operators import rerank, sizing, vector_search
 from ragloom.plans import search as S
 from ragloom.plans.common import r6, r6_sql, register
+from ragloom.session import scratch_path
 from ragloom.sources import fixtures as X
 
 
@@ -42,6 +45,16 @@ def q_combined_embedding(spark, sf):
     return r6(x.select("chunk_id", F.col("idx").cast("long").alias("idx"), "value"), "value")
 
 
+def q_clustered_table(spark, sf):
+    """Written, and read again."""
+    path = scratch_path(spark, f"clustered/{uuid.uuid4().hex}")
+    ingest.write_clustered(_clustered(spark, sf), path, "recursive")
+    t = spark.read.schema(ingest.CLUSTERED_SCHEMA).parquet(path)
+    n = lambda c: F.coalesce(F.size(c).cast("long"), F.lit(0).cast("long"))
+    return t.select("chunk_id", "strategy", "cluster_id", F.when(F.col("cluster_embedding").isNull(), 0).otherwise(n("cluster_embedding")).alias("n_cluster"),
+                    F.when(F.col("combined_embedding").isNull(), 0).otherwise(n("combined_embedding")).alias("n_combined"))
+
+
 def _cluster_hits(spark, sf):
     ch = sizing.materialize(X.chunks(spark, sf))
     c = sizing.materialize(K.clustered_chunks(K.with_hash(ch), K.label_from_column(ch))
@@ -114,6 +127,11 @@ def ctes(*names):
 
 _OV = rerank.token_overlap_sql("q.query_text", "t.content")
 register("apply_cluster_ids", q_apply_cluster_ids, ctes("cl_ids") + "SELECT chunk_id, cluster_id FROM cl_ids")
+register("clustered_table", q_clustered_table, ctes("cl_ids", "cent", "comb") + """
+    SELECT i.chunk_id, 'recursive' AS strategy, i.cluster_id, coalesce(c.n, 0) AS n_cluster, coalesce(len(b.combined), 0) AS n_combined
+    FROM cl_ids i LEFT JOIN (SELECT source, cluster_id, count(*) AS n FROM cent GROUP BY ALL) c
+      ON c.source = i.source AND c.cluster_id = i.cluster_id
+    LEFT JOIN comb b ON b.chunk_id = i.chunk_id""")
 register("cluster_centroids", q_cluster_centroids, ctes("cent") +
          f"SELECT source, cluster_id, CAST(idx AS BIGINT) AS idx, {r6_sql('value')} AS value FROM cent")
 register("combined_embedding", q_combined_embedding, ctes("comb") + f"""

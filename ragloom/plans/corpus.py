@@ -8,8 +8,8 @@ from ragloom import constants as C
 from ragloom.functions import text as T
 from ragloom.functions import vectors as V
 from ragloom.operators import ingest, langdetect, sizing, stopwords
-from ragloom.functions.numeric import round_half_up_sql as rhu_sql
-from ragloom.plans.common import register
+from ragloom.plans.common import r6, r6_sql, register
+from ragloom.plans.detect import detect_ctes
 from ragloom.sources import fixtures as X
 from ragloom.sources.tables import read_table
 
@@ -49,6 +49,12 @@ def q_chunk_table(spark, sf):
     return _loaded_table(spark, sf, X.file_names(spark, sf)).drop("embedding")
 
 
+def q_vectors_by_source(spark, sf):
+    v = ingest.vectors_by_source(_loaded_table(spark, sf, X.file_names(spark, sf)), dim=64)
+    return r6(v.select("source", "chunk_id", F.posexplode("embedding").alias("idx", "value")).select(
+        "source", "chunk_id", F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value")), "value")
+
+
 def q_embeddings_by_source(spark, sf):
     return ingest.embeddings_by_source(_loaded_table(spark, sf, X.file_names(spark, sf)), dim=64)
 
@@ -157,6 +163,9 @@ register("vector_codec", q_vector_codec, """
            CAST(CAST(embedding AS VARCHAR) AS FLOAT[]) = embedding AS roundtrip_ok FROM embeddings""")
 register("chunk_table", q_chunk_table, ctes("whole_table") +
          "SELECT chunk_id, content, source, page_number, language, hash_value, strategy FROM whole_table")
+register("vectors_by_source", q_vectors_by_source, ctes("whole_table") + f"""
+    SELECT source, chunk_id, CAST(i - 1 AS BIGINT) AS idx, {r6_sql('CAST(embedding[i] AS DOUBLE)')} AS value
+    FROM (SELECT source, chunk_id, embedding, generate_subscripts(embedding, 1) AS i FROM whole_table WHERE embedding IS NOT NULL)""")
 register("embeddings_by_source", q_embeddings_by_source, ctes("whole_table") + """
     SELECT source, count(*) AS n_vectors, min(hash_value) AS hash_value, sum(len(embedding))::BIGINT AS n_values
     FROM whole_table GROUP BY source""")
@@ -202,30 +211,8 @@ def q_language_detect(spark, sf):
     return langdetect.with_config(langdetect.detect(conv, model, ["conv_id", "turn"]))
 
 
-_TRI = "list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3))"
-
-
-def _padded_sql(cols, table):
-    return (f"(SELECT {cols}, ' ' || w || ' ' AS s FROM "
-            f"(SELECT {cols}, unnest({langdetect.words_sql('text')}) AS w FROM {table}))")
-
-
-register("language_detect", q_language_detect, f"""
-    WITH mc AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest({_TRI}) AS gram FROM {_padded_sql('lang', 'documents')})
-                GROUP BY ALL),
-         bases AS (SELECT lang, ln(sum(n) + (SELECT count(DISTINCT gram) FROM mc)) AS base FROM mc GROUP BY lang),
-         tg AS (SELECT conv_id, turn, gram, count(*) AS c
-                FROM (SELECT conv_id, turn, unnest({_TRI}) AS gram FROM {_padded_sql('conv_id, turn', 'conversations')}) GROUP BY ALL),
-         ng AS (SELECT conv_id, turn, sum(c) AS n_grams FROM tg GROUP BY ALL),
-         known AS (SELECT tg.conv_id, tg.turn, mc.lang, sum(tg.c * ln(mc.n + 1)) AS hit
-                   FROM tg JOIN mc ON mc.gram = tg.gram GROUP BY ALL),
-         scored AS (SELECT ng.conv_id, ng.turn, b.lang, coalesce(k.hit, 0.0) - ng.n_grams * b.base AS score
-                    FROM ng JOIN bases b ON true
-                    LEFT JOIN known k ON k.conv_id = ng.conv_id AND k.turn = ng.turn AND k.lang = b.lang),
-         best AS (SELECT conv_id, turn, lang FROM (
-                    SELECT *, row_number() OVER (PARTITION BY conv_id, turn
-                                                 ORDER BY {rhu_sql('score', 6)} DESC, lang DESC) AS r FROM scored)
-                  WHERE r = 1)
+register("language_detect", q_language_detect,
+         X.with_ctes("best", extra=detect_ctes("conversations", ("conv_id", "turn"), "text")) + f"""
     SELECT c.conv_id, c.turn, b.lang, {T.language_config_sql('b.lang')} AS config
     FROM conversations c LEFT JOIN best b ON b.conv_id = c.conv_id AND b.turn = c.turn""")
 

@@ -8,8 +8,9 @@ from ragloom import constants as C
 from ragloom.functions import text as T
 from ragloom.functions import vectors as V
 from ragloom.functions.numeric import round_half_up as rhu, round_half_up_sql as rhu_sql
-from ragloom.operators import fusion, lexical, sizing, vector_search
+from ragloom.operators import fusion, langdetect, lexical, sizing, vector_search
 from ragloom.plans.common import r6, r6_sql, register
+from ragloom.plans.detect import detect_ctes
 from ragloom.sources import fixtures as X
 from ragloom.sources.tables import read_table
 
@@ -129,6 +130,13 @@ def q_hybrid_full_outer(spark, sf_dir):
     return r6(fused, "rank_bm25", "rank_semantic", "final_rank")
 
 
+def q_hybrid_full_outer_content(spark, sf_dir):
+    ch, q = _inputs(spark, sf_dir)
+    dim = vector_search.vector_width(q, "query_vec")
+    fused = fusion.fuse_by_content(lexical.lexical_topk(ch, q), vector_search.semantic_topk(ch, q, dim=dim), ch)
+    return r6(fused.withColumn("content", F.md5("content")), "rank_bm25", "rank_semantic", "final_rank")
+
+
 def _consecutive_pairs(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     a, b = e.alias("a"), e.alias("b")
@@ -161,6 +169,14 @@ register("semantic_topk", q_semantic_topk,
 register("hybrid_full_outer", q_hybrid_full_outer, ctes("fused") + f"""
          SELECT query_id, chunk_id, {r6_sql('rank_bm25')} AS rank_bm25, {r6_sql('rank_semantic')} AS rank_semantic,
                 {r6_sql('final_rank')} AS final_rank FROM fused""")
+register("hybrid_full_outer_content", q_hybrid_full_outer_content, ctes("lex_top", "sem_top", "chunks") + f"""
+         SELECT coalesce(b.query_id, s.query_id) AS query_id, coalesce(b.source, s.source) AS source,
+                md5(coalesce(b.content, s.content)) AS content, coalesce(b.page_number, s.page_number) AS page_number,
+                {r6_sql('coalesce(b.rank_bm25, 0.0)')} AS rank_bm25, {r6_sql('coalesce(s.rank_semantic, 0.0)')} AS rank_semantic,
+                {r6_sql(rhu_sql(f"{C.LEXICAL_WEIGHT} * coalesce(b.rank_bm25, 0.0) + {C.SEMANTIC_WEIGHT} * coalesce(s.rank_semantic, 0.0)", 9))} AS final_rank
+         FROM (SELECT * FROM lex_top JOIN chunks USING (chunk_id)) b
+         FULL OUTER JOIN (SELECT * FROM sem_top JOIN chunks USING (chunk_id)) s
+           ON b.query_id = s.query_id AND b.source = s.source AND b.content = s.content AND b.page_number = s.page_number""")
 register("cosine_distance", q_cosine_distance,
          f"SELECT a.vec_id, {rhu_sql(V.cosine_distance_sql('a.embedding', 'b.embedding'), 6)} AS distance {_PAIRS_SQL}")
 register("semantic_score", q_semantic_score,
@@ -210,8 +226,11 @@ register("ann_recall", q_ann_recall, None)
 
 def _config_inputs(spark, sf):
     ch = sizing.materialize(X.chunks(spark, sf).withColumn("config", T.language_config("language")))
-    q = X.search_queries(spark, sf, ch).join(ch.select(F.col("chunk_id").alias("query_id"), "config"), "query_id")
-    return ch, sizing.materialize(q)
+    q = X.search_queries(spark, sf, ch)
+    # a question's configuration is that of the language its own text is detected to have
+    model = sizing.materialize(langdetect.train(read_table(spark, sf, "documents", spread_key="doc_id")))
+    lang = langdetect.with_config(langdetect.detect(q, model, ["query_id"], text_col="query_text")).select("query_id", "config")
+    return ch, sizing.materialize(q.join(lang, "query_id"))
 
 
 def q_hybrid_search_config(spark, sf):
@@ -231,12 +250,13 @@ def _config_ctes():
 
     d = dict(SEARCH_CTES)
     d["postings"] = (("chunks",), stopwords.config_postings_sql("chunks"))
-    d["qlex"] = (("queries", "chunks"), f"""
+    d.update(detect_ctes("queries", ("query_id",), "query_text", ("queries",)))
+    d["qlex"] = (("queries", "best"), f"""
         SELECT query_id, len(lx) AS n_lex, unnest(lx) AS tok, generate_subscripts(lx, 1) - 1 AS li FROM (
           SELECT t.query_id, list(DISTINCT t.tok) AS lx FROM (
-            SELECT q.query_id, {T.language_config_sql('c.language')} AS config,
+            SELECT q.query_id, {T.language_config_sql('l.lang')} AS config,
                    unnest({T.tokens_sql(T.py_strip_sql('q.query_text'), False)}) AS tok
-            FROM queries q JOIN chunks c ON c.chunk_id = q.query_id) t
+            FROM queries q LEFT JOIN best l ON l.query_id = q.query_id) t
           LEFT JOIN {stopwords.stop_values_sql()} sw ON sw.config = t.config AND sw.tok = t.tok
           WHERE sw.tok IS NULL GROUP BY t.query_id)""")
     return d
