@@ -24,7 +24,9 @@ from ragloom.llm.common import fresh
 BITS = 18
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
 EPOCHS, BATCH, RATE, DECAY, SCORERS = 20, 1024, 0.02, 1e-3, 3
-LEAST_SHARE, LEAST_LIFT = 0.005, 2.0  # of confirmed examples with a feature; over its share in unlabelled text
+LEAST_SHARE = 0.005  # of the confirmed examples that have a feature of interest
+# its share there over that in unlabelled text is at most 1 / prior, for a feature of toxic text alone; this much of the excess over 1
+LEAST_EXCESS = 0.25
 _WORD = re.compile(r"\w+")
 _MASK = (1 << BITS) - 1
 
@@ -121,7 +123,7 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float) -> Model:
     count = lambda which: np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(which)]), minlength=1 << BITS)
     in_pos, in_unl = count(positive), count(~positive)
     lift = ((in_pos + 1) / (n_pos + 2)) / ((in_unl + 1) / (n_unl + 2))
-    of_interest = np.flatnonzero((in_pos >= max(3, LEAST_SHARE * n_pos)) & (lift >= LEAST_LIFT))
+    of_interest = np.flatnonzero((in_pos >= max(3, LEAST_SHARE * n_pos)) & (lift >= 1 + LEAST_EXCESS * (1 / prior - 1)))
     place = np.full(1 << BITS, -1)
     place[of_interest] = np.arange(len(of_interest))
     rows = [p[p >= 0] for p in (place[r] for r in rows)]
