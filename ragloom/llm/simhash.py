@@ -167,9 +167,12 @@ def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str
     keep = best.select("k.none", "k.doc_id", "k.fp").join(many, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
         F.coalesce("doc_id", F.lit(0)).alias(key), F.col("none").alias(none), F.col("fp").alias(fp),
         F.coalesce("many", F.lit(False)).alias(several))
+    keep = materialize(keep)
     id_ = F.col(id_col).cast("long")
     rows = docs.withColumns({key: F.coalesce(id_, F.lit(0)), none: id_.isNull()}).join(keep, [key, none])
+    single = rows.where(~F.col(several)).select(*docs.columns)
+    if keep.where(several).isEmpty():
+        return single
     made = F.arrow_udf(_fingerprint_column(shingle), "long")
     repeated = rows.where(several).withColumn(own, made(F.col(text_col))).where(F.col(own) == F.col(fp))
-    repeated = repeated.dropDuplicates([key, none, fp])
-    return rows.where(~F.col(several)).select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    return single.unionByName(repeated.dropDuplicates([key, none, fp]).select(*docs.columns))
