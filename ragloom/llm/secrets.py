@@ -9,7 +9,6 @@ features are SQL functions on rows, Spark ML fits the trees, and they are applie
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.ml.functions import array_to_vector
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ragloom.llm.common import fresh, materialize
 from ragloom.llm.pii import find, tree_expression
+from ragloom.operators.metrics import attach_scalars
 
 FINDING = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 ASSIGNED = r"""(?i)(?:key|token|secret|passw|pwd|auth|cred)[A-Za-z_]*["']?\s*[:=]\s*["']?$"""
@@ -30,25 +30,14 @@ MAX_LABELLED = 10_000  # of each label
 TREES, DEPTH = 15, 5
 
 
-class Statistics:
-    """What the features need of the corpus: the log probability of each pair of letters, and a bit
-    string of the hashes of the frequent words' four-letter pieces. Both have a fixed size."""
-
-    def __init__(self, pairs: list[float], grams: list[int]):
-        self.pairs = _constant(pairs, "array<double>")
-        self.grams = _constant(grams, "array<bigint>")
-
-
-def _constant(values: list, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(values)), kind)  # folded into a literal when the query is planned
-
-
 def _gram_place(gram: Column) -> Column:
     return F.xxhash64(gram).bitwiseAND((1 << GRAM_BITS) - 1)
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> Statistics:
-    """Counts over all words of at least four letters in all texts; the counts are pre-aggregated before
+def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """What the features need of the corpus, in one row of fixed size: pairs, the log probability of each
+    pair of letters, and grams, a bit string of the hashes of the frequent words' four-letter pieces.
+    Counts over all words of at least four letters in all texts; the counts are pre-aggregated before
     their exchange. The driver gets 676 pairs, ``WORDS`` words' pieces as 2 ** (GRAM_BITS - 6) numbers."""
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), "[^a-z]+")).alias("w")).where(F.length("w") >= 4)
     counts = materialize(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
@@ -63,11 +52,12 @@ def statistics(docs: DataFrame, text_col: str = "text") -> Statistics:
     grams = [0] * (1 << (GRAM_BITS - 6))
     for r in held:
         grams[r.i] = r.b
-    return Statistics(pairs, grams)
+    return docs.sparkSession.createDataFrame([(pairs, grams)], "pairs array<double>, grams array<bigint>")
 
 
-def _features(s: Column, path: Column, stats: Statistics) -> list[Column]:
-    m, before, after = s["m"], s["before"], s["after"]
+def _features() -> list[Column]:
+    """Of a finding (columns m, before, after, path) and the corpus (pairs, grams)."""
+    m, before, after, path = (F.col(c) for c in ("m", "before", "after", "path"))
     n = F.length(m).cast("double")
     low = F.lower(m)
     flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
@@ -75,12 +65,12 @@ def _features(s: Column, path: Column, stats: Statistics) -> list[Column]:
 
     def usual(i):
         a, b = F.ascii(F.substring(low, i, F.lit(1))) - 97, F.ascii(F.substring(low, i + 1, F.lit(1))) - 97
-        known = F.get(stats.pairs, a * LETTERS + b)
+        known = F.get(F.col("pairs"), a * LETTERS + b)
         return F.when((a >= 0) & (a < LETTERS) & (b >= 0) & (b < LETTERS), known).otherwise(-12.0)
 
     def covered(i):
         p = _gram_place(F.substring(low, i, F.lit(4)))
-        bit = F.getbit(F.get(stats.grams, F.shiftrightunsigned(p, 6).cast("int")), p.bitwiseAND(63).cast("int"))
+        bit = F.getbit(F.get(F.col("grams"), F.shiftrightunsigned(p, 6).cast("int")), p.bitwiseAND(63).cast("int"))
         return bit.cast("double")
 
     mean = lambda f, last: F.aggregate(F.sequence(F.lit(1), F.least(F.length(m) - last, F.lit(256))), F.lit(0.0), lambda acc, i: acc + f(i)) / (n - last)
@@ -91,14 +81,16 @@ def _features(s: Column, path: Column, stats: Statistics) -> list[Column]:
             flag(F.regexp_like(after, F.lit("""^["']"""))), flag(F.regexp_like(path, F.lit(TEST_PATH)))]
 
 
-def findings(docs: DataFrame, stats: Statistics, text_col: str = "text", path_col: str | None = "source",
-             out: str = "findings") -> DataFrame:
-    """Adds an array of findings in order: start, end (code points), m, before, after, x (features)."""
-    rows = find(docs, text_col, FINDING, out)
-    path = F.col(path_col).cast("string") if path_col else F.lit("")
-    return rows.withColumn(out, F.transform(out, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), s["before"].alias("before"),
-        s["after"].alias("after"), F.array(*_features(s, path, stats)).alias("x"))))
+def findings(docs: DataFrame, stats: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             path_col: str | None = "source") -> DataFrame:
+    """One row per finding: doc_id, start, end (code points), m, before, after, x (features). The
+    texts stay behind before the one row of statistics, of fixed size, is broadcast to the findings."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"),
+                       (F.col(path_col) if path_col else F.lit("")).cast("string").alias("path"))
+    # a filter before the generator, or one that Spark infers from it, would copy the search into each use
+    rows = find(rows, "t", FINDING, "found").select("doc_id", "path", F.inline_outer("found")).where("start is not null")
+    rows = attach_scalars(rows, stats)
+    return rows.select("doc_id", "start", "end", "m", "before", "after", F.array(*_features()).alias("x"))
 
 
 def label_by_rule(found: DataFrame) -> DataFrame:
@@ -136,10 +128,7 @@ def scan(docs: DataFrame, label=label_by_rule, id_col: str = "doc_id", text_col:
     (score at least ``least``). ``label`` adds the column label to findings, from wherever labelled
     findings come. Null and empty texts have no findings; repeated rows give repeated ones; other
     columns are ignored. Without labels of both kinds every score is 0."""
-    stats = statistics(docs, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"),
-                       (F.col(path_col) if path_col else F.lit("")).cast("string").alias("path"))
-    found = materialize(findings(rows, stats, "t", "path").select("doc_id", F.inline("findings")))
+    found = materialize(findings(docs, statistics(docs, text_col), id_col, text_col, path_col))
     trees = train(label(found))
     return found.select("doc_id", "start", "end", F.col("m").alias("secret_text"), score(F.col("x"), trees).alias("score")).withColumn(
         "secret", F.col("score") >= least)

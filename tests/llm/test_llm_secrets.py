@@ -47,10 +47,9 @@ def test_findings_and_verdicts(spark):
 
 def test_statistics(spark):
     df = spark.createDataFrame([("abab abcd",), ("ABAB x",), (None,)], "text string")
-    stats = secrets.statistics(df)
-    row = df.limit(1).select(F.size(stats.pairs).alias("p"), F.size(stats.grams).alias("g"),
-                             F.array_max(stats.pairs).alias("most"), F.get(stats.pairs, F.lit(1)).alias("ab")).first()
-    assert (row.p, row.g) == (676, 4096) and row.most == row.ab
+    row = secrets.statistics(df).first()
+    assert (len(row.pairs), len(row.grams)) == (676, 4096) and max(row.pairs) == row.pairs[1]  # "ab"
+    assert 1 <= sum((g % 2**64).bit_count() for g in row.grams) <= 2  # "abab", "abcd"
 
 
 def test_nothing_to_learn(spark):
