@@ -27,6 +27,7 @@ HARMLESS = r"(?i)example|sample|dummy|test|placeholder|sha1|commit|hash"
 TEST_PATH = r"(?i)test|example|sample|doc|readme"
 WORDS, LETTERS, GRAM_BITS = 5_000, 26, 18
 MAX_LABELLED = 10_000  # of each label
+PIECE = 256  # positions of a finding that are read from one piece of it
 TREES, DEPTH = 15, 5
 
 
@@ -63,17 +64,23 @@ def _features() -> list[Column]:
     flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     without = lambda p: (n - F.length(F.regexp_replace(m, p, ""))) / n
 
-    def usual(i):
-        a, b = F.ascii(F.substring(low, i, F.lit(1))) - 97, F.ascii(F.substring(low, i + 1, F.lit(1))) - 97
+    def usual(piece, i):
+        a, b = F.ascii(F.substring(piece, i, F.lit(1))) - 97, F.ascii(F.substring(piece, i + 1, F.lit(1))) - 97
         known = F.get(F.col("pairs"), a * LETTERS + b)
         return F.when((a >= 0) & (a < LETTERS) & (b >= 0) & (b < LETTERS), known).otherwise(-12.0)
 
-    def covered(i):
-        p = _gram_place(F.substring(low, i, F.lit(4)))
+    def covered(piece, i):
+        p = _gram_place(F.substring(piece, i, F.lit(4)))
         bit = F.getbit(F.get(F.col("grams"), F.shiftrightunsigned(p, 6).cast("int")), p.bitwiseAND(63).cast("int"))
         return bit.cast("double")
 
-    mean = lambda f, last: F.aggregate(F.sequence(F.lit(1), F.least(F.length(m) - last, F.lit(256))), F.lit(0.0), lambda acc, i: acc + f(i)) / (n - last)
+    def mean(f, last):
+        """Over all positions but the ``last`` ones, by pieces: to find a place in a string takes its distance."""
+        starts = F.sequence(F.lit(0), F.floor((F.length(m) - last - 1) / PIECE).cast("int"))
+        pieces = F.transform(starts, lambda j: F.substring(low, j * PIECE + 1, F.lit(PIECE + last)))
+        return F.aggregate(pieces, F.lit(0.0), lambda acc, piece: F.aggregate(
+            F.sequence(F.lit(1), F.length(piece) - last), acc, lambda total, i: total + f(piece, i))) / (n - last)
+
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "[a-z]+", "a"), "[A-Z]+", "b"), "[0-9]+", "c")
     return [n, F.length(classes) / n, mean(usual, 1), mean(covered, 3), without("[0-9]"), without("[A-Z]"), without("[+/_=-]"),
             flag(F.regexp_like(m, F.lit("^[0-9a-fA-F]+$"))), flag(F.regexp_like(before, F.lit(ASSIGNED))),

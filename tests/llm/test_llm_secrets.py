@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from ragloom.llm import secrets
@@ -56,3 +57,19 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "a 0123456789abcdef0123", "p")], "doc_id long, text string, source string")
     assert [r.score for r in secrets.scan(df).collect()] == [0.0]
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_features_of_long_findings_cover_all_positions(spark):
+    rng = random.Random(4)
+    long_ = ["".join(rng.choices("abcdeQ7", k=k)) + "international" * 90 for k in (16, 250, 4000)] + ["x" * n for n in (16, 256, 257, 258, 259, 260, 513)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(long_ + ["international banana abcde"])], "doc_id long, text string")
+    stats = secrets.statistics(docs.where("doc_id >= 10"))
+    pairs, grams = stats.first()
+    found = {r.doc_id: r.x for r in secrets.findings(docs, stats, path_col=None).collect()}
+    every = sorted({t.lower()[i:i + 4] for t in long_ for i in range(len(t) - 3)})
+    place = {r.g: r.p for r in spark.createDataFrame([(g,) for g in every], "g string").select("g", secrets._gram_place(F.col("g")).alias("p")).collect()}
+    for i, t in enumerate(long_):
+        low = t.lower()
+        usual = [pairs[(ord(a) - 97) * 26 + ord(b) - 97] if a.isalpha() and b.isalpha() else -12.0 for a, b in zip(low, low[1:])]
+        held = [grams[place[low[j:j + 4]] >> 6] >> (place[low[j:j + 4]] & 63) & 1 for j in range(len(low) - 3)]
+        assert found[i][2] == pytest.approx(sum(usual) / len(usual)) and found[i][3] == pytest.approx(sum(held) / len(held))
