@@ -26,7 +26,7 @@ NAMED = r"(?i)key|token|secret|passw|pwd|auth|cred|bearer"
 HARMLESS = r"(?i)example|sample|dummy|test|placeholder|sha1|commit|hash"
 TEST_PATH = r"(?i)test|example|sample|doc|readme"
 WORDS, LETTERS, GRAM_BITS = 5_000, 26, 18
-MAX_LABELLED = 10_000  # of each label
+MAX_LABELLED = 10_000  # different ones of each label
 PIECE = 256  # positions of a finding that are read from one piece of it
 TREES, DEPTH = 15, 5
 
@@ -110,16 +110,23 @@ def label_by_rule(found: DataFrame) -> DataFrame:
     return found.withColumn("label", F.when(assigned & mixed & ~harmless, 1.0).when(harmless | ~named & ~mixed, 0.0))
 
 
-def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> list[str]:
-    """The forest's trees, from findings with x and label (0 or 1; others are ignored): at most
-    ``max_labelled`` of each label, by the order of a hash of the features. Empty unless both labels occur."""
-    rows = labelled.where("label in (0, 1)").select("x", F.col("label").cast("double").alias("label")).withColumn("h", F.xxhash64("x"))
+def sample(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """Findings with x and label (0 or 1; others are ignored), equal ones as one row with their number w:
+    at most ``max_labelled`` different ones of each label, by the order of a hash of the features."""
+    rows = labelled.where("label in (0, 1)").groupBy("x", F.col("label").cast("double").alias("label")).agg(
+        F.count(F.lit(1)).cast("double").alias("w")).withColumn("h", F.xxhash64("x"))
     parts = [rows.where(F.col("label") == y).orderBy("h").limit(max_labelled) for y in (0.0, 1.0)]
-    rows = materialize(parts[0].unionByName(parts[1]))
+    return materialize(parts[0].unionByName(parts[1]))
+
+
+def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> list[str]:
+    """The forest's trees, from a ``sample`` of findings, weighted by the number of equal ones. Empty unless
+    both labels occur."""
+    rows = sample(labelled, max_labelled)
     if rows.select("label").distinct().count() < 2:
         return []
-    forest = RandomForestRegressor(numTrees=TREES, maxDepth=DEPTH, seed=11, featureSubsetStrategy="onethird")
-    return [t.toDebugString for t in forest.fit(rows.select(array_to_vector("x").alias("features"), "label")).trees]
+    forest = RandomForestRegressor(numTrees=TREES, maxDepth=DEPTH, seed=11, featureSubsetStrategy="onethird", weightCol="w")
+    return [t.toDebugString for t in forest.fit(rows.select(array_to_vector("x").alias("features"), "label", "w")).trees]
 
 
 def score(x: Column, trees: list[str]) -> Column:

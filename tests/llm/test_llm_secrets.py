@@ -73,3 +73,10 @@ def test_features_of_long_findings_cover_all_positions(spark):
         usual = [pairs[(ord(a) - 97) * 26 + ord(b) - 97] if a.isalpha() and b.isalpha() else -12.0 for a, b in zip(low, low[1:])]
         held = [grams[place[low[j:j + 4]] >> 6] >> (place[low[j:j + 4]] & 63) & 1 for j in range(len(low) - 3)]
         assert found[i][2] == pytest.approx(sum(usual) / len(usual)) and found[i][3] == pytest.approx(sum(held) / len(held))
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    rows = [([float(v), 1.0], y) for y in (0.0, 1.0) for v in range(8) for _ in range(1 + 300 * (v == 3))] + [([9.0, 9.0], None)]
+    got = secrets.sample(spark.createDataFrame(rows, "x array<double>, label double").repartition(4), 8).collect()
+    assert sorted((r.label, r.x[0], r.w) for r in got) == [(y, float(v), 301.0 if v == 3 else 1.0) for y in (0.0, 1.0) for v in range(8)]
+    assert len(secrets.sample(spark.createDataFrame(rows, "x array<double>, label double"), 3).collect()) == 6
