@@ -166,11 +166,11 @@ def _piece_rows(spec, end_id: int, capacity: int, keep_ids: bool):
 
     def rows(batches):
         enc = encoder(spec.value)
-        end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             keys, out = batch.column(0).to_pylist(), [[] for _ in names]
-            for key, found in zip(keys, encode_column(enc, batch.column(1).to_pylist())):
-                ids = np.frombuffer(found + end, enc.dtype).astype("<u4")
+            for key, found in zip(keys, encode_column(enc, batch.column(1))):
+                ids = np.empty(len(found) + 1, "<u4")
+                ids[:-1], ids[-1] = found, end_id
                 # the first piece takes what whole pieces leave
                 first = len(ids) % capacity or capacity
                 cuts = [0, *range(first, len(ids) + 1, capacity)]

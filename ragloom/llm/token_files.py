@@ -112,7 +112,7 @@ def _segment_rows(spec, end_id: int, segment_tokens: int):
 
     def rows(batches):
         enc = encoder(spec.value)
-        end = np.array([end_id], enc.dtype).tobytes()
+        end = np.array([end_id], enc.dtype)
         pid, seq, done = TaskContext.get().partitionId(), 0, 0
         ids, sizes, held, total = [], [], [], 0
 
@@ -120,7 +120,7 @@ def _segment_rows(spec, end_id: int, segment_tokens: int):
             nonlocal seq, done, total
             known = np.array([d for d in held if d is not None], np.int64)
             values = (pid, seq, done, len(held), len(held) - len(known), total, enc.dtype.itemsize,
-                      EliasFano.of(known).to_bytes(), EliasFano.of(np.cumsum(sizes)).to_bytes(), b"".join(ids))
+                      EliasFano.of(known).to_bytes(), EliasFano.of(np.cumsum(sizes)).to_bytes(), np.concatenate(ids).tobytes())
             seq, done, total = seq + 1, done + total, 0
             ids.clear(), sizes.clear(), held.clear()
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(),
@@ -129,11 +129,10 @@ def _segment_rows(spec, end_id: int, segment_tokens: int):
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for key, found in zip(keys, encode_column(enc, batch.column(1).to_pylist())):
-                found += end
+            for key, found in zip(keys, encode_column(enc, batch.column(1))):
                 held.append(key)
-                ids.append(found)
-                sizes.append(len(found) // enc.dtype.itemsize)
+                ids += (found, end)
+                sizes.append(len(found) + 1)
                 total += sizes[-1]
                 if total >= segment_tokens:
                     yield row()
