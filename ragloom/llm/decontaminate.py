@@ -22,6 +22,7 @@ from ragloom.llm.encoding import grouped
 
 WINDOW, K = 13, 5
 FILTER_BITS = 20
+MAX_WORDS = 100_000  # words whose hashes a task keeps
 # ASCII bytes that are neither letters nor digits separate words; A-Z become lower case
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
                for c in range(256))
@@ -37,18 +38,17 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class _Hashes(dict):
-    """Hashes of words seen before; emptied when it gets large."""
+    """Hashes of words a task has seen before, in bounded memory."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > MAX_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
-_HASHES = _Hashes()
-
-
 def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of ``k`` words, from the words' hashes."""
     n = max(0, len(hashes) - k + 1)
@@ -78,14 +78,14 @@ def kept(grams: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, w
     return first <= last
 
 
-def _hits(texts: list[list[bytes]], window: int, k: int, wanted) -> list[list[tuple]]:
+def _hits(texts: list[list[bytes]], window: int, k: int, wanted, known: _Hashes) -> list[list[tuple]]:
     """For each text its fingerprints (hash, place, words before it in the context, equal words
     needed, context). ``wanted`` is None for test items, whose fingerprints are all given; else
     (marks of the test items' hashes, lengths of short items)."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    hashes = np.fromiter((_HASHES[w] for t in texts for w in t), np.uint64, int(ends[-1]) if len(ends) else 0)
+    hashes = np.fromiter((known[w] for t in texts for w in t), np.uint64, int(ends[-1]) if len(ends) else 0)
     owner = np.repeat(np.arange(len(texts)), sizes)
     out: list[list[tuple]] = [[] for _ in texts]
     mask = np.uint64((1 << FILTER_BITS) - 1)
@@ -116,14 +116,14 @@ def _fingerprint_rows(window: int, k: int, wanted, names: list[str]):
     """Batches whose last column is the text -> the other columns, n_words, fingerprints."""
 
     def rows(batches):
-        marks = None if wanted is None else wanted.value
+        marks, known = None if wanted is None else wanted.value, _Hashes()
         for batch in batches:
             texts = text_bytes(batch.column(batch.num_columns - 1))
             n_words, found = [], []
             for a, b in grouped([t or b"" for t in texts]):
                 split = [words(t) for t in texts[a:b]]
                 n_words += [len(t) for t in split]
-                found += _hits(split, window, k, marks)
+                found += _hits(split, window, k, marks, known)
             found = [[dict(zip(("hash", "x", "lead", "need", "context"), h)) for h in f] for f in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(found, _HIT_TYPE)],
                                              [*names, "n_words", "hits"])

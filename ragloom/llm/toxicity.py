@@ -12,6 +12,7 @@ confirmed examples, trained with numpy; several, with different orders of the ro
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,28 +28,29 @@ EPOCHS, BATCH, RATE, DECAY, SCORERS = 20, 1024, 0.02, 1e-3, 3
 LEAST_SHARE = 0.005  # of the confirmed examples that have a feature of interest
 # its share there over that in unlabelled text is at most 1 / prior, for a feature of toxic text alone; this much of the excess over 1
 LEAST_EXCESS = 0.25
+MAX_WORDS = 60_000  # words whose features a task keeps
 _WORD = re.compile(r"\w+")
 _MASK = (1 << BITS) - 1
 
 
 class _Places(dict):
-    """The feature numbers of a word: itself and its first four and five characters."""
+    """The feature numbers of a word: itself and its first four and five characters. A task has its own, of
+    bounded size, so that nothing stays in a worker after it."""
 
     def __missing__(self, word: str) -> tuple:
-        if len(self) > 200_000:
+        if len(self) > MAX_WORDS:
             self.clear()
         parts = [word, *("^" + word[:n] for n in (4, 5) if len(word) >= n)]
-        found = self[word] = tuple(xxhash.xxh32_intdigest(p) & _MASK for p in parts)
+        found = tuple(xxhash.xxh32_intdigest(p) & _MASK for p in parts)
+        if len(word) <= 64:
+            self[word] = found
         return found
 
 
-_PLACES = _Places()
-
-
-def features(text: str | None) -> np.ndarray:
+def features(text: str | None, places: _Places) -> np.ndarray:
     """The distinct feature numbers of a whole text; none for null or empty."""
     found = set(_WORD.findall((text or "").lower()))
-    return np.unique(np.fromiter((i for w in found for i in _PLACES[w]), np.int32))
+    return np.unique(np.fromiter((i for w in found for i in places[w]), np.int32))
 
 
 class Model:
@@ -56,25 +58,32 @@ class Model:
 
     def __init__(self, weights: dict[int, np.ndarray], bias: np.ndarray):
         self.weights, self.bias = weights, bias
-        self.of_word: dict[str, tuple] = {}
-
-    def score(self, text: str | None) -> float:
-        """The scorers' mean, 0 to 1, for a whole text; words without a feature of interest, and so
-        null and empty texts, leave the biases alone. 0 if nothing was learned."""
-        if not len(self.bias):
-            return 0.0
-        if len(self.of_word) > 500_000:
-            self.of_word.clear()
-        known, there = self.of_word, set()
-        for w in set(_WORD.findall((text or "").lower())):
-            if (found := known.get(w)) is None:
-                found = known[w] = tuple(i for i in _PLACES[w] if i in self.weights)
-            if found:
-                there.update(found)
-        z = self.bias.copy()
-        for i in sorted(there):
-            z += self.weights[i]
-        return float((1 / (1 + np.exp(-np.clip(z, -50, 50)))).mean())
+
+    def scorer(self):
+        """A function from a whole text to the scorers' mean, 0 to 1; words without a feature of interest, and
+        so null and empty texts, leave the biases alone. 0 if nothing was learned."""
+        weights, bias, places = self.weights, self.bias, _Places()
+        known: dict[str, tuple] = {}
+
+        def score(text: str | None) -> float:
+            if not len(bias):
+                return 0.0
+            if len(known) > MAX_WORDS:
+                known.clear()
+            there: set = set()
+            for w in set(_WORD.findall((text or "").lower())):
+                if (found := known.get(w)) is None:
+                    found = tuple(i for i in places[w] if i in weights)
+                    if len(w) <= 64:
+                        known[w] = found
+                if found:
+                    there.update(found)
+            z = bias.copy()
+            for i in sorted(there):
+                z += weights[i]
+            return float((1 / (1 + np.exp(-np.clip(z, -50, 50)))).mean())
+
+        return score
 
 
 def _fit_one(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, seed: int):
@@ -124,6 +133,8 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float) -> Model:
     in_pos, in_unl = count(positive), count(~positive)
     lift = ((in_pos + 1) / (n_pos + 2)) / ((in_unl + 1) / (n_unl + 2))
     of_interest = np.flatnonzero((in_pos >= max(3, LEAST_SHARE * n_pos)) & (lift >= 1 + LEAST_EXCESS * (1 / prior - 1)))
+    if not len(of_interest):  # nothing tells the kinds apart
+        return Model({}, np.zeros(0))
     place = np.full(1 << BITS, -1)
     place[of_interest] = np.arange(len(of_interest))
     rows = [p[p >= 0] for p in (place[r] for r in rows)]
@@ -140,8 +151,9 @@ def held_out(id_col: str):
 
 
 def _feature_rows(batches):
+    places = _Places()
     for batch in batches:
-        found = [features(t) for t in batch.column(1).to_pylist()]
+        found = [features(t, places) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["positive", "found"])
 
 
@@ -152,7 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     At most ``max_positive`` documents labelled 1 and ``max_unlabelled`` others of whatever
     label, by the order of their ids' hash, go to the trainer; their labels 0 are not used but for
     the class prior, which is counted over all labels not held out. Several labels of a
-    document count as 1 if one is. Null ids and labels are ignored.
+    document count as 1 if one is. Of an id that several rows have, one text is used, that of
+    the least hash (null: empty), so the driver gets no more rows than the two bounds. Null ids and
+    labels are ignored.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(
         F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
@@ -164,25 +178,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id")).distinct()
     unl = ids.orderBy(*order).limit(max_unlabelled).select("id", F.lit(False).alias("positive"))
     chosen = F.broadcast(pos.unionByName(unl))  # at most max_positive + max_unlabelled rows
-    rows = docs.join(chosen, docs[id_col] == chosen.id).select("positive", text_col).mapInArrow(
+    text = F.coalesce(docs[text_col], F.lit(""))
+    rows = docs.join(chosen, docs[id_col] == chosen.id).select("id", "positive", text.alias("text"))
+    rows = rows.groupBy("id", "positive").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = rows.select("positive", "text").mapInArrow(
         _feature_rows, "positive boolean, found array<int>").toArrow()
     found = [np.asarray(r.as_py(), np.int32) for r in rows.column("found")]
     return fit(found, np.array(rows.column("positive").to_pylist(), bool), float(prior))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """Adds the score of every whole text to the rows; no exchange."""
+    """Adds the score of every whole text to the rows, repeated rows alike; no exchange. Null and
+    empty texts, and all texts if nothing was learned: see ``Model.scorer``."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 ** BITS weights of each scorer
 
-    def scored(texts: pa.Array) -> pa.Array:
-        return pa.array([held.value.score(t) for t in texts.to_pylist()], pa.float64())
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = held.value.scorer()
+        for texts in batches:
+            yield pa.array([of(t) for t in texts.to_pylist()], pa.float64())
 
     return docs.withColumn(out, F.arrow_udf(scored, "double")(F.col(text_col)))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5,
                **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that a model trained on them scores below ``least``."""
+    """The rows of ``docs``, all columns, that a model trained on them scores below ``least``. All rows stay
+    if nothing was learned: no labels, one kind only, or no feature that tells the kinds apart. Null
+    and empty texts have the biases' score; repeated rows stay or go together."""
     (name,) = fresh(docs, "_score")
     model = train(docs, labels, id_col, text_col, **options)
     return score(docs, model, text_col, name).where(F.col(name) < least).drop(name)
