@@ -10,7 +10,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ragloom.llm import pii, secrets, toxicity
+from ragloom.llm import alignment, pii, secrets, toxicity
 from ragloom.llm.common import read
 from ragloom.llm.decontaminate import contamination
 from ragloom.llm.fingerprints import fingerprints
@@ -170,5 +170,13 @@ def op10_best_fit_packing(spark, sf_dir):
                           end_id=0, capacity=CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_iblt_fingerprints, op4_url_reputation, op5_histogram_sharding, op6_pii, op7_secret_scan, op8_benchmark_decontamination, op9_toxicity, op10_best_fit_packing)}
+def op11_tokenizer_alignment(spark, sf_dir):
+    found = alignment.alignments(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    return alignment.counted(found.withColumn("groups_sha256", digest).drop("groups"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_iblt_fingerprints, op4_url_reputation, op5_histogram_sharding, op6_pii, op7_secret_scan, op8_benchmark_decontamination, op9_toxicity, op10_best_fit_packing,
+                                  op11_tokenizer_alignment)}
 ORACLE_SQL = {"op4_url_reputation": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL}
