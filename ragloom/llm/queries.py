@@ -10,7 +10,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ragloom.llm import alignment, pii, secrets, toxicity
+from ragloom.llm import alignment, pii, quality, secrets, toxicity
 from ragloom.llm.common import read
 from ragloom.llm.decontaminate import contamination
 from ragloom.llm.fingerprints import fingerprints
@@ -177,6 +177,13 @@ def op11_tokenizer_alignment(spark, sf_dir):
     return alignment.counted(found.withColumn("groups_sha256", digest).drop("groups"))
 
 
+def op13_quality_classifier(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_iblt_fingerprints, op4_url_reputation, op5_histogram_sharding, op6_pii, op7_secret_scan, op8_benchmark_decontamination, op9_toxicity, op10_best_fit_packing,
-                                  op11_tokenizer_alignment)}
+                                  op11_tokenizer_alignment, op13_quality_classifier)}
 ORACLE_SQL = {"op4_url_reputation": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL}

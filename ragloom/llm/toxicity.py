@@ -178,8 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id")).distinct()
     unl = ids.orderBy(*order).limit(max_unlabelled).select("id", F.lit(False).alias("positive"))
     chosen = F.broadcast(pos.unionByName(unl))  # at most max_positive + max_unlabelled rows
-    text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.join(chosen, docs[id_col] == chosen.id).select("id", "positive", text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id")
     rows = rows.groupBy("id", "positive").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = rows.select("positive", "text").mapInArrow(
         _feature_rows, "positive boolean, found array<int>").toArrow()
