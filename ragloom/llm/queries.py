@@ -10,7 +10,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ragloom.llm import alignment, pii, quality, secrets, toxicity
+from ragloom.llm import alignment, pii, quality, ranking, secrets, toxicity
 from ragloom.llm.common import read
 from ragloom.llm.decontaminate import contamination
 from ragloom.llm.fingerprints import fingerprints
@@ -177,6 +177,32 @@ def op11_tokenizer_alignment(spark, sf_dir):
     return alignment.counted(found.withColumn("groups_sha256", digest).drop("groups"))
 
 
+def op12_ranked_search(spark, sf_dir):
+    found = ranking.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(t) AS term FROM d) GROUP BY rid, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM tf, s GROUP BY term, n_docs),
+q AS (SELECT iid, item_id, term, count(*) AS q FROM (
+        SELECT iid, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT row_number() OVER () AS iid, * FROM benchmark)) GROUP BY iid, item_id, term),
+scored AS (
+  SELECT iid, item_id, rid, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(t) * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN d USING (rid), s GROUP BY iid, item_id, rid),
+ranked AS (SELECT iid, item_id, doc_id, score, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS rank
+           FROM scored JOIN d USING (rid) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def op13_quality_classifier(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
@@ -185,5 +211,5 @@ def op13_quality_classifier(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_iblt_fingerprints, op4_url_reputation, op5_histogram_sharding, op6_pii, op7_secret_scan, op8_benchmark_decontamination, op9_toxicity, op10_best_fit_packing,
-                                  op11_tokenizer_alignment, op13_quality_classifier)}
-ORACLE_SQL = {"op4_url_reputation": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL}
+                                  op11_tokenizer_alignment, op12_ranked_search, op13_quality_classifier)}
+ORACLE_SQL = {"op4_url_reputation": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL, "op12_ranked_search": OP12_SQL}
