@@ -20,6 +20,7 @@ from ragloom import constants as C
 from ragloom.functions import text as T
 from ragloom.functions import vectors as V
 from ragloom.functions.numeric import round_half_up
+from ragloom.operators.sizing import materialize
 
 _MARGIN = 1e-9
 
@@ -77,6 +78,17 @@ def core_distance(df: DataFrame, group: str = "source", id_col: str = "chunk_id"
     return nn.where(F.col("rank") == k).select(F.col("id").alias(id_col), F.col("dist").alias("core_distance"))
 
 
+def mutual_reachability(df: DataFrame, group: str = "source", id_col: str = "chunk_id", vec_col: str = "embedding",
+                        k: int = 2) -> DataFrame:
+    """``(chunk_id, neighbour, rank, distance)``: each row's ``k`` nearest other rows of its document with
+    ``max(core, neighbour's core, distance)``, the core being the distance to the k-th nearest."""
+    near = materialize(knn_within(df, group, id_col, vec_col, k))
+    core = near.where(F.col("rank") == k).select("id", F.col("dist").alias("core"))
+    other = core.select(F.col("id").alias("nbr"), F.col("core").alias("core_b"))
+    return near.join(core, "id").join(other, "nbr").select(
+        F.col("id").alias(id_col), F.col("nbr").alias("neighbour"), "rank", F.greatest("dist", "core", "core_b").alias("distance"))
+
+
 def apply_cluster_ids(chunks: DataFrame, labels: DataFrame, min_vectors: int = 2) -> DataFrame:
     """E4 + J3-J5: ``cluster_id = hash_value || '_' || label`` for the chunks of every
     document that has at least ``min_vectors`` vectors and some non-noise label;

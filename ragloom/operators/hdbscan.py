@@ -2,13 +2,13 @@
 
 Steps for one document's vectors: core distance (distance to the ``core_k``-th
 nearest other vector), mutual reachability ``max(core_a, core_b, d(a, b))``,
-minimum spanning tree (Prim), single-linkage merges in edge order, condensed tree
+minimum spanning tree, single-linkage merges in edge order, condensed tree
 for ``min_cluster_size``, cluster stability, excess-of-mass selection. The root is
 never selected, so a document that forms one single group comes out all noise.
 
-Documents run in parallel (``groupBy(source).applyInPandas``), one document per task. Distances are
-computed a block or a row at a time, so a task's memory is linear in the document's vectors;
-its time is quadratic, as the tree over all mutual reachability distances is exact.
+The tree comes from ``spanning_tree``, which spreads a large document over many tasks. Only its n - 1
+edges meet in one task per document for the walk (``groupBy(source).applyInPandas``), which is linear in them
+but for a sort.
 """
 
 from __future__ import annotations
@@ -16,53 +16,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ragloom import constants as C
-
-BLOCK_VALUES = 4_000_000  # distances held at once while core distances are computed
-
-
-def _distances(x: np.ndarray, sq: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Distances of some rows to all rows; equal rows are at exactly 0."""
-    d = sq[rows][:, None] + sq[None, :] - 2.0 * (x[rows] @ x.T)
-    near = d < 1e-9 * (sq[rows][:, None] + sq[None, :])
-    for i, j in zip(*np.nonzero(near)):  # where the products cancel out, the differences themselves
-        d[i, j] = ((x[rows[i]] - x[j]) ** 2).sum()
-    return np.sqrt(np.maximum(d, 0.0))
-
-
-def _core_distances(x: np.ndarray, sq: np.ndarray, k: int) -> np.ndarray:
-    n = len(x)
-    core = np.empty(n)
-    step = max(1, BLOCK_VALUES // n)
-    for a in range(0, n, step):
-        rows = np.arange(a, min(a + step, n))
-        d = _distances(x, sq, rows)
-        d[np.arange(len(rows)), rows] = np.inf
-        core[rows] = np.partition(d, k - 1, axis=1)[:, k - 1]
-    return core
-
-
-def _mst(x: np.ndarray, core_k: int):
-    """Prim over mutual reachability distances, computing one row per step: (a, b, w)."""
-    n = len(x)
-    sq = (x ** 2).sum(axis=1)
-    core = _core_distances(x, sq, min(core_k, n - 1))
-    best = np.full(n, np.inf)
-    frm = np.zeros(n, dtype=np.int64)
-    open_ = np.ones(n, dtype=bool)
-    cur, edges = 0, []
-    open_[0] = False
-    for _ in range(n - 1):
-        m = np.maximum(((x - x[cur]) ** 2).sum(axis=1) ** 0.5, np.maximum(core, core[cur]))
-        closer = open_ & (m < best)
-        best[closer], frm[closer] = m[closer], cur
-        cur = int(np.argmin(np.where(open_, best, np.inf)))
-        edges.append((int(frm[cur]), cur, float(best[cur])))
-        open_[cur] = False
-    return edges
-
+from ragloom.operators.spanning_tree import BLOCK_ROWS, spanning_tree
 
 def _merges(n: int, edges):
     """Single-linkage merges: rows (left, right, dist, size) with new node ids n, n+1, ..."""
@@ -85,11 +41,11 @@ def _merges(n: int, edges):
     return rows
 
 
-def _labels(x: np.ndarray, min_cluster_size: int, core_k: int) -> np.ndarray:
-    n = len(x)
+def tree_labels(n: int, edges, min_cluster_size: int) -> np.ndarray:
+    """Labels of the points 0 to n - 1 from the edges (a, b, distance) of their spanning tree."""
     if n < 2:
         return np.full(n, C.NOISE_LABEL)
-    merges = _merges(n, _mst(x, core_k))
+    merges = _merges(n, edges)
     children = {n + i: (l, r, w, s) for i, (l, r, w, s) in enumerate(merges)}
 
     def count(node):
@@ -176,17 +132,16 @@ def _labels(x: np.ndarray, min_cluster_size: int, core_k: int) -> np.ndarray:
 
 
 def hdbscan_labels(chunks: DataFrame, group: str = "source", id_col: str = "chunk_id", vec_col: str = "embedding",
-                   min_cluster_size: int = 2, core_k: int = 2) -> DataFrame:
+                   min_cluster_size: int = 2, core_k: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(chunk_id, label)`` per document, noise = -1 (J2); documents with fewer than two
     vectors are left out, as the loader skips them (J3)."""
-    sizes = chunks.where(F.col(vec_col).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    ok = sizes.where(F.col("n") >= 2).select(group)
-    src = chunks.where(F.col(vec_col).isNotNull()).join(ok, group, "left_semi").select(
-        group, F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    edges = spanning_tree(chunks, group, id_col, vec_col, core_k, block_rows)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
-        return pd.DataFrame({id_col: pdf["id"].to_numpy(), "label": _labels(x, min_cluster_size, core_k)})
+        pdf = pdf.sort_values(["distance", "a", "b"])
+        ids, at = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
+        a, b = np.split(at, 2)
+        labels = tree_labels(len(ids), list(zip(a.tolist(), b.tolist(), pdf["distance"].tolist())), min_cluster_size)
+        return pd.DataFrame({id_col: ids, "label": labels})
 
-    return src.groupBy(group).applyInPandas(fn, f"{id_col} long, label long")
+    return edges.groupBy(group).applyInPandas(fn, f"{id_col} long, label long")

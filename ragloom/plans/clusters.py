@@ -15,7 +15,7 @@ from ragloom.functions import text as T
 from ragloom.functions.numeric import round_half_up_sql as rhu_sql
 from ragloom.operators import clustering as K
 from ragloom.operators import hdbscan, ingest
-from ragloom.operators import rerank, sizing, vector_search
+from ragloom.operators import rerank, sizing, spanning_tree, vector_search
 from ragloom.plans import search as S
 from ragloom.plans.common import r6, r6_sql, register
 from ragloom.session import scratch_path
@@ -85,6 +85,17 @@ def q_core_distance(spark, sf):
     return r6(K.core_distance(X.chunks(spark, sf)), "core_distance")
 
 
+def q_mutual_reachability(spark, sf):
+    return r6(K.mutual_reachability(X.chunks(spark, sf)), "distance")
+
+
+def q_spanning_tree(spark, sf):
+    """Edges and length of each document's tree."""
+    tree = spanning_tree.spanning_tree(X.chunks(spark, sf))
+    return r6(tree.groupBy("source").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("distance").alias("length"),
+                                         F.max("distance").alias("longest")), "length", "longest")
+
+
 # ------------------------------------------------------------------ SQL twins
 
 CLUSTER_CTES = dict(S.SEARCH_CTES)
@@ -153,4 +164,13 @@ register("core_distance", q_core_distance, X.with_ctes("chunks") + f"""
       FROM chunks a JOIN chunks b ON a.source = b.source AND a.chunk_id <> b.chunk_id
       WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL)
     WHERE r = 2""")
+_NEAR = f"""
+    SELECT *, row_number() OVER (PARTITION BY a ORDER BY {rhu_sql('d', 9)}, b) AS r FROM (
+      SELECT x.chunk_id AS a, y.chunk_id AS b, x.source, list_distance(x.embedding, y.embedding) AS d
+      FROM chunks x JOIN chunks y ON x.source = y.source AND x.chunk_id <> y.chunk_id
+      WHERE x.embedding IS NOT NULL AND y.embedding IS NOT NULL)"""
+register("mutual_reachability", q_mutual_reachability, X.with_ctes("chunks") + f"""
+    SELECT n.a AS chunk_id, n.b AS neighbour, CAST(n.r AS INTEGER) AS rank, {r6_sql('greatest(n.d, c.d, e.d)')} AS distance
+    FROM ({_NEAR}) n JOIN ({_NEAR}) c ON c.a = n.a AND c.r = 2 JOIN ({_NEAR}) e ON e.a = n.b AND e.r = 2 WHERE n.r <= 2""")
+register("spanning_tree", q_spanning_tree, None)
 register("hdbscan_labels", q_hdbscan_labels, None)
