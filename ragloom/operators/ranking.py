@@ -20,16 +20,19 @@ from pyspark.sql import functions as F
 from ragloom.operators import sizing
 
 
-def row_number_in_groups(df: DataFrame, group: str, order: str, out: str = "row_number",
+def row_number_in_groups(df: DataFrame, group: str, order: str | list[str], out: str = "row_number",
                          n_parts: int | None = None) -> DataFrame:
-    """1-based position of each row inside its ``group`` ordered by ``order`` (unique)."""
+    """1-based position of each row inside its ``group`` ordered by ``order``, nulls first; every row gets a
+    number of its own, equal ones in any order. Null groups are one group."""
+    orders = [order] if isinstance(order, str) else list(order)
     n = n_parts or max(df.sparkSession.sparkContext.defaultParallelism, 1)
-    r = df.repartitionByRange(n, group, order).sortWithinPartitions(group, order)
+    r = df.repartitionByRange(n, group, *orders).sortWithinPartitions(group, *orders)
     r = sizing.materialize(r.withColumn("_mid", F.monotonically_increasing_id()))
     r = r.withColumn("_pid", F.shiftright(F.col("_mid"), 33))
     stats = r.groupBy("_pid", group).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stats.select("_pid", group, "_first", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    numbered = r.join(offsets, ["_pid", group])
+    offsets = stats.select(F.col("_pid").alias("_opid"), F.col(group).alias("_group"), "_first",
+                           F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    numbered = r.join(offsets, (F.col("_pid") == F.col("_opid")) & F.col(group).eqNullSafe(F.col("_group")))
     return numbered.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("long")).drop(
-        "_pid", "_mid", "_first", "_off")
+        "_pid", "_opid", "_mid", "_group", "_first", "_off")

@@ -185,40 +185,43 @@ register("semantic_score", q_semantic_score,
 
 # ------------------------------------------------------------------ G6: approximate search (rows-only checks)
 
-def _ann(spark, sf):
+def _index(spark, sf):
     from ragloom.operators import ann
 
     ch, q = _inputs(spark, sf)
     index, centers = ann.build_ivf(ch)
-    index = ann.store_index(index)
-    return ann.ann_topk(index, centers, q, C.SEMANTIC_CANDIDATES, n_probe=4), ch, q
+    return ann.store_index(index), centers, ch, q
 
 
 def q_ann_topk(spark, sf):
-    top, _, _ = _ann(spark, sf)
-    return r6(top, "rank_semantic")
+    """Lists are read until no other can hold a better row."""
+    from ragloom.operators import ann
+
+    index, centers, _, q = _index(spark, sf)
+    return r6(ann.ann_topk(index, centers, q, radius=ann.radii(index, len(centers))), "rank_semantic")
 
 
 def q_ann_topk_all_lists(spark, sf):
     """Probing every list is the exact search."""
     from ragloom.operators import ann
 
-    ch, q = _inputs(spark, sf)
-    index, centers = ann.build_ivf(ch)
-    return r6(ann.ann_topk(ann.store_index(index), centers, q, C.SEMANTIC_CANDIDATES, n_probe=len(centers)), "rank_semantic")
+    index, centers, _, q = _index(spark, sf)
+    return r6(ann.ann_topk(index, centers, q, C.SEMANTIC_CANDIDATES, n_probe=len(centers)), "rank_semantic")
 
 
 def q_ann_recall(spark, sf):
+    """With as many probes as some queries' exact results ask for."""
     from ragloom.operators import ann
 
-    top, ch, q = _ann(spark, sf)
-    exact = vector_search.semantic_topk(ch, q, dim=vector_search.vector_width(q, "query_vec"))
+    index, centers, ch, q = _index(spark, sf)
+    exact = sizing.materialize(vector_search.semantic_topk(ch, q, dim=vector_search.vector_width(q, "query_vec")))
+    top = ann.ann_topk(index, centers, q, n_probe=ann.probes_for(index, centers, exact, q))
     return r6(ann.recall_vs_exact(top, exact), "recall")
 
 
-register("ann_topk", q_ann_topk, None)
-register("ann_topk_all_lists", q_ann_topk_all_lists,
-         ctes("sem_top") + f"SELECT query_id, chunk_id, {r6_sql('rank_semantic')} AS rank_semantic, rank FROM sem_top")
+_SEM = ctes("sem_top") + f"SELECT query_id, chunk_id, {r6_sql('rank_semantic')} AS rank_semantic, rank FROM sem_top"
+register("ann_topk", q_ann_topk, _SEM)
+register("ann_topk_all_lists", q_ann_topk_all_lists, _SEM)
 register("ann_recall", q_ann_recall, None)
 
 

@@ -46,7 +46,8 @@ def page_table(pages: DataFrame, text_col: str = "text", source_col: str = "sour
     Two input shapes:
     * one row per page (``order_col`` orders pages inside a source), or
     * one row per file whose text separates pages by ``page_mark`` (form feed).
-    Numbering happens before blank pages are dropped, so blank pages leave gaps.
+    Numbering happens before blank pages are dropped, so blank pages leave gaps. Every row keeps its place:
+    null sources are one document, null keys come first, equal keys follow the order of their texts' hash.
     """
     if page_mark is not None:
         exploded = pages.select(
@@ -57,9 +58,9 @@ def page_table(pages: DataFrame, text_col: str = "text", source_col: str = "sour
     else:
         from ragloom.operators.ranking import row_number_in_groups
 
-        # only keys are sorted and numbered; the texts join them, and a caller that needs no text moves none
-        keys = row_number_in_groups(pages.select(source_col, order_col), source_col, order_col, out="page_number")
-        numbered = pages.join(keys, [source_col, order_col])
+        # the rows themselves are numbered, so null sources and keys stay and equal keys have a number each
+        numbered = row_number_in_groups(pages.withColumn("_tie", F.xxhash64(text_col)), source_col, [order_col, "_tie"],
+                                        out="page_number").drop("_tie")
         if source_col != "source":
             numbered = numbered.withColumnRenamed(source_col, "source")
         if text_col != "text":

@@ -99,3 +99,25 @@ def test_fuse_full_outer_and_threshold(spark):
     assert got == {10: (4.0, 0.0, 1.2), 11: (0.1, 0.9, 0.93), 12: (0.0, 0.95, 0.95)}
     kept = fusion.fuse(lex, sem).where(F.col("final_rank") > 0.92)
     assert {r.chunk_id for r in kept.collect()} == {10, 11, 12}
+
+
+def test_ann_recall_floor_and_exact_mode(spark):
+    import numpy as np
+
+    from ragloom.operators import ann, vector_search
+
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(12, 8)) * 3
+    x = np.concatenate([m + rng.normal(size=(60, 8)) for m in middles])
+    ch = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)] + [(9000, None), (9001, [0.0] * 8)],
+                               "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x[::15] + 0.1)], "query_id long, query_vec array<double>")
+    index, centers = ann.build_ivf(ch)
+    index = ann.store_index(index)
+    for k in (5, 100, 800):
+        exact = vector_search.semantic_topk(ch, q, k, dim=8)
+        key = lambda d: sorted((r.query_id, r["rank"], r.chunk_id, r.rank_semantic) for r in d.collect())
+        assert key(ann.ann_topk(index, centers, q, k, n_probe=2, radius=ann.radii(index, len(centers)))) == key(exact)
+        n = ann.probes_for(index, centers, exact, q, 0.9)
+        got = ann.recall_vs_exact(ann.ann_topk(index, centers, q, k, n_probe=n), exact).first()
+        assert got.recall >= 0.9 and (n < len(centers) or k > 5)

@@ -33,6 +33,14 @@ def test_form_feed_pages_keep_gaps(spark):
     assert [(r.page_number, r.text) for r in rows] == [(1, "one"), (2, "three   "), (4, "four")]
 
 
+def test_pages_with_null_and_repeated_keys_all_stay(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 1, "y"), ("a", None, "first"), ("a", 2, " "), ("a", 3, "last"), (None, 1, "n1"), (None, None, "n0")]
+    got = page_table(spark.createDataFrame(rows, "source string, k int, text string").repartition(3), order_col="k").collect()
+    assert sorted((r.source or "", r.page_number) for r in got) == [("", 1), ("", 2), *[("a", i) for i in (1, 2, 3, 4, 6)]]
+    by = {(r.source, r.page_number): r.text for r in got}
+    assert by["a", 1] == "first" and by["a", 6] == "last" and by[None, 1] == "n0" and sorted(by["a", i] for i in (2, 3, 4)) == ["x", "y", "y"]
+
+
 def test_load_qa_requires_columns(spark):
     with pytest.raises(ValueError):
         load_qa(spark.createDataFrame([("q",)], "QUERY string"))
