@@ -7,6 +7,8 @@ filtered by an anti-join on that key, so a file is never loaded twice.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -62,9 +64,19 @@ def chunk_rows(chunks: DataFrame, strategy: str, language_col: str = "language")
     )
 
 
-def write_chunks(rows: DataFrame, path: str, reset: bool) -> None:
-    """``reset`` replaces the rows of the strategies that ``rows`` holds (option 'Y'), and of no
-    other one; otherwise rows are appended ('N')."""
+def write_chunks(rows: DataFrame, path: str, reset: bool, strategy: str | None = None) -> None:
+    """``reset`` replaces rows (option 'Y'); otherwise rows are appended ('N').
+
+    With ``strategy`` exactly that strategy's rows are replaced, also by none where ``rows`` has none of it;
+    without it, those of the strategies that ``rows`` holds. No other strategy is touched."""
+    if strategy is not None:
+        if not re.fullmatch(r"[\w.-]+", strategy):
+            raise ValueError("a strategy's name has letters, digits, points, hyphens and underscores only")
+        rows = rows.where(F.col("strategy") == strategy)
+    if reset and strategy is not None:
+        # the partition's folder itself, which an empty write empties too
+        rows.drop("strategy").write.mode("overwrite").parquet(f"{path}/strategy={strategy}")
+        return
     w = rows.write.partitionBy("strategy").mode("overwrite" if reset else "append")
     (w.option("partitionOverwriteMode", "dynamic") if reset else w).parquet(path)
 
@@ -73,30 +85,36 @@ def file_keys(files: DataFrame, name_col: str = "file_name") -> DataFrame:
     return files.withColumn("hash_value", T.file_hash(F.col(name_col)))
 
 
-def already_loaded(files: DataFrame, table: DataFrame, name_col: str = "file_name") -> DataFrame:
-    """Every file of the batch with ``loaded`` = its cleaned-name hash is in the table."""
-    keys = table.select("hash_value").distinct().withColumn("loaded", F.lit(True))
+def _of(table: DataFrame, strategy: str | None) -> DataFrame:
+    return table if strategy is None else table.where(F.col("strategy") == strategy)
+
+
+def already_loaded(files: DataFrame, table: DataFrame, name_col: str = "file_name", strategy: str | None = None) -> DataFrame:
+    """Every file of the batch with ``loaded`` = its cleaned-name hash is in the table, under
+    ``strategy`` if one is given (its partition alone is read)."""
+    keys = _of(table, strategy).select("hash_value").distinct().withColumn("loaded", F.lit(True))
     return file_keys(files, name_col).join(keys, "hash_value", "left").select(
         *files.columns, "hash_value", F.coalesce("loaded", F.lit(False)).alias("loaded"))
 
 
-def new_files_only(files: DataFrame, table: DataFrame, name_col: str = "file_name") -> DataFrame:
-    """Files of the batch whose hash is not in the table, one per hash
+def new_files_only(files: DataFrame, table: DataFrame, name_col: str = "file_name", strategy: str | None = None) -> DataFrame:
+    """Files of the batch whose hash is not in the table (under ``strategy``, if given), one per hash
     (the smallest name when several names clean to the same text)."""
-    fresh = file_keys(files, name_col).join(table.select("hash_value"), "hash_value", "left_anti")
+    fresh = file_keys(files, name_col).join(_of(table, strategy).select("hash_value"), "hash_value", "left_anti")
     return fresh.groupBy("hash_value").agg(F.min(name_col).alias(name_col))
 
 
-def ingest_report(files: DataFrame, table: DataFrame, name_col: str = "file_name") -> DataFrame:
+def ingest_report(files: DataFrame, table: DataFrame, name_col: str = "file_name", strategy: str | None = None) -> DataFrame:
     """Processed, rejected and failed files of a batch: ``(status, n_files)``; the names by
     status are the rows of ``file_status``."""
-    return file_status(files, table, name_col).groupBy("status").agg(F.count(F.lit(1)).alias("n_files"))
+    return file_status(files, table, name_col, strategy=strategy).groupBy("status").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def file_status(files: DataFrame, table: DataFrame, name_col: str = "file_name", failed: DataFrame | None = None) -> DataFrame:
-    """One row per file: its name and status, ``rejected`` (already in the table), ``failed`` (its
+def file_status(files: DataFrame, table: DataFrame, name_col: str = "file_name", failed: DataFrame | None = None,
+                strategy: str | None = None) -> DataFrame:
+    """One row per file: its name and status, ``rejected`` (already in the table, under ``strategy`` if given), ``failed`` (its
     name is in ``failed``) or ``processed``."""
-    flagged = already_loaded(files, table, name_col)
+    flagged = already_loaded(files, table, name_col, strategy)
     bad = (failed.select(F.col(name_col)).distinct() if failed is not None else files.select(name_col).limit(0)).withColumn("_bad", F.lit(True))
     status = F.when(F.col("loaded"), "rejected").when(F.col("_bad"), "failed").otherwise("processed")
     return flagged.join(bad, name_col, "left").select(name_col, status.alias("status"))
@@ -113,7 +131,7 @@ def write_clustered(rows: DataFrame, path: str, strategy: str) -> None:
     """Replace the strategy's rows of the clustered table at ``path`` by chunk rows with cluster_id,
     cluster_embedding and combined_embedding."""
     rows = rows.withColumn("strategy", F.lit(strategy))
-    write_chunks(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CLUSTERED_SCHEMA.fields]), path, reset=True)
+    write_chunks(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CLUSTERED_SCHEMA.fields]), path, reset=True, strategy=strategy)
 
 
 def embeddings_by_source(table: DataFrame, dim: int) -> DataFrame:

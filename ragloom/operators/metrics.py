@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -139,6 +141,47 @@ def rouge_n(pairs: DataFrame, orders=(1, 2)) -> DataFrame:
     return f.groupBy("qid").agg(*[F.max(F.when(F.col("n") == n, F.col("f"))).alias(f"rouge{n}_f1") for n in orders])
 
 
+_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
+            0.9994058151824183, 0.999916758850712, 0.9999897508033253)  # the Poisson(1) distribution function at 0 to 7
+
+
+def resampled_weight(row, replicate) -> Column:
+    """How often a row is drawn in a replicate: Poisson(1) from a hash of both, the same wherever it is computed."""
+    h = F.substring(F.md5(F.concat_ws(":", row.cast("string"), replicate.cast("string")).cast("binary")), 1, 8)
+    u = F.conv(h, 16, 10).cast("double") / F.lit(4294967296.0)
+    return sum(F.when(u >= p, F.lit(1.0)).otherwise(F.lit(0.0)) for p in _POISSON)
+
+
+def resampled(scores: DataFrame, id_col: str, columns: list[str], replicates: int = 200, level: float = 0.95) -> DataFrame:
+    """Poisson bootstrap of the columns' means in one aggregate, without copies of rows: every row adds one vector
+    of its weights and weighted scores, summed map-side. ``(measure, low, mid, high)``: the replicates' means at the
+    two ends of ``level`` and at the half, by rank. Replicates that draw no row are left out; null scores
+    count as 0; an empty table has null bounds."""
+    weights = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: resampled_weight(F.col(id_col), r))
+    s = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+    held = scores.select(weights.alias("w"), *[v.alias(f"s{i}") for i, v in enumerate(s)])
+    none = scores.sparkSession.range(1).select(F.array_repeat(F.lit(0.0), replicates).alias("w"), *[F.lit(0.0).alias(f"s{i}") for i in range(len(s))])
+    held = held.unionByName(none)  # a sum of no vectors is an error
+    times = lambda score: F.transform("w", lambda x: x * F.col(score))
+    parts = F.concat("w", *[times(f"s{i}") for i in range(len(columns))])
+    total = held.select(array_to_vector(parts).alias("x")).agg(vector_to_array(Summarizer.sum(F.col("x"))).alias("t"))
+    out = []
+    for i, c in enumerate(columns):
+        mine = F.slice("t", replicates * (i + 1) + 1, replicates)
+        means = F.filter(F.zip_with(mine, F.slice("t", 1, replicates), lambda a, w: F.when(w > 0, a / w)), lambda m: m.isNotNull())
+        means = F.array_sort(means)
+        place = lambda q: F.try_element_at(means, F.greatest(F.lit(1), F.ceil(F.size(means) * F.lit(q))).cast("int"))
+        out.append(F.struct(F.lit(c).alias("measure"), place(round((1 - level) / 2, 9)).alias("low"), place(0.5).alias("mid"),
+                            place(round((1 + level) / 2, 9)).alias("high")))
+    return total.select(F.inline(F.array(*out)))
+
+
+def rouge_resampled(pairs: DataFrame, replicates: int = 200, level: float = 0.95) -> DataFrame:
+    """L2 as the scoring library reports it by default: bounds and middle of the resampled mean ROUGE-1/2/L."""
+    scores = rouge_n(pairs).join(rouge_l(pairs), "qid")
+    return resampled(scores, "qid", ["rouge1_f1", "rouge2_f1", "rougeL_f1"], replicates, level)
+
+
 def _lcs(a: list, b: list) -> int:
     if not a or not b:
         return 0

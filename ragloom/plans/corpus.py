@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ragloom import constants as C
@@ -10,6 +12,7 @@ from ragloom.functions import vectors as V
 from ragloom.operators import ingest, langdetect, sizing, stopwords
 from ragloom.plans.common import r6, r6_sql, register
 from ragloom.plans.detect import detect_ctes
+from ragloom.session import scratch_path
 from ragloom.sources import fixtures as X
 from ragloom.sources.tables import read_table
 
@@ -49,6 +52,18 @@ def q_chunk_table(spark, sf):
     return _loaded_table(spark, sf, X.file_names(spark, sf)).drop("embedding")
 
 
+def q_reset_append(spark, sf):
+    """Two strategies: one loaded, appended and reset, the other loaded, appended and reset without rows; a third stays."""
+    rows = sizing.materialize(_loaded_table(spark, sf, X.file_names(spark, sf)).drop("strategy"))
+    of = lambda name: rows.withColumn("strategy", F.lit(name))
+    path = scratch_path(spark, f"reset/{uuid.uuid4().hex}")
+    for name, reset in (("first", True), ("second", False), ("third", False), ("first", False), ("second", False), ("third", False), ("first", True)):
+        ingest.write_chunks(of(name), path, reset, strategy=name)
+    ingest.write_chunks(of("second").limit(0), path, True, strategy="second")
+    table = spark.read.schema(ingest.CHUNK_SCHEMA).parquet(path)
+    return table.groupBy("strategy", "hash_value").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("chunk_id").alias("n_chunks"))
+
+
 def q_vectors_by_source(spark, sf):
     v = ingest.vectors_by_source(_loaded_table(spark, sf, X.file_names(spark, sf)), dim=64)
     return r6(v.select("source", "chunk_id", F.posexplode("embedding").alias("idx", "value")).select(
@@ -163,6 +178,9 @@ register("vector_codec", q_vector_codec, """
            CAST(CAST(embedding AS VARCHAR) AS FLOAT[]) = embedding AS roundtrip_ok FROM embeddings""")
 register("chunk_table", q_chunk_table, ctes("whole_table") +
          "SELECT chunk_id, content, source, page_number, language, hash_value, strategy FROM whole_table")
+register("reset_append", q_reset_append, ctes("whole_table") + """
+    SELECT s AS strategy, hash_value, count(*) * n AS n_rows, count(DISTINCT chunk_id) AS n_chunks
+    FROM whole_table, (VALUES ('first', 1), ('third', 2)) v(s, n) GROUP BY s, n, hash_value""")
 register("vectors_by_source", q_vectors_by_source, ctes("whole_table") + f"""
     SELECT source, chunk_id, CAST(i - 1 AS BIGINT) AS idx, {r6_sql('CAST(embedding[i] AS DOUBLE)')} AS value
     FROM (SELECT source, chunk_id, embedding, generate_subscripts(embedding, 1) AS i FROM whole_table WHERE embedding IS NOT NULL)""")

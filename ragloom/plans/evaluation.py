@@ -34,6 +34,10 @@ def q_rouge_l(spark, sf):
     return r6(M.rouge_l(_pairs(spark, sf)), "rougeL_f1")
 
 
+def q_rouge_resampled(spark, sf):
+    return r6(M.rouge_resampled(_pairs(spark, sf)), "low", "mid", "high")
+
+
 def q_greedy_match_score(spark, sf):
     return r6(M.greedy_match_score(_pairs(spark, sf)), "greedy_precision", "greedy_recall", "greedy_f1")
 
@@ -189,6 +193,17 @@ register("bleu", q_bleu, bleu_sql())
 register("rouge_n", q_rouge_n, X.with_ctes("predictions") + f"""
     SELECT qid, {r6_sql('rouge1_f1')} AS rouge1_f1, {r6_sql('rouge2_f1')} AS rouge2_f1 FROM ({rouge_sql()})""")
 register("rouge_l", q_rouge_l, rouge_l_sql())
+_WEIGHT = "(" + " + ".join(f"CAST(u >= {p!r} AS INTEGER)" for p in M._POISSON) + ")"
+register("rouge_resampled", q_rouge_resampled, X.with_ctes("predictions") + f"""
+    SELECT measure, {r6_sql("m[greatest(1, CAST(ceil(len(m) * 0.025) AS BIGINT))]")} AS low,
+           {r6_sql("m[greatest(1, CAST(ceil(len(m) * 0.5) AS BIGINT))]")} AS mid,
+           {r6_sql("m[greatest(1, CAST(ceil(len(m) * 0.975) AS BIGINT))]")} AS high
+    FROM (SELECT measure, list(mean ORDER BY mean) AS m FROM (
+      SELECT measure, r, sum({_WEIGHT} * f) / sum({_WEIGHT}) AS mean FROM (
+        SELECT s.*, r, CAST(('0x' || substr(md5(s.qid || ':' || r), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM (
+          SELECT a.qid, unnest(['rouge1_f1', 'rouge2_f1', 'rougeL_f1']) AS measure, unnest([a.rouge1_f1, a.rouge2_f1, l.rougeL_f1]) AS f
+          FROM ({rouge_sql()}) a JOIN ({rouge_l_sql(False)}) l ON l.qid = a.qid) s, range(1, 201) t(r))
+      GROUP BY measure, r HAVING sum({_WEIGHT}) > 0) GROUP BY measure)""")
 register("greedy_match_score", q_greedy_match_score, X.with_ctes("predictions") + greedy_sql())
 register("recall_at_k", q_recall_at_k, rctes("flagged", "n_rel") + f"""
     SELECT CAST({K_RECALL} AS BIGINT) AS k, {r6_sql('avg(recall)')} AS recall, count(*) AS n_queries FROM (

@@ -83,3 +83,17 @@ def test_bleu_rouge_against_python(spark):
 def test_lcs_dynamic_program():
     assert M._lcs(list("ABCBDAB"), list("BDCABA")) == 4
     assert M._lcs([], ["a"]) == 0
+
+
+def test_resampled_means_equal_plain_poisson_draws(spark):
+    import hashlib
+
+    rows = [(i, (i * 37 % 11) / 10, None if i == 3 else 0.5) for i in range(40)]
+    got = {r.measure: (r.low, r.mid, r.high) for r in M.resampled(
+        spark.createDataFrame(rows, "qid long, a double, b double").repartition(3), "qid", ["a", "b"], replicates=50).collect()}
+    draw = lambda i, r: sum(int(hashlib.md5(f"{i}:{r}".encode()).hexdigest()[:8], 16) / 2**32 >= p for p in M._POISSON)
+    for name, column in (("a", 1), ("b", 2)):
+        means = sorted(sum(draw(x[0], r) * (x[column] or 0) for x in rows) / sum(draw(x[0], r) for x in rows) for r in range(1, 51))
+        assert all(abs(v - means[at]) < 1e-9 for v, at in zip(got[name], (1, 24, 48), strict=True))
+    none = M.resampled(spark.createDataFrame([], "qid long, a double"), "qid", ["a"], replicates=5).collect()
+    assert [(r.measure, r.low, r.mid, r.high) for r in none] == [("a", None, None, None)]

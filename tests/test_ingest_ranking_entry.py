@@ -3,9 +3,11 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ragloom.functions import text as T
 from ragloom.operators import ingest
 from ragloom.operators.ranking import row_number_in_groups
 
@@ -74,3 +76,23 @@ def test_entry_and_registry(spark):
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
     assert {"query_id", "rank", "chunk_id", "final_rank"} <= set(df.columns)
+
+
+def test_reset_by_name_and_checks_by_strategy(spark, tmp_path):
+    path = str(tmp_path / "t")
+    row = lambda i, s: (i, "x", None, f"f{i}.pdf", 1, "English", ingest_hash(i), s)
+    ingest_hash = lambda i: spark.range(1).select(T.file_hash(F.lit(f"f{i}.pdf"))).first()[0]
+    table = lambda rows: spark.createDataFrame(rows, ingest.CHUNK_SCHEMA)
+    ingest.write_chunks(table([row(1, "a"), row(2, "b")]), path, False)
+    ingest.write_chunks(table([row(3, "a"), row(4, "b")]), path, True, strategy="a")
+    read = lambda: spark.read.schema(ingest.CHUNK_SCHEMA).parquet(path)
+    assert sorted((r.chunk_id, r.strategy) for r in read().collect()) == [(2, "b"), (3, "a")]
+    files = spark.createDataFrame([("f2.pdf",), ("f3.pdf",)], "file_name string")
+    loaded = lambda s: {r.file_name: r.loaded for r in ingest.already_loaded(files, read(), strategy=s).collect()}
+    assert loaded(None) == {"f2.pdf": True, "f3.pdf": True} and loaded("a") == {"f2.pdf": False, "f3.pdf": True}
+    assert [r.file_name for r in ingest.new_files_only(files, read(), strategy="b").collect()] == ["f3.pdf"]
+    assert {r.status: r.n_files for r in ingest.ingest_report(files, read(), strategy="c").collect()} == {"processed": 2}
+    ingest.write_chunks(table([]), path, True, strategy="b")
+    assert [(r.chunk_id, r.strategy) for r in read().collect()] == [(3, "a")]
+    with pytest.raises(ValueError):
+        ingest.write_chunks(table([]), path, True, strategy="../b")
