@@ -86,6 +86,19 @@ class Model:
         return score
 
 
+def risk_slopes(z: np.ndarray, is_pos: np.ndarray, prior: float) -> np.ndarray:
+    """The slope of the risk at each row's score ``z``; that of the corrected part reversed where it is negative."""
+    n_pos, n_unl = int(is_pos.sum()), int((~is_pos).sum())
+    s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    # logistic losses; their slopes: as positive s - 1, as negative s
+    loss = np.logaddexp(0, z)
+    negative = loss[~is_pos].mean() - prior * loss[is_pos].mean()
+    to_negative = np.where(is_pos, -prior / n_pos, 1 / max(1, n_unl)) * s
+    if negative >= 0:
+        return np.where(is_pos, prior / n_pos, 0) * (s - 1) + to_negative
+    return -to_negative
+
+
 def _fit_one(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, seed: int):
     """Weights and bias of one scorer by Adam on the non-negative risk."""
     rng = np.random.default_rng(seed)
@@ -103,15 +116,7 @@ def _fit_one(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prio
             at = np.concatenate([rows[i] for i in batch]) if sizes.sum() else np.zeros(0, np.int32)
             owner = np.repeat(np.arange(len(batch)), sizes)
             z = np.bincount(owner, w[at], len(batch)) + b
-            s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            # logistic losses; their slopes: as positive s - 1, as negative s
-            loss = np.logaddexp(0, z)
-            negative = loss[~is_pos].mean() - prior * loss[is_pos].mean()
-            to_negative = np.where(is_pos, -prior / len(pb), 1 / max(1, len(ub))) * s
-            if negative >= 0:
-                g = np.where(is_pos, prior / len(pb), 0) * (s - 1) + to_negative
-            else:
-                g = -to_negative
+            g = risk_slopes(z, is_pos, prior)
             step += 1
             gw = np.bincount(at, np.repeat(g, sizes), n_features) + DECAY * w
             gb = g.sum()

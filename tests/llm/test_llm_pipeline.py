@@ -62,6 +62,32 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     assert key(whole) == key(left["best_fit_packing"])
 
 
+def test_stages_on_nulls_empty_long_and_repeated_rows(spark, tmp_path):
+    tables(spark, str(tmp_path), 120)
+    long_ = " ".join(f"l{i}" for i in range(30000))
+    rows = [(1000, None, "en", "s", 0, 1), (1001, "", "en", "s", 0, 2), (None, "a text whose id is null and more", None, None, None, 3),
+            (1002, long_, "en", "s", 1, 4), (1003, "one row that comes twice here", "en", "s", 5, 5), (1003, "one row that comes twice here", "en", "s", 5, 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _score long"
+    docs = spark.createDataFrame(rows, schema).unionByName(
+        spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "0L AS _score"))
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/edge-{name}")
+        docs = spark.read.parquet(f"{tmp_path}/edge-{name}")
+        seen[name] = [r.doc_id for r in docs.select("doc_id").collect()]
+        if name != "best_fit_packing":
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "_score"]
+    assert seen["toxicity"].count(1003) == 2 and {1000, 1001, 1002, None} <= set(seen["toxicity"])
+    near = seen["simhash_near_dedup"]
+    assert near.count(1003) == 1 and near.count(1000) == 1 and 1001 not in near and {None, 1002} <= set(near)  # no words: one group
+    assert seen["benchmark_decontamination"].count(1000) == seen["pii"].count(1000) == seen["best_fit_packing"].count(1000) == 1
+    assert seen["best_fit_packing"].count(1002) > 10  # cut into pieces
+    empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
 def test_held_out_toxicity_on_the_given_tables(spark):
     rows = entry.queries()["op9_toxicity"](spark, "/root/testdata/sf0.1").join(
         spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").select("doc_id", "toxic", "score").collect()
@@ -74,5 +100,5 @@ def test_held_out_toxicity_on_the_given_tables(spark):
 
 def test_all_operators_are_registered():
     names = set(entry.queries())
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert len(corpus_pipeline.STAGES) == 5

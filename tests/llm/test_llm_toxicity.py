@@ -53,3 +53,29 @@ def test_nothing_to_learn(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(docs, toxicity.train(docs, labels)).collect()[0].score == 0.0
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
+
+
+def test_risk_slopes_equal_differences():
+    """Against numerical slopes of the risk, and of the corrected part's negative where that part is below zero."""
+    rng = np.random.default_rng(3)
+    is_pos = np.arange(40) < 10
+    reversed_ = 0
+    for prior, shift in ((0.2, 0.0), (0.6, 0.0), (0.5, 6.0), (0.3, -4.0)):
+        z = rng.normal(size=40) + np.where(is_pos, shift, -shift)
+
+        def parts(z):
+            positive = prior * np.logaddexp(0, -z[is_pos]).mean()
+            return positive, np.logaddexp(0, z[~is_pos]).mean() - prior * np.logaddexp(0, z[is_pos]).mean()
+
+        below = parts(z)[1] < 0
+        reversed_ += below
+        risk = (lambda z: -parts(z)[1]) if below else (lambda z: sum(parts(z)))
+        step = np.eye(40) * 1e-6
+        assert np.allclose(toxicity.risk_slopes(z, is_pos, prior), [(risk(z + e) - risk(z - e)) / 2e-6 for e in step], atol=1e-6)
+    assert 0 < reversed_ < 4
+
+
+def test_a_prior_of_one_half_without_features_drops_nothing(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "c d", None, "", "e f", "g h"])], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (4, 1), (5, 0)], "doc_id long, toxic int")
+    assert toxicity.drop_toxic(docs, labels).count() == 6
