@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ragloom import constants as C
 from ragloom.functions.numeric import round_half_up
-from ragloom.operators import sizing
+from ragloom.operators import sizing, text_index
 from ragloom.operators.lexical import RANK_DIGITS, lexical_topk, top_k
 from ragloom.operators.vector_search import semantic_topk, vector_width
 
@@ -45,12 +45,13 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, *, k_lex: int = C.LEXIC
                   k_sem: int = C.SEMANTIC_CANDIDATES, w_lex: float = C.LEXICAL_WEIGHT,
                   w_sem: float = C.SEMANTIC_WEIGHT, threshold: float = C.SCORE_THRESHOLD,
                   k: int = C.FUSED_TOP, dim: int | None = None, with_content: bool = True,
-                  materialize_queries: bool = True, **kw) -> DataFrame:
+                  materialize_queries: bool = True, index: DataFrame | None = None, **kw) -> DataFrame:
     """H6: lexical top-``k_lex`` and semantic top-``k_sem`` per query, fused, kept when
     ``final_rank > threshold``, best ``k`` per query.
 
     ``chunks``: chunk_id, source, page_number, content, embedding.
     ``queries``: query_id, query_text, query_vec.
+    ``index``: the chunks' stored text index (``text_index``); with it the lexical side reads no chunk text.
     Returns query_id, rank, chunk_id, source, page_number, [content,] rank_bm25,
     rank_semantic, final_rank.
     """
@@ -59,7 +60,10 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, *, k_lex: int = C.LEXIC
         queries = sizing.materialize(queries.select(*qcols))
     n_q = queries.count()
     dim = dim or vector_width(queries, "query_vec")
-    lex = lexical_topk(chunks, queries, k_lex, **kw)
+    if index is not None:
+        lex = text_index.lexical_topk(index, queries, k_lex, **{n: v for n, v in kw.items() if n != "config_col"})
+    else:
+        lex = lexical_topk(chunks, queries, k_lex, **kw)
     sem = semantic_topk(chunks, queries, k_sem, dim=dim, n_queries=n_q)
     fused = fuse(lex, sem, w_lex, w_sem).where(F.col("final_rank") > F.lit(threshold))
     best = top_k(fused, k, "final_rank")

@@ -189,18 +189,24 @@ def lexical_scan(chunks: DataFrame, qlex: DataFrame, config_col: str | None = No
     cols = [F.col("chunk_id").cast("long").alias("chunk_id"), T.tokens("content", fold_accents=fold_accents).alias("toks")]
     if config_col:
         cols.append(F.col(config_col).alias("config"))
-    out = chunks.select(*cols).mapInPandas(_scan_chunks(bc), "query_id long, chunk_id long, score double")
+    out = chunks.where(F.col("content").isNotNull()).select(*cols).mapInPandas(_scan_chunks(bc), "query_id long, chunk_id long, score double")
     return out.select("query_id", "chunk_id", round_half_up("score", RANK_DIGITS).alias("rank_bm25"))
 
 
-def query_lexemes_config(queries: DataFrame, text_col: str = "query_text", config_col: str = "config") -> DataFrame:
-    """F3 + F7: query lexemes with the stop words of the query's own configuration removed."""
+def query_lexemes_config(queries: DataFrame, text_col: str = "query_text", config_col: str = "config",
+                         stems: DataFrame | None = None) -> DataFrame:
+    """F3 + F7: query lexemes with the stop words of the query's own configuration removed, and replaced by
+    their ``stems``, if given: a table that holds the queries' tokens too."""
     from ragloom.operators import stopwords
 
     toks = queries.select("query_id", F.col(config_col).alias("config"),
                           F.posexplode(T.tokens(T.py_strip(text_col), fold_accents=False)).alias("p", "tok"))
     sw = F.broadcast(stopwords.stop_table(queries.sparkSession))  # fixed dictionary, a few thousand words
     kept = toks.join(sw, ["config", "tok"], "left_anti")
+    if stems is not None:
+        from ragloom.operators import stemming
+
+        kept = stemming.apply(kept, stems)
     lex = kept.groupBy("query_id").agg(
         F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("p", "tok"))), lambda x: x["tok"]))
         .alias("lex"))

@@ -27,6 +27,15 @@ def fits_broadcast(df: DataFrame, row_bytes: int, limit: int | None = None, n_ro
     return n * row_bytes <= broadcast_limit(df, limit)
 
 
+def measured_bytes(df: DataFrame, *text_cols: str) -> int:
+    """Rows times 16 bytes for each column, plus the length of the texts; one job."""
+    from pyspark.sql import functions as F
+
+    texts = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text_cols), F.lit(0))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(texts).alias("b")).first()
+    return row.n * 16 * len(df.columns) + (row.b or 0)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage by writing the rows as parquet under the session's checkpoint folder
     and reading them back: later scans prune columns and push filters like any stored

@@ -3,7 +3,7 @@
 The word lists are files of this package (``data/stopwords``, one per configuration, the ones
 Spark ML ships for ``StopWordsRemover``), so Spark and the SQL twins use the same lists whatever
 the installation. Configurations without a list (``simple``, or a language Spark has no list
-for) remove nothing. No stemming is applied (README: deviations).
+for) remove nothing. Stems are a dictionary made by ``stemming``.
 """
 
 from __future__ import annotations
@@ -34,16 +34,22 @@ def stop_table(spark) -> DataFrame:
 
 
 def config_postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content",
-                    config_col: str = "config", fold_accents: bool = True) -> DataFrame:
+                    config_col: str = "config", fold_accents: bool = True, stems: DataFrame | None = None) -> DataFrame:
     """Postings ``(chunk_id, pos, tok)`` of (by default accent-folded) content, stop words of each
-    chunk's configuration removed after numbering (they keep their positions)."""
+    chunk's configuration removed after numbering (they keep their positions). With ``stems`` (a
+    ``(config, tok, stem)`` table, see ``stemming``) the other tokens are replaced by their stems."""
     p = chunks.select(
         F.col(id_col).alias("chunk_id"), F.col(config_col).alias("config"),
         F.posexplode(T.tokens(text_col, fold_accents=fold_accents)).alias("pos", "tok"),
     ).select("chunk_id", "config", (F.col("pos") + 1).cast("long").alias("pos"), "tok")
     # the stop table is a fixed dictionary (a few thousand words), so broadcasting it is bounded
     sw = F.broadcast(stop_table(chunks.sparkSession))
-    return p.join(sw, ["config", "tok"], "left_anti").select("chunk_id", "pos", "tok")
+    p = p.join(sw, ["config", "tok"], "left_anti")
+    if stems is not None:
+        from ragloom.operators import stemming
+
+        p = stemming.apply(p, stems)
+    return p.select("chunk_id", "pos", "tok")
 
 
 def stop_values_sql() -> str:
@@ -52,12 +58,17 @@ def stop_values_sql() -> str:
     return "(" + " UNION ALL ".join(parts) + ")"
 
 
-def config_postings_sql(chunks_view: str) -> str:
+def config_postings_sql(chunks_view: str, stems: bool = False) -> str:
     cfg = T.language_config_sql("language")
-    return f"""
-        SELECT p.chunk_id, p.pos, p.tok FROM (
+    kept = f"""(
+        SELECT p.chunk_id, p.config, p.pos, p.tok FROM (
           SELECT chunk_id, config, unnest(tk) AS tok, generate_subscripts(tk, 1) AS pos
           FROM (SELECT chunk_id, {cfg} AS config, {T.tokens_sql('content', True)} AS tk FROM {chunks_view})
         ) p
         LEFT JOIN {stop_values_sql()} sw ON sw.config = p.config AND sw.tok = p.tok
-        WHERE sw.tok IS NULL"""
+        WHERE sw.tok IS NULL)"""
+    if stems:
+        from ragloom.operators import stemming
+
+        kept = stemming.stem_table_sql(kept)
+    return f"SELECT chunk_id, pos, tok FROM {kept}"

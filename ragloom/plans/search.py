@@ -8,7 +8,7 @@ from ragloom import constants as C
 from ragloom.functions import text as T
 from ragloom.functions import vectors as V
 from ragloom.functions.numeric import round_half_up as rhu, round_half_up_sql as rhu_sql
-from ragloom.operators import fusion, langdetect, lexical, sizing, vector_search
+from ragloom.operators import fusion, langdetect, lexical, sizing, stemming, stopwords, text_index, vector_search
 from ragloom.plans.common import r6, r6_sql, register
 from ragloom.plans.detect import detect_ctes
 from ragloom.sources import fixtures as X
@@ -137,6 +137,24 @@ def q_hybrid_full_outer_content(spark, sf_dir):
     return r6(fused.withColumn("content", F.md5("content")), "rank_bm25", "rank_semantic", "final_rank")
 
 
+def q_index_lexical_match(spark, sf_dir):
+    """From the stored index, as ``cover_density_rank``."""
+    ch, q = _inputs(spark, sf_dir)
+    return r6(text_index.lexical_match(text_index.build(ch), q), "rank_bm25")
+
+
+def q_index_lexical_topk(spark, sf_dir):
+    """From the stored index, blocks that can't reach the top left unread, as ``lexical_topk``."""
+    ch, q = _inputs(spark, sf_dir)
+    return r6(text_index.lexical_topk(text_index.build(ch), q), "rank_bm25")
+
+
+def q_index_hybrid_search(spark, sf_dir):
+    ch, q = _inputs(spark, sf_dir)
+    out = fusion.hybrid_search(ch, q, with_content=False, materialize_queries=False, index=text_index.build(ch))
+    return r6(out, "rank_bm25", "rank_semantic", "final_rank")
+
+
 def _consecutive_pairs(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     a, b = e.alias("a"), e.alias("b")
@@ -164,6 +182,11 @@ register("cover_density_rank", q_cover_density_rank,
          ctes("lex_rank") + f"SELECT query_id, chunk_id, {r6_sql('rank_bm25')} AS rank_bm25 FROM lex_rank")
 register("lexical_topk", q_lexical_topk,
          ctes("lex_top") + f"SELECT query_id, chunk_id, {r6_sql('rank_bm25')} AS rank_bm25, rank FROM lex_top")
+register("index_lexical_match", q_index_lexical_match,
+         ctes("lex_rank") + f"SELECT query_id, chunk_id, {r6_sql('rank_bm25')} AS rank_bm25 FROM lex_rank")
+register("index_lexical_topk", q_index_lexical_topk,
+         ctes("lex_top") + f"SELECT query_id, chunk_id, {r6_sql('rank_bm25')} AS rank_bm25, rank FROM lex_top")
+register("index_hybrid_search", q_index_hybrid_search, hybrid_sql(C.SCORE_THRESHOLD))
 register("semantic_topk", q_semantic_topk,
          ctes("sem_top") + f"SELECT query_id, chunk_id, {r6_sql('rank_semantic')} AS rank_semantic, rank FROM sem_top")
 register("hybrid_full_outer", q_hybrid_full_outer, ctes("fused") + f"""
@@ -248,20 +271,39 @@ def q_lexical_match_config(spark, sf):
     return r6(lexical.lexical_match(ch, q, config_col="config", query_config_col="config"), "rank_bm25")
 
 
-def _config_ctes():
-    from ragloom.operators import stopwords
+def _stems(ch, q):
+    """The stems of all tokens of the chunks and the questions."""
+    vocab = stemming.vocabulary(ch, "content").union(stemming.vocabulary(q, "query_text", fold_accents=False)).distinct()
+    return stemming.dictionary(vocab)
+
+
+def q_lexical_match_stems(spark, sf):
+    """Matching by stems, from the stored index."""
+    ch, q = _config_inputs(spark, sf)
+    stems = _stems(ch, q)
+    index = text_index.build(ch, config_col="config", stems=stems)
+    return r6(text_index.lexical_match(index, q, query_config_col="config", stems=stems), "rank_bm25")
+
+
+def q_text_vector_stems(spark, sf):
+    ch = sizing.materialize(X.chunks(spark, sf).withColumn("config", T.language_config("language")))
+    return stopwords.config_postings(ch, stems=stemming.dictionary(stemming.vocabulary(ch, "content")))
 
+
+def _config_ctes(stems=False):
     d = dict(SEARCH_CTES)
-    d["postings"] = (("chunks",), stopwords.config_postings_sql("chunks"))
+    d["postings"] = (("chunks",), stopwords.config_postings_sql("chunks", stems))
     d.update(detect_ctes("queries", ("query_id",), "query_text", ("queries",)))
+    kept = f"""(
+        SELECT t.query_id, t.config, t.tok FROM (
+          SELECT q.query_id, {T.language_config_sql('l.lang')} AS config,
+                 unnest({T.tokens_sql(T.py_strip_sql('q.query_text'), False)}) AS tok
+          FROM queries q LEFT JOIN best l ON l.query_id = q.query_id) t
+        LEFT JOIN {stopwords.stop_values_sql()} sw ON sw.config = t.config AND sw.tok = t.tok
+        WHERE sw.tok IS NULL)"""
     d["qlex"] = (("queries", "best"), f"""
         SELECT query_id, len(lx) AS n_lex, unnest(lx) AS tok, generate_subscripts(lx, 1) - 1 AS li FROM (
-          SELECT t.query_id, list(DISTINCT t.tok) AS lx FROM (
-            SELECT q.query_id, {T.language_config_sql('l.lang')} AS config,
-                   unnest({T.tokens_sql(T.py_strip_sql('q.query_text'), False)}) AS tok
-            FROM queries q LEFT JOIN best l ON l.query_id = q.query_id) t
-          LEFT JOIN {stopwords.stop_values_sql()} sw ON sw.config = t.config AND sw.tok = t.tok
-          WHERE sw.tok IS NULL GROUP BY t.query_id)""")
+          SELECT query_id, list(DISTINCT tok) AS lx FROM {stemming.stem_table_sql(kept) if stems else kept} GROUP BY query_id)""")
     return d
 
 
@@ -279,6 +321,9 @@ def _hybrid_config_sql():
 register("hybrid_search_config", q_hybrid_search_config, _hybrid_config_sql())
 register("lexical_match_config", q_lexical_match_config, X.with_ctes("lex_rank", extra=_config_ctes()) +
          f"SELECT query_id, chunk_id, {r6_sql('rank_bm25')} AS rank_bm25 FROM lex_rank")
+register("lexical_match_stems", q_lexical_match_stems, X.with_ctes("lex_rank", extra=_config_ctes(stems=True)) +
+         f"SELECT query_id, chunk_id, {r6_sql('rank_bm25')} AS rank_bm25 FROM lex_rank")
+register("text_vector_stems", q_text_vector_stems, X.with_ctes("chunks") + stopwords.config_postings_sql("chunks", stems=True))
 
 
 # ------------------------------------------------------------------ D2 + H6: free-text questions end to end
