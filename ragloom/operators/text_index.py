@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom import constants as C
+from ragloom.functions import text as T
 from ragloom.functions.numeric import round_half_up
 from ragloom.operators import ingest, lexical, sizing, stopwords
 
@@ -54,6 +55,60 @@ def encode(postings: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
     return rows.select("tok", "block", F.size("b").alias("n_chunks"), F.array_max(width).alias("max_tf"), "id_gap", "pos_gap")
 
 
+def _encode_block(block: int, ids: np.ndarray, toks: list, block_ids: int) -> pd.DataFrame | None:
+    lens = np.array([len(t) for t in toks], dtype=np.int64)
+    if lens.sum() == 0:
+        return None
+    code, words = pd.factorize(np.concatenate([np.asarray(t, dtype=object) for t in toks]))
+    at = np.repeat(ids - block * block_ids, lens)
+    pos = np.concatenate([np.arange(1, n + 1) for n in lens])
+    order = np.lexsort((pos, at, code))
+    code, at, pos = code[order], at[order], pos[order]
+    same = np.r_[False, (code[1:] == code[:-1]) & (at[1:] == at[:-1])]
+    fresh = ~(same & np.r_[False, pos[1:] == pos[:-1]])  # a row that repeats an id and text counts once
+    code, at, pos, same = code[fresh], at[fresh], pos[fresh], same[fresh]
+    word = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    id_gap, pos_gap = np.diff(at, prepend=0), np.where(same, np.diff(pos, prepend=0), pos)
+    id_gap[word] = at[word]
+    begins = np.flatnonzero(~same)
+    tf = np.diff(np.r_[begins, len(pos)])
+    top = np.maximum.reduceat(tf, np.searchsorted(begins, word))
+    n_chunks = np.add.reduceat((~same).astype(np.int64), word)
+    return pd.DataFrame({"tok": words[code[word]], "block": block, "n_chunks": n_chunks, "max_tf": top,
+                         "id_gap": np.split(id_gap.astype(np.int32), word[1:]), "pos_gap": np.split(pos_gap.astype(np.int32), word[1:])})
+
+
+def encode_texts(chunks: DataFrame, block_ids: int = BLOCK_IDS, fold_accents: bool = True) -> DataFrame:
+    """As ``encode``, of whole texts: the texts of a block meet (one exchange, of texts) and a task codes block by block.
+    A block has at most ``block_ids`` different chunk ids."""
+
+    def fn(batches):
+        held, block = [], None
+        for pdf in batches:
+            for b, rows in pdf.groupby("block", sort=False):
+                if b != block and held:
+                    yield from made(block, held)
+                    held = []
+                block = b
+                held.append(rows)
+        if held:
+            yield from made(block, held)
+
+    def made(block, held):
+        rows = pd.concat(held)
+        out = _encode_block(int(block), rows["chunk_id"].to_numpy(), rows["toks"].to_list(), block_ids)
+        if out is not None:
+            yield out
+
+    block = F.expr(f"(chunk_id - pmod(chunk_id, {block_ids})) div {block_ids}")
+    texts = chunks.where("chunk_id is not null and content is not null").select(
+        F.col("chunk_id").cast("long").alias("chunk_id"), "content").withColumn("block", block)
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.repartition(n, "block").sortWithinPartitions("block")
+    return texts.select("chunk_id", "block", T.tokens("content", fold_accents=fold_accents).alias("toks")).mapInPandas(
+        fn, "tok string, block long, n_chunks int, max_tf int, id_gap array<int>, pos_gap array<int>")
+
+
 def write_epoch(chunks: DataFrame, path: str, epoch: str = "0", config_col: str | None = None, fold_accents: bool = True,
                 block_ids: int = BLOCK_IDS, stems: DataFrame | None = None) -> None:
     """Add the chunks ``(chunk_id, content)`` to the index at ``path`` as one epoch, which replaces an earlier
@@ -62,11 +117,12 @@ def write_epoch(chunks: DataFrame, path: str, epoch: str = "0", config_col: str
     if stems is not None and not config_col:
         raise ValueError("stems belong to a configuration: name config_col")
     if config_col:
-        post = stopwords.config_postings(chunks, config_col=config_col, fold_accents=fold_accents, stems=stems)
+        rows = encode(stopwords.config_postings(chunks, config_col=config_col, fold_accents=fold_accents, stems=stems), block_ids)
     else:
-        post = lexical.postings(chunks, fold_accents=fold_accents)
-    rows = encode(post, block_ids).withColumns({"epoch": F.lit(epoch), "bucket": _bucket("tok")})
+        rows = encode_texts(chunks, block_ids, fold_accents)
+    rows = rows.withColumns({"epoch": F.lit(epoch), "bucket": _bucket("tok")})
     # ranges of (bucket, lexeme, block): few files a bucket, and a frequent lexeme's blocks are spread
+    rows = sizing.materialize(rows)  # the ranges are sampled first: read, not coded, twice
     (rows.repartitionByRange("bucket", "tok", "block").sortWithinPartitions("bucket", "tok", "block")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "bucket").parquet(path))
 

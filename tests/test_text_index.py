@@ -51,6 +51,8 @@ def test_index_matches_equal_brute_force_and_the_scan(spark, tmp_path):
         assert far[(0, 9_000_000_000)] == 300.0 and set(far) == {(0, 9_000_000_000), (2, 9_000_000_000), (3, 9_000_000_000)}
         assert {k for k in got if k not in far} == expect.keys()
         assert all(abs(got[k] - v) < 1e-9 for k, v in expect.items())
+    key = lambda d: sorted(tuple(map(str, r)) for r in d.select("tok", "block", "n_chunks", "max_tf", "id_gap", "pos_gap").collect())
+    assert key(text_index.encode_texts(ch, 8)) == key(text_index.encode(lexical.postings(ch), 8)) == key(index)
     scan = lexical.lexical_match(ch.where("chunk_id is not null").distinct(), q)
     cols = ("query_id", "chunk_id", "rank_bm25")
     assert _rows(text_index.lexical_match(index, q, block_ids=8), *cols) == _rows(scan, *cols)
