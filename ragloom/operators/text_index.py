@@ -29,6 +29,7 @@ from ragloom.operators import ingest, lexical, sizing, stopwords
 
 BLOCK_IDS = 256
 BUCKETS = 32
+RUN_BLOCKS = 4096  # blocks of a bucket that are written together
 SCHEMA = "tok string, block long, n_chunks int, max_tf int, id_gap array<int>, pos_gap array<int>, epoch string, bucket int"
 
 
@@ -122,8 +123,10 @@ def write_epoch(chunks: DataFrame, path: str, epoch: str = "0", config_col: str
         rows = encode_texts(chunks, block_ids, fold_accents)
     rows = rows.withColumns({"epoch": F.lit(epoch), "bucket": _bucket("tok")})
     # ranges of (bucket, lexeme, block): few files a bucket, and a frequent lexeme's blocks are spread
-    rows = sizing.materialize(rows)  # the ranges are sampled first: read, not coded, twice
-    (rows.repartitionByRange("bucket", "tok", "block").sortWithinPartitions("bucket", "tok", "block")
+    # one exchange by bucket and run of blocks, without sampling: a frequent lexeme's blocks are spread over the runs
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run = F.floor(F.col("block") / F.lit(RUN_BLOCKS))
+    (rows.repartition(n, "bucket", run).sortWithinPartitions("bucket", "tok", "block")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "bucket").parquet(path))
 
 
