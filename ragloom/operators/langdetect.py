@@ -1,10 +1,11 @@
 """Language detection (B10) as a Spark job: character-trigram naive Bayes.
 
-Train: trigram counts per language from labelled text (explode + groupBy).
-Score: ``score(text, l) = sum_g c_g * ln((n(l, g) + 1) / (T_l + V))`` with add-one
-smoothing, written as ``-N * ln(T_l + V) + sum_{g known to l} c_g * ln(1 + n(l, g))``
-so only grams present in the model are joined. The best language wins (ties by
-code); a text without letters is a detection failure (NULL -> ``simple``).
+A trigram has one of ``SLOTS`` slots, by its code points. Train: slots' counts per language of labelled
+text. Score: ``score(text, l) = sum_g c_g * ln((n(l, slot(g)) + 1) / (T_l + V))`` with add-one
+smoothing, V the slots in use. The model has one row per slot in use with a weight for each language, so it is
+of fixed size whatever the corpus, and is broadcast to the texts: a trigram is scored where its text is read
+and only a text's sums are exchanged, never its trigrams. The best language wins (ties by code); a text
+without letters is a detection failure (NULL -> ``simple``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from ragloom.functions import text as T
 from ragloom.functions.numeric import round_half_up
 
+SLOTS = 1 << 16
+
 
 def words(c) -> Column:
     """Lower-cased runs of letters."""
@@ -34,39 +37,51 @@ def trigrams(word: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, 3))
 
 
-def _grams(df: DataFrame, keep: list, text_col: str) -> DataFrame:
+def slot(gram: str) -> Column:
+    """The slot of a trigram, from its three code points."""
+    at = lambda i: F.ascii(F.substring(gram, i, 1)).cast("long")
+    return ((at(1) * 961 + at(2) * 31 + at(3)) % SLOTS).cast("int")
+
+
+def slot_sql(gram: str) -> str:
+    at = lambda i: f"unicode(substring({gram}, {i}, 1))"
+    return f"(({at(1)} * 961 + {at(2)} * 31 + {at(3)}) % {SLOTS})"
+
+
+def _slots(df: DataFrame, keep: list, text_col: str) -> DataFrame:
     w = df.select(*keep, F.explode(words(text_col)).alias("_w"))
-    return w.select(*keep, F.explode(trigrams("_w")).alias("gram"))
+    return w.select(*keep, F.explode(trigrams("_w")).alias("_gram")).select(*keep, slot("_gram").alias("slot"))
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Model rows ``(lang, gram, w = ln(1 + n), base = ln(T_lang + V))``."""
-    g = _grams(labelled.withColumnRenamed(lang_col, "lang"), ["lang"], text_col)
-    counts = g.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    """Model rows ``(slot, weights)``, at most ``SLOTS``: ``weights`` has for each language with text, by code, a
+    struct ``(lang, w = ln(1 + n), base = ln(T_lang + V))``. Counts are combined before their exchange, which
+    carries at most slots x languages rows a task. Rows without a language are left out."""
+    g = _slots(labelled.where(F.col(lang_col).isNotNull()).withColumnRenamed(lang_col, "lang"), ["lang"], text_col)
+    counts = g.groupBy("lang", "slot").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("t"))
-    vocab = counts.select("gram").distinct().agg(F.count(F.lit(1)).alias("v"))
-    v = vocab.withColumn("_one", F.lit(1))  # one-row aggregate
-    totals = totals.withColumn("_one", F.lit(1)).join(F.broadcast(v), "_one").select(
+    used = counts.select("slot").distinct()
+    bases = totals.crossJoin(F.broadcast(used.agg(F.count(F.lit(1)).alias("v")))).select(  # one row
         "lang", F.log(F.col("t") + F.col("v")).alias("base"))
-    return counts.join(F.broadcast(totals), "lang").select("lang", "gram", F.log(F.col("n") + F.lit(1)).alias("w"), "base")
+    grid = used.crossJoin(F.broadcast(bases))  # one row per language
+    cells = grid.join(counts, ["lang", "slot"], "left").select(
+        "slot", F.struct("lang", F.log(F.coalesce("n", F.lit(0)) + F.lit(1)).alias("w"), "base").alias("c"))
+    return cells.groupBy("slot").agg(F.array_sort(F.collect_list("c")).alias("weights"))
 
 
 def detect(texts: DataFrame, model: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """``(*id_cols, lang)`` for every input row; ``lang`` is NULL when the text has no letters."""
-    bases = model.select("lang", "base").distinct()
-    langs = bases.collect()  # one row per language of the model
-    grams = _grams(texts, list(id_cols), text_col).groupBy(*id_cols, "gram").agg(
-        F.count(F.lit(1)).alias("c"))
-    n = grams.groupBy(*id_cols).agg(F.sum("c").alias("n_grams"))
-    known = grams.join(model.select("lang", "gram", "w"), "gram").groupBy(*id_cols, "lang").agg(
-        F.sum(F.col("c") * F.col("w")).alias("hit"))
-    lang_arr = F.array(*[F.struct(F.lit(r["lang"]).alias("lang"), F.lit(r["base"]).alias("base")) for r in langs])
-    cand = n.select(*id_cols, "n_grams", F.explode(lang_arr).alias("l")).select(
-        *id_cols, "n_grams", F.col("l.lang").alias("lang"), F.col("l.base").alias("base"))
-    scored = cand.join(known, id_cols + ["lang"], "left").select(
-        *id_cols, "lang", (F.coalesce("hit", F.lit(0.0)) - F.col("n_grams") * F.col("base")).alias("score"))
-    best = scored.groupBy(*id_cols).agg(F.max(F.struct(round_half_up("score", 6).alias("s"), "lang")).alias("b"))
-    return texts.select(*id_cols).join(best.select(*id_cols, F.col("b.lang").alias("lang")), id_cols, "left")
+    """``(*id_cols, lang)`` for every input row; ``lang`` is NULL when the text has no letters, or the model is empty."""
+    one = model.select("weights").head()
+    langs = [(c.lang, c.base) for c in one.weights] if one else []  # one per language of the model
+    if not langs:
+        return texts.select(*id_cols, F.lit(None).cast("string").alias("lang"))
+    rows = model.select("slot", *[F.col("weights")[i].w.alias(f"_w{i}") for i in range(len(langs))])
+    scored = _slots(texts, list(id_cols), text_col).join(F.broadcast(rows), "slot", "left").groupBy(*id_cols).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.sum(f"_w{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(langs))])
+    each = F.array(*[F.struct(round_half_up(F.col(f"_s{i}") - F.col("_n") * F.lit(base), 6).alias("s"), F.lit(lang).alias("lang"))
+                     for i, (lang, base) in enumerate(langs)])
+    best = scored.select(*id_cols, F.array_max(each).lang.alias("lang"))
+    return texts.select(*id_cols).join(best, id_cols, "left")
 
 
 def with_config(detected: DataFrame) -> DataFrame:

@@ -19,15 +19,16 @@ def detect_ctes(view: str, ids: tuple[str, ...], text: str, deps: tuple[str, ...
     same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in ids)
     return {
         "mc": ((), f"""
-            SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest({_TRI}) AS gram FROM {_padded('lang', 'text', 'documents')})
-            GROUP BY ALL"""),
-        "bases": (("mc",), "SELECT lang, ln(sum(n) + (SELECT count(DISTINCT gram) FROM mc)) AS base FROM mc GROUP BY lang"),
+            SELECT lang, {langdetect.slot_sql('g')} AS slot, count(*) AS n
+            FROM (SELECT lang, unnest({_TRI}) AS g FROM {_padded('lang', 'text', 'documents')}) WHERE lang IS NOT NULL GROUP BY ALL"""),
+        "bases": (("mc",), "SELECT lang, ln(sum(n) + (SELECT count(DISTINCT slot) FROM mc)) AS base FROM mc GROUP BY lang"),
         "tg": (deps, f"""
-            SELECT {cols}, gram, count(*) AS c FROM (SELECT {cols}, unnest({_TRI}) AS gram FROM {_padded(cols, text, view)}) GROUP BY ALL"""),
+            SELECT {cols}, {langdetect.slot_sql('g')} AS slot, count(*) AS c
+            FROM (SELECT {cols}, unnest({_TRI}) AS g FROM {_padded(cols, text, view)}) GROUP BY ALL"""),
         "ng": (("tg",), f"SELECT {cols}, sum(c) AS n_grams FROM tg GROUP BY ALL"),
         "known": (("tg", "mc"), f"""
             SELECT {', '.join('tg.' + c for c in ids)}, mc.lang, sum(tg.c * ln(mc.n + 1)) AS hit
-            FROM tg JOIN mc ON mc.gram = tg.gram GROUP BY ALL"""),
+            FROM tg JOIN mc ON mc.slot = tg.slot GROUP BY ALL"""),
         "scored": (("ng", "bases", "known"), f"""
             SELECT {', '.join('ng.' + c for c in ids)}, b.lang, coalesce(k.hit, 0.0) - ng.n_grams * b.base AS score
             FROM ng JOIN bases b ON true LEFT JOIN known k ON {same('k', 'ng')} AND k.lang = b.lang"""),

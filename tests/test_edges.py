@@ -23,3 +23,18 @@ def test_language_detection_failure_without_letters(spark):
     got = {r.id: (r.lang, r.config) for r in langdetect.with_config(langdetect.detect(texts, model, ["id"])).collect()}
     assert got[1] == (None, "simple")
     assert got[2] == ("en", "English") and got[3] == ("fr", "French")
+
+
+def test_language_model_is_bounded_and_texts_meet_it_without_exchanging_trigrams(spark):
+    train = spark.createDataFrame([("en", "the quick brown fox"), ("fr", "le renard brun"), (None, "lost"), ("de", None)], "lang string, text string")
+    model = langdetect.train(train)
+    rows = model.collect()
+    assert len(rows) <= langdetect.SLOTS and {tuple(c.lang for c in r.weights) for r in rows} == {("en", "fr")}
+    slots = spark.createDataFrame([("the",), (" é ",), ("😀a ",)], "g string").select(langdetect.slot("g").alias("s")).collect()
+    assert [r.s for r in slots] == [(ord(g[0]) * 961 + ord(g[1]) * 31 + ord(g[2])) % langdetect.SLOTS for g in ("the", " é ", "😀a ")]
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "the fox " * 5000), (4, "le renard"), (4, "le renard")], "id long, text string")
+    got = sorted((r.id, r.lang or "") for r in langdetect.detect(texts, model, ["id"]).collect())
+    assert got == [(1, ""), (2, ""), (3, "en"), (4, "fr"), (4, "fr")]
+    assert {r.lang for r in langdetect.detect(texts, model.limit(0), ["id"]).collect()} == {None}
+    plan = langdetect.detect(texts, model, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert not any("_gram" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
