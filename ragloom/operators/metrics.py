@@ -2,8 +2,8 @@
 
 Pairs tables have ``qid, reference, prediction``. N-gram metrics explode n-grams
 per pair and aggregate (partial aggregation, no pair-of-pairs work); corpus BLEU is
-one global aggregate. ROUGE-L and the greedy match need a per-pair dynamic program
-or similarity matrix, so they run per row in Arrow batches (numpy), bounded by
+one global aggregate. ROUGE-L and the greedy match need a per-pair fold (bit-parallel)
+or similarity matrix, so they run per row in Arrow batches, bounded by
 the lengths of the two texts.
 """
 
@@ -182,16 +182,31 @@ def rouge_resampled(pairs: DataFrame, replicates: int = 200, level: float = 0.95
     return resampled(scores, "qid", ["rouge1_f1", "rouge2_f1", "rougeL_f1"], replicates, level)
 
 
+_BLOCK = 4096  # tokens of the reference that one integer stands for
+
+
 def _lcs(a: list, b: list) -> int:
-    if not a or not b:
-        return 0
-    prev = np.zeros(len(b) + 1, dtype=np.int32)
-    bb = np.asarray(b, dtype=object)
-    for x in a:
-        match = np.concatenate([[False], bb == x])
-        cand = np.where(match, np.concatenate([[0], prev[:-1]]) + 1, prev)
-        prev = np.maximum.accumulate(cand)
-    return int(prev[-1])
+    """Length of the longest common subsequence, bit-parallel: tokens of ``b`` are bits of an integer, all 1 at
+    first, and a token of ``a`` turns a bit 0 where the subsequence grows, by one add and one xor. Long ones go through block
+    by block; what a block carries over to the next at each token of ``a`` is one byte, so memory is linear."""
+    carried, zeros = bytearray(len(a)), 0
+    for start in range(0, len(b), _BLOCK):
+        block = b[start:start + _BLOCK]
+        full = (1 << len(block)) - 1
+        places: dict = {}
+        for i, t in enumerate(block):
+            places[t] = places.get(t, 0) | 1 << i
+        ones = full
+        for k, t in enumerate(a):
+            hit = places.get(t)
+            if hit is None and not carried[k]:
+                continue
+            grown = ones & (hit or 0)
+            total = ones + grown + carried[k]
+            carried[k] = total > full
+            ones = total & full | ones ^ grown
+        zeros += len(block) - ones.bit_count()
+    return zeros
 
 
 @F.pandas_udf(TY.LongType())
@@ -200,8 +215,9 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def rouge_l(pairs: DataFrame) -> DataFrame:
-    """L3: per pair ROUGE-L F1 from the longest common token subsequence."""
-    t = pairs.select("qid", rouge_tokens(F.col("prediction")).alias("tp"), rouge_tokens(F.col("reference")).alias("tr"))
+    """L3: per pair ROUGE-L F1 from the longest common token subsequence; a null text is an empty one."""
+    side = lambda c: rouge_tokens(F.coalesce(F.col(c), F.lit("")))
+    t = pairs.select("qid", side("prediction").alias("tp"), side("reference").alias("tr"))
     t = t.withColumn("lcs", lcs_length("tp", "tr"))
     p = F.col("lcs") / F.greatest(F.size("tp"), F.lit(1))
     r = F.col("lcs") / F.greatest(F.size("tr"), F.lit(1))

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -97,3 +98,29 @@ def test_resampled_means_equal_plain_poisson_draws(spark):
         assert all(abs(v - means[at]) < 1e-9 for v, at in zip(got[name], (1, 24, 48), strict=True))
     none = M.resampled(spark.createDataFrame([], "qid long, a double"), "qid", ["a"], replicates=5).collect()
     assert [(r.measure, r.low, r.mid, r.high) for r in none] == [("a", None, None, None)]
+
+
+def test_bit_parallel_lcs_equals_the_plain_table(monkeypatch):
+    rng = random.Random(3)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    for block in (1, 7, 64, 4096):
+        monkeypatch.setattr(M, "_BLOCK", block)
+        for n, m, v in [(0, 5, 2), (5, 0, 2), (1, 1, 1), (63, 64, 2), (64, 65, 30), (200, 129, 3), (130, 300, 200)]:
+            a, b = ([str(rng.randrange(v)) for _ in range(k)] for k in (n, m))
+            assert M._lcs(a, b) == plain(a, b)
+
+
+def test_rouge_l_of_null_empty_and_long_texts(spark):
+    words = [f"w{i % 977}" for i in range(20000)]
+    rows = [(1, None, "a"), (2, "", ""), (3, "A b, c", "a x c"), (4, " ".join(words), " ".join(words[1:] + ["end"]))]
+    got = {r.qid: r.rougeL_f1 for r in M.rouge_l(spark.createDataFrame(rows, "qid long, reference string, prediction string")).collect()}
+    assert got[1] == got[2] == 0.0 and abs(got[3] - 2 / 3) < 1e-12 and abs(got[4] - 19999 / 20000) < 1e-12
