@@ -4,10 +4,14 @@ Page files arriving in a folder are picked up by a file stream. The pages of one
 arrive in any number of input files and micro-batches, so what is loaded is kept per page: a
 ledger of (strategy, document hash, page key). Each micro-batch (``foreachBatch``) drops
 pages that are in the ledger for its strategy, chunks and embeds the rest, and writes chunks,
-then ledger, each into a folder of its own for that stream and epoch, replacing what a failed
+then ledger, each into folders of its own for that stream and epoch, replacing what a failed
 attempt left there; pages of its own epoch don't count as loaded. So a replay gives the
 same rows, and a batch whose ledger is missing is done again as a whole. Page numbers are
 ranks of page keys among all pages of a document, blank ones included, and are made on reading.
+
+The ledger lies in folders by the document hash's first digits, ``BUCKETS`` of them. A batch lists and
+reads only the folders of its own documents, so what others have loaded costs it nothing. ``compact`` joins
+a bucket's many small parts, sorted by hash so that row groups are skipped; the rows keep the name of their epoch.
 """
 
 from __future__ import annotations
@@ -25,7 +29,10 @@ from ragloom.operators import chunking, embedding, ingest
 from ragloom.operators.ranking import row_number_in_groups
 from ragloom.session import scratch_path
 
-LEDGER_SCHEMA = "hash_value string, file_name string, page_key long, strategy string, epoch string"
+LEDGER_SCHEMA = "hash_value string, file_name string, page_key long, epoch string, strategy string, bucket string, part string"
+PREFIX = 2  # hexadecimal digits of a document's hash that name its bucket
+BUCKETS = 16 ** PREFIX
+MANY_PARTS = 24  # parts of a bucket that are worth joining
 CHUNKS_SCHEMA = ("content string, embedding array<float>, hash_value string, source string, page_key long, chunk_index long, "
                  "language string, strategy string, epoch string")
 
@@ -40,8 +47,67 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _write_epoch(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("strategy", "epoch").parquet(path)
+def _write_epoch(rows: DataFrame, path: str, by: list[str]) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _folders(spark: SparkSession, path: str, key: str) -> list[str]:
+    """Names of the folders ``key=...`` in a folder, none where it doesn't exist. Other data in it is an error: a
+    ledger of another layout must not pass for an empty one."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return []
+    names = sorted(n for n in (f.getPath().getName() for f in fs.listStatus(p)) if not n.startswith(("_", ".")))
+    strange = [n for n in names if not n.startswith(f"{key}=")]
+    if strange:
+        raise ValueError(f"{path}/{strange[0]} is not a part of a ledger by {key}")
+    return names
+
+
+def read_ledger(spark: SparkSession, table_path: str, strategy: str | None = None, buckets: list[str] | None = None) -> DataFrame:
+    """The ledger's rows, each once, or those of a strategy's buckets: then no other bucket is listed or read."""
+    base = f"{table_path}/pages"
+    strategies = _folders(spark, base, "strategy")
+    if strategy is None:
+        found = _read(spark, base, LEDGER_SCHEMA)
+    else:
+        there = {f"bucket={b}" for b in buckets}
+        there &= set(_folders(spark, f"{base}/strategy={strategy}", "bucket")) if f"strategy={strategy}" in strategies else set()
+        if not there:
+            return spark.createDataFrame([], LEDGER_SCHEMA).drop("bucket", "part")
+        found = spark.read.schema(LEDGER_SCHEMA).option("basePath", base).parquet(
+            *[f"{base}/strategy={strategy}/{name}" for name in sorted(there)])
+    # a compaction that was cut off leaves rows in the old parts and the new one
+    return found.drop("bucket", "part").dropDuplicates(["strategy", "hash_value", "page_key", "epoch"])
+
+
+def compact(spark: SparkSession, table_path: str, many: int = MANY_PARTS) -> int:
+    """Join the parts of every bucket of the ledger that has at least ``many``, one job for each strategy. The new part is
+    written before the old ones go, so a run that fails loses nothing: rows may be there twice, and count once. Not to
+    be run beside a batch of the same table. Rows keep their epoch, so a batch that is replayed afterwards is
+    done again as a whole, with the same rows. Returns the number of buckets joined."""
+    base, joined = f"{table_path}/pages", 0
+    for strategy in _folders(spark, base, "strategy"):
+        parts = {b: _folders(spark, f"{base}/{strategy}/{b}", "part") for b in _folders(spark, f"{base}/{strategy}", "bucket")}
+        parts = {b: names for b, names in parts.items() if len(names) >= many}
+        if not parts:
+            continue
+        old = spark.read.schema(LEDGER_SCHEMA).option("basePath", base).parquet(*[f"{base}/{strategy}/{b}" for b in parts])
+        rows = old.dropDuplicates(["hash_value", "page_key", "epoch"]).withColumn("part", F.lit(f"joined-{uuid.uuid4().hex}"))
+        n = min(len(parts), spark.sparkContext.defaultParallelism * 4)
+        rows = rows.repartitionByRange(n, "bucket", "hash_value").sortWithinPartitions("bucket", "hash_value", "page_key")
+        rows.write.mode("append").partitionBy("strategy", "bucket", "part").parquet(base)
+        for b, names in parts.items():
+            for name in names:
+                fs, p = _hadoop(spark, f"{base}/{strategy}/{b}/{name}")
+                fs.delete(p, True)
+        joined += len(parts)
+    return joined
 
 
 def process_batch(batch: DataFrame, table_path: str, strategy: str = "recursive", dim: int = 64, epoch: str | None = None) -> None:
@@ -51,9 +117,10 @@ def process_batch(batch: DataFrame, table_path: str, strategy: str = "recursive"
     one cleaned name the first one loaded stays, within a batch the smallest."""
     epoch = epoch or uuid.uuid4().hex
     spark = batch.sparkSession
-    ledger = _read(spark, f"{table_path}/pages", LEDGER_SCHEMA).where(
-        (F.col("strategy") == strategy) & (F.col("epoch") != epoch))
-    pages = batch.withColumn("hash_value", T.file_hash("file_name")).dropDuplicates(["file_name", "page_key"])
+    batch = batch.withColumn("hash_value", T.file_hash("file_name")).withColumn("bucket", F.substring("hash_value", 1, PREFIX))
+    buckets = [r.bucket for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS
+    ledger = read_ledger(spark, table_path, strategy, [b for b in buckets if b is not None]).where(F.col("epoch") != epoch)
+    pages = batch.dropDuplicates(["file_name", "page_key"])
     names = ledger.groupBy("hash_value").agg(F.min("file_name").alias("known"))
     first = pages.groupBy("hash_value").agg(F.min("file_name").alias("first"))
     keep = first.join(names, "hash_value", "left").select("hash_value", F.coalesce("known", "first").alias("file_name"))
@@ -66,14 +133,17 @@ def process_batch(batch: DataFrame, table_path: str, strategy: str = "recursive"
     _write_epoch(chunks.select(
         T.clean_text("content").alias("content"), "embedding", "hash_value", T.clean_filename("file_name").alias("source"),
         "page_key", F.col("chunk_index").cast("long").alias("chunk_index"), T.language_config(F.col("lang")).alias("language"),
-        "strategy", "epoch"), f"{table_path}/chunks")
-    _write_epoch(fresh.select("hash_value", "file_name", "page_key", "strategy", "epoch"), f"{table_path}/pages")
+        "strategy", "epoch"), f"{table_path}/chunks", ["strategy", "epoch"])
+    done = fresh.select("hash_value", "file_name", "page_key", "epoch", "strategy", "bucket", F.col("epoch").alias("part"))
+    # at most four files of a batch in a bucket, so a hot document isn't one task's
+    done = done.repartition("bucket", F.pmod(F.xxhash64("page_key"), F.lit(4)))
+    _write_epoch(done, f"{table_path}/pages", ["strategy", "bucket", "part"])
 
 
 def read_table(spark: SparkSession, table_path: str) -> DataFrame:
     """The loaded chunks, of pages that the ledger has, with their page numbers. A chunk's key is
     (hash_value, strategy, page_number, chunk_index)."""
-    ledger = _read(spark, f"{table_path}/pages", LEDGER_SCHEMA).withColumn("doc", F.concat_ws("/", "strategy", "hash_value"))
+    ledger = read_ledger(spark, table_path).withColumn("doc", F.concat_ws("/", "strategy", "hash_value"))
     numbered = row_number_in_groups(ledger, "doc", "page_key", out="page_number").select(
         "hash_value", "strategy", "page_key", "epoch", "page_number")
     chunks = _read(spark, f"{table_path}/chunks", CHUNKS_SCHEMA)
@@ -82,9 +152,11 @@ def read_table(spark: SparkSession, table_path: str) -> DataFrame:
 
 def start_incremental_ingest(spark: SparkSession, source_path: str, table_path: str, checkpoint: str,
                              schema: str, to_pages, trigger_available_now: bool = True,
-                             max_files_per_trigger: int = 1, file_glob: str = "*.parquet", strategy: str = "recursive"):
+                             max_files_per_trigger: int = 1, file_glob: str = "*.parquet", strategy: str = "recursive",
+                             compact_every: int = 50):
     """Start the stream over the files of ``source_path`` matching ``file_glob``.
     ``to_pages`` maps the raw file rows to ``(file_name, page_key, text, lang)``.
+    After every ``compact_every`` batches (0: never) the ledger's buckets of many parts are joined.
     Returns the ``StreamingQuery``."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .option("pathGlobFilter", file_glob).parquet(source_path))
@@ -92,6 +164,8 @@ def start_incremental_ingest(spark: SparkSession, source_path: str, table_path:
 
     def each(batch: DataFrame, epoch_id: int) -> None:
         process_batch(to_pages(batch), table_path, strategy, epoch=f"{name}-{epoch_id}")
+        if compact_every and epoch_id % compact_every == compact_every - 1:
+            compact(spark, table_path)
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="30 seconds")

@@ -82,3 +82,53 @@ def test_a_failed_batch_replays_and_strategies_coexist(spark, tmp_path):
         (tmp_path / "bad" / "pages").mkdir(parents=True)
         (tmp_path / "bad" / "pages" / "x.parquet").write_bytes(b"broken")
         stream.process_batch(batch, str(tmp_path / "bad"), epoch="e0")
+
+
+def _pages(spark, names, keys=range(3)):
+    rows = [(n, i, f"page {i} of {n}", "en") for n in names for i in keys]
+    return spark.createDataFrame(rows, "file_name string, page_key long, text string, lang string")
+
+
+def _bucket(spark, name):
+    return _pages(spark, [name], [0]).select(stream.T.file_hash("file_name").alias("h")).first().h[:stream.PREFIX]
+
+
+def test_a_batch_reads_no_other_documents_ledger(spark, tmp_path):
+    table = str(tmp_path / "table")
+    names = [f"d{i}.pdf" for i in range(4)]
+    stream.process_batch(_pages(spark, names), table, epoch="e0")
+    other = next(n for n in (f"x{i}.pdf" for i in range(9)) if _bucket(spark, n) not in {_bucket(spark, m) for m in names})
+    spoiled = tmp_path / "table" / "pages" / "strategy=recursive" / f"bucket={_bucket(spark, other)}" / "part=bad"
+    spoiled.mkdir(parents=True)
+    (spoiled / "x.parquet").write_bytes(b"broken")
+    stream.process_batch(_pages(spark, names, range(5)), table, epoch="e1")  # doesn't touch it
+    with pytest.raises(Exception):
+        stream.process_batch(_pages(spark, [other]), table, epoch="e2")
+    shutil.rmtree(spoiled.parent)
+    got = {(r.source, r.page_number, r.content) for r in stream.read_table(spark, table).collect()}
+    assert got == {(n, i + 1, f"page {i} of {n}") for n in names for i in range(5)}
+
+
+def test_joined_parts_hold_the_same_ledger(spark, tmp_path):
+    table = str(tmp_path / "table")
+    for e in range(4):
+        stream.process_batch(_pages(spark, ["a.pdf", "b.pdf"], range(e * 2, e * 2 + 3)), table, epoch=f"e{e}")
+    rows = lambda: sorted(map(tuple, stream.read_table(spark, table).drop("embedding").collect()), key=str)
+    whole, kept = rows(), str(tmp_path / "kept")
+    assert len(whole) == 2 * 9
+    shutil.copytree(f"{table}/pages", kept)
+    assert stream.compact(spark, table, many=5) == 0
+    assert stream.compact(spark, table, many=4) == len({_bucket(spark, "a.pdf"), _bucket(spark, "b.pdf")})
+    assert rows() == whole
+    for folder in (tmp_path / "table" / "pages" / "strategy=recursive").iterdir():
+        if folder.name.startswith("bucket="):
+            assert len([p for p in folder.iterdir() if p.name.startswith("part=")]) == 1
+    shutil.copytree(kept, f"{table}/pages", dirs_exist_ok=True)  # as if it had failed before the old parts went
+    assert rows() == whole
+    stream.process_batch(_pages(spark, ["a.pdf", "b.pdf"], range(6, 9)), table, epoch="e3")  # a replay
+    stream.process_batch(_pages(spark, ["a.pdf", "b.pdf"], range(9)), table, epoch="e4")
+    assert rows() == whole
+    assert stream.compact(spark, str(tmp_path / "none")) == 0
+    (tmp_path / "old" / "pages" / "strategy=recursive" / "epoch=e0").mkdir(parents=True)
+    with pytest.raises(ValueError):  # a ledger of another layout
+        stream.process_batch(_pages(spark, ["a.pdf"]), str(tmp_path / "old"), epoch="e0")
