@@ -14,7 +14,7 @@ from ragloom.plans.common import r6, r6_sql, register
 from ragloom.plans.detect import detect_ctes
 from ragloom.session import scratch_path
 from ragloom.sources import fixtures as X
-from ragloom.sources.tables import read_table
+from ragloom.sources.tables import page_files, read_table
 
 DEST = "/data/loaded"
 
@@ -29,6 +29,20 @@ def q_page_table(spark, sf):
     return X.pages(spark, sf).select("doc_id", "source", "page_number")
 
 
+VOLUME = 50  # ids of a volume, one page file each
+
+
+def q_page_files(spark, sf):
+    """Documents as page files, a file for each source and volume, written and read back by their pages."""
+    d = _docs(spark, sf).select("source", F.floor(F.col("doc_id") / VOLUME).alias("volume"), "doc_id",
+                                F.replace("text", F.lit("\f"), F.lit(" ")).alias("value"))
+    folder = scratch_path(spark, f"page-files-{uuid.uuid4().hex}")
+    (d.repartition("source", "volume").sortWithinPartitions("source", "volume", "doc_id").drop("doc_id")
+     .write.partitionBy("source", "volume").option("lineSep", "\f").text(folder))
+    return page_files(spark, folder, keep=("source", "volume")).select(
+        "source", F.col("volume").cast("long").alias("volume"), "page_number", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def q_qa_pairs(spark, sf):
     return X.qa_pairs(spark, sf).select("qid", "question", "answer")
 
@@ -172,6 +186,11 @@ def ctes(*names):
 
 
 register("page_table", q_page_table, X.with_ctes("pages_nb") + "SELECT doc_id, source, page_number FROM pages_nb")
+register("page_files", q_page_files, f"""
+    SELECT source, volume, page_number, md5(text) AS text_md5
+    FROM (SELECT source, doc_id // {VOLUME} AS volume, replace(text, chr(12), ' ') AS text,
+                 row_number() OVER (PARTITION BY source, doc_id // {VOLUME} ORDER BY doc_id) AS page_number FROM documents)
+    WHERE NOT {T.is_blank_sql('text')}""")
 register("qa_pairs", q_qa_pairs, X.with_ctes("qa_pairs") + "SELECT qid, question, answer FROM qa_pairs")
 register("vector_codec", q_vector_codec, """
     SELECT vec_id, len(embedding)::BIGINT AS n_dims,

@@ -68,11 +68,18 @@ def page_table(pages: DataFrame, text_col: str = "text", source_col: str = "sour
     return numbered.where(~T.is_blank("text"))
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether the path, on whatever file system, is a folder; a missing one raises."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """A1: files of one directory (not recursive) whose name matches ``pattern``
-    (case-sensitive), or the single file named; a missing path raises."""
+    (case-sensitive), or the single file named, whatever its name; a missing path raises. Bytes are read
+    only if ``content`` is."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-    if os.path.isdir(path) or not os.path.splitext(path)[1]:
+    if _is_folder(spark, path):
         reader = reader.option("pathGlobFilter", pattern)
     df = reader.load(path)
     return df.select(
@@ -83,8 +90,37 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
     )
 
 
+def page_records(spark: SparkSession, path: str, pattern: str = "*.txt", page_mark: str = "\f", keep: tuple = (),
+                 stream: bool = False, max_files_per_trigger: int = 1000) -> DataFrame:
+    """A1 + A2: the pages of a folder's page files (texts with a ``page_mark`` between pages), as a batch or a stream, one row
+    each: file_path, file_name, block (where the part of the file that a task reads begins), text, and the
+    partition columns in ``keep``. A page is a record of the file, so a large file is read by many tasks and no file is
+    held as a whole. The folder may be on any file system; a missing one raises."""
+    _is_folder(spark, path)
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger) if stream else spark.read
+    df = reader.option("lineSep", page_mark).option("pathGlobFilter", pattern).text(path)
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # it comes encoded, but for +
+    return df.select(F.col("_metadata.file_path").alias("file_path"), name.alias("file_name"),
+                     F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"), *keep)
+
+
+def number_pages(records: DataFrame) -> DataFrame:
+    """``page_records`` with page_number, from 1 in each file, blank pages counted: records are numbered by block and
+    their order in it, over all tasks that read a file. For a stream, call it in ``foreachBatch``."""
+    from ragloom.operators.ranking import row_number_in_groups
+
+    placed = records.withColumn("_place", F.monotonically_increasing_id())  # ascending within a block
+    return row_number_in_groups(placed, "file_path", ["block", "_place"], out="page_number").drop("block", "_place")
+
+
+def page_files(spark: SparkSession, path: str, pattern: str = "*.txt", page_mark: str = "\f", keep: tuple = ()) -> DataFrame:
+    """A1-A3: non-blank pages of a folder's page files: file_path, file_name, page_number, text, and ``keep``. Blank pages
+    leave gaps; an empty file has no page."""
+    return number_pages(page_records(spark, path, pattern, page_mark, keep)).where(~T.is_blank("text"))
+
+
 def load_qa(df: DataFrame, question_col: str = "QUERY", answer_col: str = "ANSWER") -> DataFrame:
-    """A4: question/answer set with the two required columns, numbered in input order."""
+    """A4: question/answer set with the two required columns."""
     if question_col not in df.columns or answer_col not in df.columns:
         raise ValueError(f"The file must contain the columns '{question_col}' and '{answer_col}'")
     return df.select(F.col(question_col).alias("question"), F.col(answer_col).alias("answer"))

@@ -28,6 +28,7 @@ from ragloom.functions import text as T
 from ragloom.operators import chunking, embedding, ingest
 from ragloom.operators.ranking import row_number_in_groups
 from ragloom.session import scratch_path
+from ragloom.sources.tables import number_pages, page_records
 
 LEDGER_SCHEMA = "hash_value string, file_name string, page_key long, epoch string, strategy string, bucket string, part string"
 PREFIX = 2  # hexadecimal digits of a document's hash that name its bucket
@@ -160,18 +161,36 @@ def start_incremental_ingest(spark: SparkSession, source_path: str, table_path:
     Returns the ``StreamingQuery``."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .option("pathGlobFilter", file_glob).parquet(source_path))
+    return _start(stream, table_path, checkpoint, to_pages, trigger_available_now, strategy, compact_every)
+
+
+def _start(stream: DataFrame, table_path: str, checkpoint: str, to_pages, available_now: bool, strategy: str, compact_every: int):
     name = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex  # of this stream, also after a restart
 
     def each(batch: DataFrame, epoch_id: int) -> None:
         process_batch(to_pages(batch), table_path, strategy, epoch=f"{name}-{epoch_id}")
         if compact_every and epoch_id % compact_every == compact_every - 1:
-            compact(spark, table_path)
+            compact(batch.sparkSession, table_path)
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="30 seconds")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
+def start_page_file_ingest(spark: SparkSession, source_path: str, table_path: str, checkpoint: str, pattern: str = "*.txt",
+                           page_mark: str = "\f", lang: str | None = None, trigger_available_now: bool = True,
+                           max_files_per_trigger: int = 1000, strategy: str = "recursive", compact_every: int = 50):
+    """Start the stream over page files (``sources.tables.page_records``): a file is a document of that name, its pages' keys are
+    their numbers in the file. A file that arrives twice is loaded once. Returns the ``StreamingQuery``."""
+    stream = page_records(spark, source_path, pattern, page_mark, stream=True, max_files_per_trigger=max_files_per_trigger)
+
+    def to_pages(batch: DataFrame) -> DataFrame:
+        return number_pages(batch).select("file_name", F.col("page_number").alias("page_key"), "text",
+                                          F.lit(lang).cast("string").alias("lang"))
+
+    return _start(stream, table_path, checkpoint, to_pages, trigger_available_now, strategy, compact_every)
+
+
 def documents_as_pages(df: DataFrame) -> DataFrame:
     """The test ``documents`` table read as page rows of PDF files named after ``source``."""
     return df.select(F.concat(F.col("source"), F.lit(".pdf")).alias("file_name"), F.col("doc_id").alias("page_key"),

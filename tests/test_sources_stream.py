@@ -6,7 +6,7 @@ import tempfile
 
 import pytest
 
-from ragloom.sources.tables import list_files, load_qa, page_table
+from ragloom.sources.tables import list_files, load_qa, page_files, page_table
 from ragloom.streaming import ingest_stream as stream
 from ragloom.streaming.ingest_stream import run_twice
 
@@ -132,3 +132,52 @@ def test_joined_parts_hold_the_same_ledger(spark, tmp_path):
     (tmp_path / "old" / "pages" / "strategy=recursive" / "epoch=e0").mkdir(parents=True)
     with pytest.raises(ValueError):  # a ledger of another layout
         stream.process_batch(_pages(spark, ["a.pdf"]), str(tmp_path / "old"), epoch="e0")
+
+
+def test_list_files_of_one_file_whatever_its_name(spark, tmp_path):
+    for name in ("report.v1.docx", "noext"):
+        (tmp_path / name).write_bytes(b"abc")
+        for path in (str(tmp_path / name), f"file://{tmp_path / name}"):
+            assert [(r.source, r.length) for r in list_files(spark, path).select("source", "length").collect()] == [(name, 3)]
+    (tmp_path / "dotted.dir").mkdir()
+    (tmp_path / "dotted.dir" / "a.pdf").write_bytes(b"1")
+    (tmp_path / "dotted.dir" / "b.txt").write_bytes(b"1")
+    assert [r.source for r in list_files(spark, str(tmp_path / "dotted.dir")).collect()] == ["a.pdf"]
+
+
+def _write_page_files(folder):
+    """A file of many pages, one with blank ones, an empty one, one with an odd name, one of another kind."""
+    folder.mkdir()
+    long = [f"page {i}\nsecond line " + "x" * (i % 90) for i in range(4000)]
+    files = {"long.txt": long, "gaps.txt": ["", "two", " \n ", "four"], "empty.txt": [], "Odd [1] né+%41.v2.txt": ["only"]}
+    for name, pages in files.items():
+        (folder / name).write_text("\f".join(pages), encoding="utf-8")
+    (folder / "other.csv").write_text("no\fpage")
+    return {(n, i, p) for n, pages in files.items() for i, p in enumerate(pages, 1) if p.strip()}
+
+
+def test_page_files_are_numbered_over_all_tasks_that_read_them(spark, tmp_path):
+    want = _write_page_files(tmp_path / "in")
+    for size in ("128m", "10k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = page_files(spark, f"file://{tmp_path}/in")
+            rows = [(r.file_name, r.page_number, r.text) for r in got.collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len(rows) == len(want) and set(rows) == want
+    with pytest.raises(Exception):
+        page_files(spark, str(tmp_path / "missing"))
+
+
+def test_page_files_stream_loads_each_file_once(spark, tmp_path):
+    _write_page_files(tmp_path / "in")
+    (tmp_path / "in" / "long.txt").write_text("\f".join(f"p{i}" for i in range(30)))
+    table = str(tmp_path / "table")
+    for run in range(2):  # the second stream finds everything loaded but the new file
+        stream.start_page_file_ingest(spark, str(tmp_path / "in"), table, str(tmp_path / f"ckpt{run}"), lang="en",
+                                      max_files_per_trigger=3).awaitTermination()
+        got = {(r.source, r.page_number): r.content for r in stream.read_table(spark, table).collect()}
+        assert {k: v for k, v in got.items() if k[0] == "long.txt"} == {("long.txt", i + 1): f"p{i}" for i in range(30)}
+        assert {k[1] for k in got if k[0] == "gaps.txt"} == {2, 4} and len(got) == 30 + 2 + 1 + run
+        (tmp_path / "in" / "new.txt").write_text("new page")
