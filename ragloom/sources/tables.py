@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,15 +91,16 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
     )
 
 
-def page_records(spark: SparkSession, path: str, pattern: str = "*.txt", page_mark: str = "\f", keep: tuple = (),
-                 stream: bool = False, max_files_per_trigger: int = 1000) -> DataFrame:
-    """A1 + A2: the pages of a folder's page files (texts with a ``page_mark`` between pages), as a batch or a stream, one row
-    each: file_path, file_name, block (where the part of the file that a task reads begins), text, and the
+def page_records(spark: SparkSession, path: str | list[str], pattern: str = "*.txt", page_mark: str = "\f", keep: tuple = ()) -> DataFrame:
+    """A1 + A2: the pages of a folder's page files (texts with a ``page_mark`` between pages), or of the files in a list, one
+    row each: file_path, file_name, block (where the part of the file that a task reads begins), text, and the
     partition columns in ``keep``. A page is a record of the file, so a large file is read by many tasks and no file is
-    held as a whole. The folder may be on any file system; a missing one raises."""
-    _is_folder(spark, path)
-    reader = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger) if stream else spark.read
-    df = reader.option("lineSep", page_mark).option("pathGlobFilter", pattern).text(path)
+    held as a whole. Files may be on any file system; a missing folder raises."""
+    if isinstance(path, str):
+        _is_folder(spark, path)
+    else:
+        path = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in path]  # names, not patterns
+    df = spark.read.option("lineSep", page_mark).option("pathGlobFilter", pattern).text(path)
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # it comes encoded, but for +
     return df.select(F.col("_metadata.file_path").alias("file_path"), name.alias("file_name"),
                      F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"), *keep)
@@ -106,7 +108,7 @@ def page_records(spark: SparkSession, path: str, pattern: str = "*.txt", page_ma
 
 def number_pages(records: DataFrame) -> DataFrame:
     """``page_records`` with page_number, from 1 in each file, blank pages counted: records are numbered by block and
-    their order in it, over all tasks that read a file. For a stream, call it in ``foreachBatch``."""
+    their order in it, over all tasks that read a file."""
     from ragloom.operators.ranking import row_number_in_groups
 
     placed = records.withColumn("_place", F.monotonically_increasing_id())  # ascending within a block

@@ -182,11 +182,16 @@ def start_page_file_ingest(spark: SparkSession, source_path: str, table_path: st
                            max_files_per_trigger: int = 1000, strategy: str = "recursive", compact_every: int = 50):
     """Start the stream over page files (``sources.tables.page_records``): a file is a document of that name, its pages' keys are
     their numbers in the file. A file that arrives twice is loaded once. Returns the ``StreamingQuery``."""
-    stream = page_records(spark, source_path, pattern, page_mark, stream=True, max_files_per_trigger=max_files_per_trigger)
+    stream = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+              .option("maxFilesPerTrigger", max_files_per_trigger).option("pathGlobFilter", pattern).load(source_path).select("path"))
 
     def to_pages(batch: DataFrame) -> DataFrame:
-        return number_pages(batch).select("file_name", F.col("page_number").alias("page_key"), "text",
-                                          F.lit(lang).cast("string").alias("lang"))
+        # the stream says which files came (no content is read); a name like a pattern, "[1]", can bring others twice
+        paths = sorted(r.path for r in batch.distinct().collect())  # at most max_files_per_trigger
+        names = F.col("file_name"), F.col("page_number").alias("page_key"), "text", F.lit(lang).cast("string").alias("lang")
+        if not paths:
+            return batch.sparkSession.createDataFrame([], "file_name string, page_key long, text string, lang string")
+        return number_pages(page_records(batch.sparkSession, paths, pattern, page_mark)).select(*names)
 
     return _start(stream, table_path, checkpoint, to_pages, trigger_available_now, strategy, compact_every)
 
