@@ -121,3 +121,43 @@ def test_ann_recall_floor_and_exact_mode(spark):
         n = ann.probes_for(index, centers, exact, q, 0.9)
         got = ann.recall_vs_exact(ann.ann_topk(index, centers, q, k, n_probe=n), exact).first()
         assert got.recall >= 0.9 and (n < len(centers) or k > 5)
+
+
+def test_many_queries_are_scored_in_bounded_parts(spark, monkeypatch):
+    """However many queries match a batch of chunks, a task expands a bounded number of pairs and occurrences."""
+    rnd = random.Random(3)
+    vocab = [f"w{i}" for i in range(12)]
+    texts = [(i, " ".join(rnd.choices(vocab, k=40))) for i in range(60)]
+    asked = [(i, " ".join(rnd.sample(vocab, rnd.randint(1, 3)))) for i in range(150)]
+    ch = spark.createDataFrame(texts, "chunk_id long, content string")
+    q = spark.createDataFrame(asked, "query_id long, query_text string")
+    qlex = lexical.query_lexemes(q)
+    sets = lexical.lexeme_sets(qlex)
+    table = lexical.SetTable(sets)
+    assert sets.count() == 150 and len(table.set_id) < 150  # equal sets of words are scored once
+    flat = [(c, w, p) for c, t in texts for p, w in enumerate(t.split(), 1)]
+    chunk, pos = (np.array([f[i] for f in flat]) for i in (0, 2))
+    code = table.vocab.get_indexer([f[1] for f in flat])
+    keep = code >= 0
+    widest = []
+    plain = lexical._covers_sorted
+    monkeypatch.setattr(lexical, "_covers_sorted", lambda *a: widest.append(len(a[2])) or plain(*a))
+    whole = {}
+    for most in (1 << 19, 200):
+        monkeypatch.setattr(lexical, "EXPANDED", most)
+        widest.clear()
+        whole[most] = {(int(table.set_id[s]), int(c)): r for part in lexical.score_sets(table, chunk[keep], code[keep], pos[keep]) for s, c, r in zip(*part)}
+        assert max(widest) <= most
+    assert len(widest) > 10 and whole[200] == whole[1 << 19]
+    for (s, c), r in whole[200].items():
+        assert abs(r - brute_cover_density(texts[c][1].split(), dict(asked)[s].split())) < 1e-9
+    # cutting a task's matches to the k best as they come changes no top
+    cols = ("query_id", "chunk_id", "rank_bm25", "rank")
+    rows = lambda d: sorted(tuple(r[x] for x in cols) for r in d.collect())
+    assert rows(lexical.lexical_topk(ch, q, 7)) == rows(lexical.lexical_topk(ch, q, 7, broadcast_limit_bytes=10))
+    parts = [tuple(np.array(x) for x in zip(*[(s, c, r)])) for (s, c), r in whole[200].items()]
+    cut = [tuple(x) for p in lexical.best_of_task(iter(parts), 3, most=50) for x in zip(*p)]
+    for s in {k[0] for k in whole[200]}:
+        order = lambda x: (-round(x[1], 9), x[0])
+        best = sorted(((c, r) for (t, c), r in whole[200].items() if t == s), key=order)[:3]
+        assert sorted(((c, r) for t, c, r in cut if t == s), key=order)[:3] == best
