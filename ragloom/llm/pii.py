@@ -42,7 +42,7 @@ CONTEXT = {
     "email": r"(?i)mail|contact|write|@", "ip": r"(?i)\bip\b|host|server|address", "card": r"(?i)card|visa|credit|account|pay",
     "phone": r"(?i)phone|tel|call|fax|mobile|contact",
 }
-MAX_CANDIDATES, PRECISION = 20_000, 0.95
+PRECISION, SCORE_PLACES = 0.95, 1_000_000
 _BLOCK = 64
 _SPAN = "array<struct<start:int,end:int,m:string,before:string,after:string>>"
 
@@ -151,9 +151,9 @@ class Model:
 NO_MODEL = Model([], [], {k: 2.0 for k in KINDS})
 
 
-def train(docs: DataFrame, text_col: str = "text", max_candidates: int = MAX_CANDIDATES, precision: float = PRECISION) -> Model:
-    """Fit and calibrate on the base patterns' candidates in ``docs``: at most ``max_candidates`` of them,
-    by the order of a hash of the span and its neighbourhood, a quarter held out for the thresholds.
+def train(docs: DataFrame, text_col: str = "text", precision: float = PRECISION) -> Model:
+    """Fit and calibrate on all of the base patterns' candidates in ``docs``, those that equal in span and
+    neighbourhood once, a quarter (by a hash of these) held out for the thresholds.
 
     A kind's threshold is the least score, at least 0.5, above which the share of passing held-out
     candidates is ``precision``; without held-out candidates of that kind nothing is added. No
@@ -172,17 +172,20 @@ def train(docs: DataFrame, text_col: str = "text", max_candidates: int = MAX_CAN
         parts.append(candidate(kind, kind, partial(passes, kind)))
     parts.append(candidate("decoy", "card", lambda m: F.lit(False)))
     rows = rows.select(F.explode(F.concat(*parts)).alias("c")).select("c.*")
-    rows = materialize(rows.distinct().orderBy("h", "kind").limit(max_candidates))
+    rows = materialize(rows.distinct())
     fit, held = rows.where(F.pmod("h", F.lit(4)) != 0), rows.where(F.pmod("h", F.lit(4)) == 0)
     if fit.select("label").distinct().count() < 2:
         return NO_MODEL
     vectors = fit.select(array_to_vector("x").alias("features"), "label")
     gbt = GBTClassifier(maxIter=20, maxDepth=3, seed=7, maxBins=32).fit(vectors)
     model = Model([t.toDebugString for t in gbt.trees], list(gbt.treeWeights), {})
-    scored = held.select("kind", "label", model.score(F.col("x")).alias("score")).toPandas()
+    # counts by score, to six places: what reaches the driver is bounded
+    scored = held.select("kind", "label", model.score(F.col("x")).alias("score"))
+    scored = scored.groupBy("kind", F.floor(F.col("score") * F.lit(SCORE_PLACES)).alias("place")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("good"), F.min("score").alias("score")).toPandas()
     for kind in KINDS:
-        own = scored[scored.kind == kind].sort_values("score", ascending=False)
-        good = np.cumsum(own.label.to_numpy()) / np.arange(1, len(own) + 1)
+        own = scored[scored.kind == kind].sort_values("place", ascending=False)
+        good = own.good.to_numpy().cumsum() / own.n.to_numpy().cumsum()
         enough = np.flatnonzero(good >= precision)
         model.least[kind] = max(0.5, float(own.score.iloc[enough[-1]])) if len(enough) else 2.0
     return model

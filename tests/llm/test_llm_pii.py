@@ -114,3 +114,16 @@ def test_redact_equals_spans(spark):
         if not any(plain_spans(texts[r.doc_id], k) for k in pii.KINDS):
             assert r.text == texts[r.doc_id]
         assert not any(plain_spans(r.text, k) for k in pii.KINDS)
+
+
+def test_all_candidates_train(spark, monkeypatch):
+    texts = [" ".join(f"mail u{i}x{j}@b{j}.org to 10.0.{j}.{300 if j % 3 else 7}" for j in range(50)) for i in range(450)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    plain = pii.materialize
+    monkeypatch.setattr(pii, "materialize", lambda d: seen.append(plain(d)) or seen[-1])
+    monkeypatch.setattr(pii, "GBTClassifier", lambda **kw: pytest.importorskip("pyspark.ml.classification").GBTClassifier(maxIter=1, maxDepth=1, seed=7))
+    model = pii.train(df)
+    n_email = seen[0].where("kind = 'email'").count()
+    assert n_email == 450 * 50  # more than 20,000, none left out
+    assert set(model.least) == set(pii.KINDS)
