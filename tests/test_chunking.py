@@ -46,3 +46,20 @@ def test_semantic_single_sentence_page_stays_whole(spark):
     assert (1, "one sentence without a break") in got
     assert " ".join(r.content for r in sorted([r for r in rows if r.page_number == 2], key=lambda r: r.chunk_index)) \
         == "A. B. C. D. E."
+
+
+def test_pages_are_split_in_bounded_parts(spark):
+    import pyarrow as pa
+
+    text = " ".join(["word"] * 40_000)  # 200 kB
+    batch = pa.RecordBatch.from_pydict({"page": list(range(30)), "_text": [text, None, ""] * 10})
+    split = lambda t: CH.split_recursive(t, 512, 10)
+    parts = list(CH._split_batches(split, [batch]))
+    assert len(parts) > 1 and max(p.nbytes for p in parts) < 2 * CH.PAGES_AT_ONCE
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert rows == [{"page": i, "chunk_index": k, "content": c} for i in range(0, 30, 3) for k, c in enumerate(split(text))]
+    pages = spark.createDataFrame([("s", 1, "a\nb"), (None, 2, None), (None, 3, ""), (None, 4, "c " * 700)], "source string, page_number int, text string")
+    got = CH.chunk_recursive(pages)
+    assert got.dtypes == [("source", "string"), ("page_number", "int"), ("chunk_index", "bigint"), ("content", "string")]
+    assert sorted((r.page_number, r.chunk_index, r.content) for r in got.collect()) == [
+        (p, k, c) for p, t in ((1, "a\nb"), (4, "c " * 700)) for k, c in enumerate(split(t))]
