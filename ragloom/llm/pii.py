@@ -172,7 +172,7 @@ def train(docs: DataFrame, text_col: str = "text", precision: float = PRECISION)
         parts.append(candidate(kind, kind, partial(passes, kind)))
     parts.append(candidate("decoy", "card", lambda m: F.lit(False)))
     rows = rows.select(F.explode(F.concat(*parts)).alias("c")).select("c.*")
-    rows = materialize(rows.distinct())
+    rows = materialize(rows.distinct().orderBy("h", "kind"))  # in one order, so that sums are too
     fit, held = rows.where(F.pmod("h", F.lit(4)) != 0), rows.where(F.pmod("h", F.lit(4)) == 0)
     if fit.select("label").distinct().count() < 2:
         return NO_MODEL
