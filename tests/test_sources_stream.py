@@ -181,3 +181,14 @@ def test_page_files_stream_loads_each_file_once(spark, tmp_path):
         assert {k: v for k, v in got.items() if k[0] == "long.txt"} == {("long.txt", i + 1): f"p{i}" for i in range(30)}
         assert {k[1] for k in got if k[0] == "gaps.txt"} == {2, 4} and len(got) == 30 + 2 + 1 + run
         (tmp_path / "in" / "new.txt").write_text("new page")
+
+
+def test_page_files_lie_by_volume_first(spark, monkeypatch):
+    from ragloom.plans import corpus
+
+    made = []
+    monkeypatch.setattr(corpus, "scratch_path", lambda s, name, f=corpus.scratch_path: made.append(f(s, name)) or made[-1])
+    rows = corpus.q_page_files(spark, SF001)
+    assert rows.columns == ["source", "volume", "page_number", "text_md5"]
+    top = [n for n in os.listdir(made[0].removeprefix("file:")) if "=" in n]
+    assert top and all(n.startswith("volume=") for n in top)  # many folders at the top, which one job lists
