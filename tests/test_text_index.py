@@ -165,3 +165,11 @@ def test_stems_and_a_hook_decide_matches(spark, tmp_path):
     assert text_index.lexical_match(plain, q, query_config_col="config").count() == 0
     with pytest.raises(ValueError):
         text_index.write_epoch(ch, str(tmp_path / "x"), stems=stemming.dictionary(vocab))
+
+
+def test_a_vocabulary_splits_each_text_once(spark):
+    texts = spark.createDataFrame([("English", "on and on"), (None, "on"), ("English", None), ("English", " . ")], "config string, content string")
+    vocab = stemming.vocabulary(texts, "content")
+    assert sorted(vocab.collect(), key=str) == sorted([("English", "on"), ("English", "and"), (None, "on")], key=str)
+    plan = vocab._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "array_distinct" in plan  # a text's words combine in it
