@@ -161,3 +161,13 @@ def test_many_queries_are_scored_in_bounded_parts(spark, monkeypatch):
         order = lambda x: (-round(x[1], 9), x[0])
         best = sorted(((c, r) for (t, c), r in whole[200].items() if t == s), key=order)[:3]
         assert sorted(((c, r) for t, c, r in cut if t == s), key=order)[:3] == best
+
+
+def test_a_stored_list_is_few_files(spark):
+    from ragloom.operators import ann
+
+    rows = [(i, i % 2, 0.0, [float(i), 1.0]) for i in range(64)]
+    index = spark.createDataFrame(rows, "chunk_id long, list_id long, distance double, vec array<double>").repartition(16)
+    stored = ann.store_index(index)
+    assert len(stored.inputFiles()) <= 2 * ann.FILES_OF_LIST  # not one for each task that assigned rows
+    assert sorted(r.chunk_id for r in stored.collect()) == list(range(64))
