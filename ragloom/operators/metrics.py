@@ -23,6 +23,7 @@ from pyspark.sql import types as TY
 from ragloom import constants as C
 from ragloom.functions import text as T
 
+from ragloom.operators import sizing
 # ------------------------------------------------------------------ tokenizers
 # BLEU: the "13a" rules (HTML entities, punctuation split off, period/comma split
 # unless next to a digit, dash split after a digit), case kept, whitespace split.
@@ -99,7 +100,8 @@ def _overlap(pairs: DataFrame, tok_fn, orders) -> DataFrame:
         for side, col in ((0, "tp"), (1, "tr")):
             grams = F.when(F.size(col) >= n, ngrams(F.col(col), n)).otherwise(F.array().cast("array<string>"))
             items.append(F.transform(grams, _tagger(n, side)))
-    e = t.select("qid", F.explode(F.concat(*items)).alias("x")).select("qid", "x.n", "x.side", "x.gram")
+    # marker rows keep the list from being empty; for explode, Spark adds a filter that makes the n-grams once more
+    e = t.select("qid", F.explode_outer(F.concat(*items)).alias("x")).select("qid", "x.n", "x.side", "x.gram")
     per_gram = e.groupBy("qid", "n", "gram").agg(
         F.sum((F.col("side") == 0).cast("long")).alias("cp"), F.sum((F.col("side") == 1).cast("long")).alias("cr"))
     per_n = per_gram.groupBy("qid", "n").agg(
@@ -148,7 +150,14 @@ _POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.98101
 def resampled_weight(row, replicate) -> Column:
     """How often a row is drawn in a replicate: Poisson(1) from a hash of both, the same wherever it is computed."""
     h = F.substring(F.md5(F.concat_ws(":", row.cast("string"), replicate.cast("string")).cast("binary")), 1, 8)
-    u = F.conv(h, 16, 10).cast("double") / F.lit(4294967296.0)
+    return _drawn(_uniform(row, replicate))
+
+
+def _uniform(row, replicate) -> Column:
+    return F.conv(h, 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def _drawn(u) -> Column:
     return sum(F.when(u >= p, F.lit(1.0)).otherwise(F.lit(0.0)) for p in _POISSON)
 
 
@@ -157,7 +166,12 @@ def resampled(scores: DataFrame, id_col: str, columns: list[str], replicates: in
     of its weights and weighted scores, summed map-side. ``(measure, low, mid, high)``: the replicates' means at the
     two ends of ``level`` and at the half, by rank. Replicates that draw no row are left out; null scores
     count as 0; an empty table has null bounds."""
-    weights = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: resampled_weight(F.col(id_col), r))
+    # the hashes are a list of their own: inside one lambda each of the comparisons would make its hash again
+    weights = F.transform(F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: _uniform(F.col(id_col), r)), _drawn)
+    # rows are few bytes and much work, so a number of tasks is asked for: by bytes they would meet in one
+    spark = scores.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    scores = scores.repartition(tasks)
     s = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
     held = scores.select(weights.alias("w"), *[v.alias(f"s{i}") for i, v in enumerate(s)])
     none = scores.sparkSession.range(1).select(F.array_repeat(F.lit(0.0), replicates).alias("w"), *[F.lit(0.0).alias(f"s{i}") for i in range(len(s))])
@@ -179,6 +193,7 @@ def resampled(scores: DataFrame, id_col: str, columns: list[str], replicates: in
 def rouge_resampled(pairs: DataFrame, replicates: int = 200, level: float = 0.95) -> DataFrame:
     """L2 as the scoring library reports it by default: bounds and middle of the resampled mean ROUGE-1/2/L."""
     scores = rouge_n(pairs).join(rouge_l(pairs), "qid")
+    pairs = sizing.materialize(pairs.select("qid", "reference", "prediction"))
     return resampled(scores, "qid", ["rouge1_f1", "rouge2_f1", "rougeL_f1"], replicates, level)
 
 
