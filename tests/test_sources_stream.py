@@ -192,3 +192,23 @@ def test_page_files_lie_by_volume_first(spark, monkeypatch):
     assert rows.columns == ["source", "volume", "page_number", "text_md5"]
     top = [n for n in os.listdir(made[0].removeprefix("file:")) if "=" in n]
     assert top and all(n.startswith("volume=") for n in top)  # many folders at the top, which one job lists
+
+
+def test_page_files_are_written_without_side_files(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from ragloom.plans import corpus
+
+    docs = [(i, f"s{i % 3}" if i % 7 else None, " " if i % 5 == 0 else f"page {i}") for i in [*range(120), 7, 7]] + [(None, "s1", "no id")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = []
+    monkeypatch.setattr(corpus, "scratch_path", lambda s, name, f=corpus.scratch_path: made.append(f(s, name)) or made[-1])
+    rows = corpus.q_page_files(spark, str(tmp_path)).collect()
+    names = [n for _, _, found in os.walk(made[0].removeprefix("file:")) for n in found]
+    assert names and not [n for n in names if n.startswith(".")]  # a checksum file costs a process and a file more
+    want = {}
+    for i, s, t in docs:
+        want.setdefault((s, None if i is None else i // 50), []).append((i, t))
+    want = sorted(((s, v, n, t) for (s, v), f in want.items() for n, (_, t) in enumerate(sorted(f, key=lambda x: x[0] or 0), 1) if t.strip()), key=str)
+    assert sorted(((r.source, r.volume, r.page_number, r.text_md5) for r in rows), key=str) == sorted(
+        ((s, v, n, hashlib.md5(t.encode()).hexdigest()) for s, v, n, t in want), key=str)
