@@ -173,3 +173,52 @@ def test_a_vocabulary_splits_each_text_once(spark):
     assert sorted(vocab.collect(), key=str) == sorted([("English", "on"), ("English", "and"), (None, "on")], key=str)
     plan = vocab._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and "array_distinct" in plan  # a text's words combine in it
+
+
+def test_index_by_configuration_and_stems_exchanges_texts_not_postings(spark, tmp_path, monkeypatch):
+    from ragloom.operators import stopwords
+
+    words = ["the", "running", "runs", "run", "und", "laufen", "boxes", "box", "le", "chats"]
+    rnd = random.Random(7)
+    rows = [(i - 20, rnd.choice(["English", "German", "French", "simple", None]), " ".join(rnd.choices(words, k=rnd.randint(0, 25)))) for i in range(90)]
+    rows += rows[:4] + [(3, "English", "runs the box " * 9), (None, "English", "run"), (200, "German", None), (201, "English", "the the")]
+    ch = spark.createDataFrame(rows, "chunk_id long, config string, content string").repartition(4)
+    stems = stemming.dictionary(stemming.vocabulary(ch, "content"))
+    key = lambda d: sorted(tuple(map(str, r)) for r in d.select("tok", "block", "n_chunks", "max_tf", "id_gap", "pos_gap").collect())
+    want = [key(text_index.encode(stopwords.config_postings(ch, stems=s), 8)) for s in (None, stems)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # blocks go on in the next batch
+    try:
+        assert [key(text_index.encode_texts(ch, 8, config_col="config", stems=s)) for s in (None, stems)] == want
+        with monkeypatch.context() as m:
+            m.setattr(text_index, "encode", lambda *a, **k: pytest.fail("postings are exchanged"))
+            assert key(_build(ch, tmp_path, "small", block_ids=8, config_col="config", stems=stems)) == want[1]
+        monkeypatch.setattr(text_index.sizing, "broadcast_limit", lambda df, limit=None: 0)  # a dictionary too large to broadcast
+        assert key(_build(ch, tmp_path, "large", block_ids=8, config_col="config", stems=stems)) == want[1]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_stored_tables_leave_no_shuffle_files_or_tables_behind(spark):
+    import os
+    import time
+
+    from ragloom.operators import sizing
+
+    inner = []
+
+    def make():
+        inner.append(sizing.materialize(spark.range(0, 3000, 1, 3).repartition(5, "id")))
+        return inner[0].groupBy((F.col("id") % 7).alias("k")).count()
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in (str(manager.getAllFiles().apply(i)) for i in range(manager.getAllFiles().size())) if "shuffle_" in f}
+    before = files()
+    out = sizing.stored(spark, make)
+    assert sorted((r.k, r["count"]) for r in out.collect()) == [(k, len(range(k, 3000, 7))) for k in range(7)]
+    paths = {f.rsplit("/", 1)[0].removeprefix("file:") for f in inner[0].inputFiles()}
+    assert paths and not any(os.path.exists(p) for p in paths)
+    for _ in range(50):  # files are deleted in the background
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
