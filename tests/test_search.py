@@ -171,3 +171,27 @@ def test_a_stored_list_is_few_files(spark):
     stored = ann.store_index(index)
     assert len(stored.inputFiles()) <= 2 * ann.FILES_OF_LIST  # not one for each task that assigned rows
     assert sorted(r.chunk_id for r in stored.collect()) == list(range(64))
+
+
+def test_content_fusion_joins_without_texts(spark):
+    from itertools import product
+
+    chunks = [(1, "s", 1, "same"), (2, "s", 1, "same"), (3, "s", 2, "same"), (4, "t", 1, None), (5, None, 1, "other"), (6, "s", 3, ""),
+              (7, "s", 4, "Text"), (7, "s", 5, "twice the id")]
+    hits = [(q, c) for q in (1, 2) for c in range(1, 8)]
+    lex_rows = [(q, c, float(q + c), 1) for q, c in hits if (q + c) % 3]
+    sem_rows = [(q, c, float(q * c) / 16, 1) for q, c in hits if (q * c) % 4]
+    ch = spark.createDataFrame(chunks, "chunk_id long, source string, page_number long, content string")
+    lex = spark.createDataFrame(lex_rows, "query_id long, chunk_id long, rank_bm25 double, rank long")
+    sem = spark.createDataFrame(sem_rows, "query_id long, chunk_id long, rank_semantic double, rank long")
+    left, right = ([(q, s, t, p, r) for q, c, r, _ in rows for i, s, p, t in chunks if i == c] for rows in (lex_rows, sem_rows))
+    meets = lambda a, b: a[:4] == b[:4] and None not in a[:4]
+    want = [(*a[:4], a[4], b[4]) for a, b in product(left, right) if meets(a, b)]
+    want += [(*a, 0.0) for a in left if not any(meets(a, b) for b in right)] + [(*b[:4], 0.0, b[4]) for b in right if not any(meets(a, b) for a in left)]
+    for shown, of in ((None, lambda t: t), (F.upper("content"), lambda t: t and t.upper())):
+        out = fusion.fuse_by_content(lex, sem, ch, shown=shown)
+        assert out.columns == ["query_id", "source", "content", "page_number", "rank_bm25", "rank_semantic", "final_rank"]
+        assert sorted((tuple(r)[:6] for r in out.collect()), key=str) == sorted(((q, s, of(t), *rest) for q, s, t, *rest in want), key=str)
+    # texts are no join key, so no hit carries one through an exchange
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert joins and not any("content#" in x for x in joins) and any("_digest#" in x for x in joins)
