@@ -63,3 +63,25 @@ def test_pages_are_split_in_bounded_parts(spark):
     assert got.dtypes == [("source", "string"), ("page_number", "int"), ("chunk_index", "bigint"), ("content", "string")]
     assert sorted((r.page_number, r.chunk_index, r.content) for r in got.collect()) == [
         (p, k, c) for p, t in ((1, "a\nb"), (4, "c " * 700)) for k, c in enumerate(split(t))]
+
+
+def test_semantic_in_sql_equals_the_arrow_form_without_an_exchange(spark):
+    import random
+
+    rnd = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "été", "x1"]
+    page = lambda n: "".join(" ".join(rnd.choices(words, k=rnd.randint(0, 9))) + rnd.choice([". ", "? ", "!\n", ".  ", " ", "."]) for _ in range(n))
+    rows = [(f"s{i % 3}", i, page(rnd.randint(1, 30))) for i in range(40)]
+    rows += [("s0", 100, "one sentence only"), ("s0", 101, "a b. c d."), ("s0", 102, "..., !! ?? -- ."), ("s0", 103, "alpha " * 3000 + "beta. gamma. " * 3),
+             ("s0", 104, ""), ("s0", 105, None)]
+    df = spark.createDataFrame(rows, "source string, page_number long, text string")
+    known = spark.createDataFrame([r for r in rows if r[2]], df.schema)
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    for kw in ({}, {"buffer": 2, "dim": 16}, {"buffer": 0, "percentile": 0.5}, {"percentile": 1.0}):
+        got = CH.chunk_semantic_relational(df, **kw)
+        assert key(got) == key(CH.chunk_semantic(known, **kw))
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    # a page with a null key stays whole
+    text = " ".join(f"{a} {a}." for a in words)
+    one = spark.createDataFrame([(None, 1, text)], df.schema)
+    assert [tuple(r) for r in CH.chunk_semantic_relational(one, percentile=0.5).collect()] == [(None, 1, 0, text)]
